@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from claimloom.llm import exact_dedup, mixing, secrets, url_filter
+from claimloom.llm import byte_bpe, exact_dedup, mixing, secrets, token_files, url_filter
 from claimloom.llm._shared import table
 
 
+def op1_byte_bpe(spark, sf_dir):
+    return byte_bpe.encode(table(spark, sf_dir, "documents")).drop("ids")
+
+
 def op2_url_filter(spark, sf_dir):
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -22,11 +26,17 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_token_files(spark, sf_dir):
+    return token_files.token_files(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op2_url_filter": op2_url_filter,
     "op4_secret_scan": op4_secret_scan,
     "op5_source_mixing": op5_source_mixing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_token_files": op10_token_files,
 }
 ORACLE_SQL = {
     "op2_url_filter": url_filter.oracle(),
