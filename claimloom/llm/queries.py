@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimloom.llm import byte_bpe, exact_dedup, mixing, secrets, token_files, url_filter
+from claimloom.llm import byte_bpe, exact_dedup, language_id, mixing, secrets, token_files, url_filter
 from claimloom.llm._shared import table
 
 
@@ -26,6 +26,10 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark, sf_dir):
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark, sf_dir):
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_source_mixing": op5_source_mixing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
 }
 ORACLE_SQL = {
