@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimloom.llm import byte_bpe, exact_dedup, language_id, mixing, secrets, token_files, url_filter
+from claimloom.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join, secrets, token_files, url_filter
 from claimloom.llm._shared import table
 
 
@@ -22,6 +22,10 @@ def op5_source_mixing(spark, sf_dir):
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op4_secret_scan": op4_secret_scan,
     "op5_source_mixing": op5_source_mixing,
+    "op6_ngram_join": op6_ngram_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
