@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimloom.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join, secrets, token_files, url_filter
+from claimloom.llm import byte_bpe, embedding_join, exact_dedup, language_id, mixing, ngram_join, secrets, token_files, url_filter, warc_fixity
 from claimloom.llm._shared import table
 
 
@@ -30,6 +30,10 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_join(spark, sf_dir):
+    return embedding_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_language_id(spark, sf_dir):
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -41,15 +45,18 @@ def op10_token_files(spark, sf_dir):
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_url_filter": op2_url_filter,
+    "op3_warc_fixity": warc_fixity.query,
     "op4_secret_scan": op4_secret_scan,
     "op5_source_mixing": op5_source_mixing,
     "op6_ngram_join": op6_ngram_join,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_embedding_join": op8_embedding_join,
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
 }
 ORACLE_SQL = {
     "op2_url_filter": url_filter.oracle(),
+    "op3_warc_fixity": warc_fixity.ORACLE,
     "op5_source_mixing": mixing.oracle(),
     "op7_exact_dedup": exact_dedup.ORACLE,
 }
