@@ -3,7 +3,7 @@
 Learning. Of the labelled documents outside the held-out fold a bounded sample is
 read, about FIT_ROWS a language, chosen by a hash of doc_id. For each language the
 n-grams are counted by the documents that hold them; kept are those of at least
-MIN_DOCS documents whose share is no less than RATIO of the share in any other
+MIN_DOCS documents (fewer for a language of few) whose share is no less than RATIO of the share in any other
 language, the most frequent TOP for each language. They go into a bit-sliced Bloom
 filter: a table of SLOTS words with a bit a language, HASHES slots an n-gram.
 
@@ -16,8 +16,8 @@ of its own and the runner-up's corrected counts, 0 where nothing was found.
 The filter's size doesn't depend on the corpus: SLOTS times a byte for every eight
 languages. The pass over the corpus reads doc_id and text and shuffles nothing.
 
-Defined results: ``und`` and score 0 for a null text and one without a letter, and
-for all if no language could be learned; text with letters but no known n-gram gets
+Defined results: ``und``, score 0 and rejected for a null text and one without a
+letter; ``und`` and score 0, not rejected, for all if no language could be learned; text with letters but no known n-gram gets
 the first language and score 0; a null doc_id isn't learned from and isn't held
 out; repeated rows each give a row; an empty table gives no rows.
 """
@@ -99,10 +99,11 @@ class Filters:
                 out[:, w * width + bit] = np.diff(run[edges])
         return out
 
-    def decide(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        if not self.languages:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+    def decide(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """For each text its language, the score, and whether it is rejected for having no letter."""
         hashes, edges, letters = ngrams_of(texts)
+        if not self.languages:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), (letters == 0).tolist()
         n = np.diff(edges)[:, None]
         true = np.maximum(0.0, (self.hits(hashes, edges) - n * self.false_rate) / (1 - self.false_rate))
         best = true.argmax(axis=1)
@@ -111,7 +112,8 @@ class Filters:
         rival = true.max(axis=1)
         score = np.divide(top, top + rival, out=np.zeros_like(top), where=top > 0)
         known = letters > 0
-        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known)], np.where(known, score, 0.0).tolist()
+        names = [self.languages[b] if k else UNKNOWN for b, k in zip(best, known)]
+        return names, np.where(known, score, 0.0).tolist(), (~known).tolist()
 
 
 def build(languages: list[str], rows: list[tuple[int, int]]) -> Filters:
@@ -153,9 +155,10 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS, top: int = TOP) -> Filters:
         sample.mapInArrow(counted, "lang string, gram long, docs long")
         .groupBy("gram", "lang")
         .agg(F.sum("docs").alias("docs"))
-        .filter(F.col("docs") >= MIN_DOCS)
+        .join(F.broadcast(sizes), "lang")
+        .filter(F.col("docs") >= F.least(F.lit(MIN_DOCS), F.greatest(F.lit(1), F.col("n") / 100)))
     )
-    shares = counts.join(F.broadcast(sizes), "lang").withColumn("share", F.col("docs") / F.least("n", F.lit(fit_rows)))
+    shares = counts.withColumn("share", F.col("docs") / F.least("n", F.lit(fit_rows)))
     most = F.max("share").over(Window.partitionBy("gram"))
     telling = shares.withColumn("most", most).filter(F.col("share") >= RATIO * F.col("most")).select("lang", "gram", "docs").cache()
     # the least count that leaves a language no more than top n-grams, from a histogram of the counts
@@ -170,20 +173,21 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS, top: int = TOP) -> Filters:
 
 
 def identify(docs: DataFrame, filters: Filters, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns named in carry, held_out, lang_pred and score for every row of docs."""
-    read = docs.select("doc_id", *carry, held_out(F.col("doc_id")).alias("held_out"), F.col("text").alias("text"))
-    kept = [c for c in read.columns if c != "text" or "text" in carry]
+    """doc_id, the columns named in carry, held_out, lang_pred, score and rejected for every row of docs."""
+    names = dict.fromkeys(("doc_id", *carry))
+    read = docs.select(*names, *([] if "text" in names else ["text"]), held_out(F.col("doc_id")).alias("held_out"))
+    kept = [*names, "held_out"]
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 1_000_000):
-            langs, scores = shared.value.decide(batch.column("text").to_pylist())
+            langs, scores, rejected = shared.value.decide(batch.column("text").to_pylist())
             rest = batch.select(kept)
-            columns = [*rest.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
+            columns = [*rest.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score", "rejected"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.select(kept).schema)
-    return read.mapInArrow(predicted, f"{fields}, lang_pred string, score double")
+    return read.mapInArrow(predicted, f"{fields}, lang_pred string, score double, rejected boolean")
 
 
 def language_id(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
