@@ -88,17 +88,26 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 RUN_FLAGS = ("contextual_support_only", "narrow_support", "absolute_qualifier_mismatch", "needs_human_review", "temporal_scope_mismatch")
 
 
+ACTIONS = ("ACKNOWLEDGE_RISK", "MARK_FOR_REVISION", "RESOLVE_WITH_EDIT")
+
+
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh event as a review decision on the claim."""
-    e = table(spark, sf_dir, "events").filter("event_id % 7 = 0")
-    action = F.element_at(F.array(*map(F.lit, ACTIONS)), (F.col("event_id") % 5 + 1).cast("int"))
+    """Every seventh event of two users in three as a review decision on the claim."""
+    e = table(spark, sf_dir, "events").filter("event_id % 7 = 0 AND user_id % 3 != 0")
+    action = F.element_at(F.array(*map(F.lit, ACTIONS)), (F.col("event_id") % 3 + 1).cast("int"))
+    note = F.when(F.col("event_id") % 4 == 1, "  ").when(F.col("event_id") % 4 > 1, F.concat(F.lit(" seen "), F.col("user_id").cast("string")))
     return e.select(
         F.col("event_id").alias("decision_id"), F.col("user_id").alias("claim_id"), (F.col("user_id") % 25).alias("draft_id"),
-        F.col("ts").alias("created_at"), action.alias("action"),
+        F.col("ts").alias("created_at"), action.alias("action"), note.alias("note"),
+        F.when(F.col("event_id") % 5 < 2, "Narrower text.").when(F.col("event_id") % 5 == 2, " ").alias("replacement"),
     )
 
 
-ACTIONS = ("accept", "dismiss", "revise", "defer", "escalate")
+def review_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A review run of each draft at noon of each day on which every fifth event fell."""
+    e = table(spark, sf_dir, "events").filter("event_id % 5 = 0")
+    noon = F.date_trunc("day", "ts") + F.expr("INTERVAL 12 HOURS")
+    return e.filter("user_id % 25 != 24").groupBy((F.col("user_id") % 25).alias("draft_id"), noon.alias("created_at")).agg(F.min("event_id").alias("review_id"))
 
 
 def support_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,8 +181,14 @@ SQL = {
     "decisions": """
   decisions AS (
     SELECT event_id AS decision_id, user_id AS claim_id, user_id % 25 AS draft_id, ts AS created_at,
-      ['accept', 'dismiss', 'revise', 'defer', 'escalate'][event_id % 5 + 1] AS action
-    FROM events WHERE event_id % 7 = 0)""",
+      ['ACKNOWLEDGE_RISK', 'MARK_FOR_REVISION', 'RESOLVE_WITH_EDIT'][event_id % 3 + 1] AS action,
+      CASE WHEN event_id % 4 = 1 THEN '  ' WHEN event_id % 4 > 1 THEN ' seen ' || user_id END AS note,
+      CASE WHEN event_id % 5 < 2 THEN 'Narrower text.' WHEN event_id % 5 = 2 THEN ' ' END AS replacement
+    FROM events WHERE event_id % 7 = 0 AND user_id % 3 <> 0)""",
+    "review_runs": """
+  review_runs AS (
+    SELECT user_id % 25 AS draft_id, date_trunc('day', ts) + INTERVAL 12 HOUR AS created_at, min(event_id) AS review_id
+    FROM events WHERE event_id % 5 = 0 AND user_id % 25 <> 24 GROUP BY ALL)""",
     "support_links": """
   support_links AS (
     SELECT CASE WHEN l_orderkey % 97 = 0 THEN -l_orderkey ELSE l_orderkey END AS claim_id,
