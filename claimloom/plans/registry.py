@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from claimloom.plans import evidence, workflow
+from claimloom.plans import evidence, ingest, workflow
 
-_PLANS = (evidence, workflow)
+_PLANS = (evidence, ingest, workflow)
 QUERIES: dict = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}
