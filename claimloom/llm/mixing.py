@@ -112,7 +112,7 @@ def mixed(
     running = Window.partitionBy("source", "slice").orderBy(F.desc("draw"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("start") + F.sum("size").over(running) - F.col("size") / 2
     taken = placed.withColumn(
-        "copies", (F.col("epochs") + F.when(middle <= F.col("budget"), 1).otherwise(0)).cast("long")
+        "copies", F.when(F.col("size") > 0, F.col("epochs") + F.when(middle <= F.col("budget"), 1).otherwise(0)).otherwise(0).cast("long")
     ).withColumn("taken", F.col("copies") * F.col("size"))
     columns = ("doc_id", "source", "size", "source_size", "target", "taken", "copies")
     if not carry:
@@ -154,6 +154,6 @@ placed AS (
   FROM plain p JOIN goals g ON p.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source, source_size, target,
   CAST(size * (epochs + CASE WHEN middle <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken,
-  CAST(epochs + CASE WHEN middle <= target - epochs * source_size THEN 1 ELSE 0 END AS BIGINT) AS copies
+  CAST(CASE WHEN size > 0 THEN epochs + CASE WHEN middle <= target - epochs * source_size THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS copies
 FROM placed
 """
