@@ -232,3 +232,20 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
         component.eqNullSafe(F.col("vec_id")).alias("kept"),
     )
+
+
+ORACLE = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {COSINE}),
+reach(id, root) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT id, b FROM reach JOIN links ON a = root),
+found AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
+SELECT vec_id, CAST((SELECT count(*) FROM links WHERE a = vec_id) AS BIGINT) AS n_links, coalesce(root, vec_id) AS component_id,
+  coalesce(root, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN found ON id = vec_id
+"""

@@ -58,5 +58,7 @@ ORACLE_SQL = {
     "op2_url_filter": url_filter.oracle(),
     "op3_warc_fixity": warc_fixity.ORACLE,
     "op5_source_mixing": mixing.oracle(),
+    "op6_ngram_join": ngram_join.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op8_embedding_join": embedding_join.ORACLE,
 }
