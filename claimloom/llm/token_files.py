@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +34,19 @@ from claimloom.llm.byte_bpe import small
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-WORDS_KEPT = 300_000
-LONG_WORD = 64
+#: a worker remembers words of up to LONG_WORD bytes, which recur; longer ones seldom do
+WORDS_KEPT = 600_000
+LONG_WORD = 8
+#: signs after a word's letters: a run that the tokeniser takes apart from them
+SIGNS = b".,;:!?*%&$#()"
 ROWS_PER_INDEX = 1_000
 STRIPE_BYTES = 16 << 20
 SCHEMA = "doc_id long, part int, row long, ids array<int>"
 
 
+@lru_cache(maxsize=2)
 def word_encoder(path: str | None = None):
-    """A function from texts to their ids, as little-endian 32-bit integers."""
+    """A function from texts to their ids, as little-endian 32-bit integers; made once a worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
@@ -49,23 +54,60 @@ def word_encoder(path: str | None = None):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
+    ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+    ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
     known: dict[bytes, bytes] = {}
 
-    def learn(words: list[bytes], to: dict[bytes, bytes]) -> None:
+    def one_by_one(words: list[bytes]) -> list[bytes]:
         found = tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        to.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(words, found))
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
+
+    def at_once(parts: list[bytes]) -> list[bytes]:
+        """The ids of parts that are one run of letters or of signs each, so that an end-of-word id ends each."""
+        out: list[bytes] = []
+        for i in range(0, len(parts), 1000):
+            some = parts[i : i + 1000]
+            text = b" ".join(some).decode()
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+            if len(cuts) == len(some) and cuts[-1] == 4 * len(ids):
+                packed = ids.tobytes()
+                out += [packed[a:b] for a, b in zip([0, *cuts], cuts)]
+            else:
+                out += one_by_one(some)
+        return out
+
+    def learn(words: list[bytes], to: dict[bytes, bytes]) -> None:
+        plain, other, parts = {}, [], set()
+        for w in words:
+            core = w.rstrip(SIGNS)
+            tail = w[len(core) :]
+            if core.isalpha():  # ASCII letters
+                core = core.lower()
+            elif core and not core.decode().isalpha():
+                other.append(w)
+                continue
+            plain[w] = core, tail
+            parts.add(core)
+            parts.add(tail)
+        parts.discard(b"")
+        new = [p for p in parts if p not in known]
+        ids = dict(zip(new, at_once(new)))
+        ids[b""] = b""
+        to.update(zip(other, one_by_one(other)))
+        to.update((w, (ids.get(a) or known.get(a, b"")) + (ids.get(b) or known.get(b, b""))) for w, (a, b) in plain.items())
 
     def encoded(texts: list[str]) -> list[bytes]:
         split = [x.encode().split() for x in texts]  # bytes split at ASCII white space
-        new = list({w for words in split for w in words} - known.keys())
-        if len(known) + len(new) > WORDS_KEPT:
+        words = set().union(*split)
+        short = {w for w in words if len(w) <= LONG_WORD}
+        if len(known) + len(short) > WORDS_KEPT:
             known.clear()
-            new = list({w for words in split for w in words})
         once: dict[bytes, bytes] = {}
-        learn([w for w in new if len(w) <= LONG_WORD], known)
-        learn([w for w in new if len(w) > LONG_WORD], once)
-        look = (lambda w: known.get(w) or once.get(w, b"")) if once else known.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        learn(list(words - short), once)
+        learn(list(short - known.keys()), known)
+        once.update((w, known[w]) for w in short)
+        return [b"".join(map(once.__getitem__, ws)) for ws in split]
 
     return encoded
 
@@ -76,7 +118,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, row = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in small(batches):
+        for batch in small(batches, 10_000_000):  # the more text at once, the fewer words twice
             packed = [x + end for x in encode(batch.column("text").to_pylist())]
             offsets = np.cumsum([0, *(len(x) // 4 for x in packed)])
             ids = pa.array(np.frombuffer(b"".join(packed), "<i4"))
@@ -118,7 +160,7 @@ def digests(rows: DataFrame) -> DataFrame:
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("ids")
-            offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+            offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).view("<u4")
             crc = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -53,7 +53,8 @@ def test_a_search_is_pushed_to_the_files(spark, sf):
 @pytest.mark.parametrize("kept", [3, 10])
 def test_a_small_memory_of_words_changes_nothing(monkeypatch, kept):
     monkeypatch.setattr(token_files, "WORDS_KEPT", kept)
-    texts = ["a b c", "d e f g a", "", "b " + "z" * 99]
+    texts = ["a b, C!?", "d E;; f g a (b) <|endoftext|>", "", "b " + "z" * 99 + ". J\u030c. B A, a"]
+    token_files.word_encoder.cache_clear()
     encode = token_files.word_encoder()
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
