@@ -23,6 +23,8 @@ give a row; an empty table gives no rows; other columns aren't read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,27 +73,23 @@ def directory_of(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         entries.groupBy(F.shiftrightunsigned("key", KEY_BITS - SLOT_BITS).alias("slot")).agg(F.count("*").alias("n")),
         "directory-histogram",
     )
-    depth, overfull, settled = 0, slots, None
+    total = slots.agg(F.sum("n")).first()[0] or 0
+    # the first directory is as deep as even buckets would need
+    depth = min(SLOT_BITS, max(0, (total // capacity).bit_length() - 1))
+    overfull, settled = slots, []
     while True:
         prefix = F.shiftrightunsigned("slot", SLOT_BITS - depth)
         full = overfull.groupBy(prefix.alias("prefix")).agg(F.sum("n").alias("held"))
-        split = full.filter(F.col("held") > capacity) if depth < SLOT_BITS else full.limit(0)
-        more = depth < SLOT_BITS and not split.isEmpty()
-        level = overfull.join(full, prefix == F.col("prefix"))
+        level = overfull.join(full, prefix == F.col("prefix")).select("slot", "n", "prefix", "held")
+        level = written(level, "directory-level")  # keeps the plan short, however often it doubles
+        more = depth < SLOT_BITS and not level.filter(F.col("held") > capacity).isEmpty()
         done = level.filter(F.col("held") <= capacity) if more else level
-        done = done.select(
-            "slot",
-            F.shiftleft("prefix", SLOT_BITS - depth).alias("bucket"),
-            F.lit(depth).alias("depth"),
-        )
-        settled = done if settled is None else settled.unionByName(done)
+        bucket = F.shiftleft("prefix", SLOT_BITS - depth)
+        settled.append(done.select("slot", bucket.alias("bucket"), F.lit(depth).alias("depth")))
         if not more:
-            return settled
+            return reduce(DataFrame.unionByName, settled)
         overfull = level.filter(F.col("held") > capacity).select("slot", "n")
         depth += 1
-        if depth % 6 == 0:  # keeps the plan short on large corpora
-            overfull = written(overfull, "directory-overfull")
-            settled = written(settled, "directory-settled")
 
 
 def index_of(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
