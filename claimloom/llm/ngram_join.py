@@ -17,10 +17,12 @@ emits there, so nothing rests on partitions that are empty in both. A set that r
 out of groups takes part in a second split of the domain, and so on.
 
 Candidates. Sets that share a signature form a bucket. Pairs within a bucket aren't
-enumerated: each member is first compared with one of the bucket, and buckets whose
-members are in one component by then are done. After a second round with another
-pivot, what is left are pairs from different components, which are compared all.
-Comparing means intersecting the whole sets. Copies of a set are folded first.
+enumerated: in each of TURNS rounds each set is compared with one hub that it meets in
+its buckets; buckets whose members are in one component by then are done. What is left
+of buckets is compared in blocks of sets, all pairs within a task, of which the links
+that join components come out. Pairs whose sizes or parity sketches alone tell them
+apart go first; comparing means intersecting the whole sets. Copies of a set are
+folded before all this.
 
 Defined results: a null or empty text, or one of white space, has 0 shingles, links
 with nothing and is its own component; fewer words than a shingle has make one
@@ -49,7 +51,12 @@ PERCENT = 80
 #: partitions in a group, and how many of them may differ; small sets have groups of one
 GROUP, DIFFER, LEAST_SIZE = 3, 1, 64
 SPLITS = 64
+#: rounds in which a node is compared with one other, before what is left is compared all
+TURNS = 1
+#: shingles in a block of sets that are compared in one task
+BLOCK = 50_000
 BLOOM_BITS = 26
+SKETCH = 1024
 U = np.uint64
 _BASE, _SPACES = U(0x100000001B3), np.isin(np.arange(256), [32, *range(9, 14)])
 _TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], dtype=U)
@@ -105,6 +112,14 @@ def set_key(features: np.ndarray) -> bytes:
     return hashlib.blake2b(features.tobytes(), digest_size=16).digest()
 
 
+def sketch_of(features: np.ndarray) -> np.ndarray:
+    """SKETCH bits, each the parity of the features that a hash gives to it.
+
+    Sketches differ in no more bits than their sets do in features."""
+    bits = np.bincount((mix(features) % U(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def node_of(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
@@ -244,16 +259,20 @@ def signature_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def bucket_rows(rows: DataFrame) -> DataFrame:
-    """sig, node without repeats, of the signatures that two sets or more share."""
-    ordered = Window.partitionBy("sig").orderBy("node")
-    marked = rows.withColumn("before", F.lag("node").over(ordered)).withColumn("after", F.lead("node").over(ordered))
-    new = F.col("before").isNull() | (F.col("before") != F.col("node"))
-    # a node that repeats may stand alone in its bucket; such buckets give no pairs
-    return marked.filter(new & (F.col("before").isNotNull() | F.col("after").isNotNull())).select("sig", "node")
+    """sig, node of the signatures that two sets or more share, once for each set of sharers.
+
+    Near copies share most of their signatures: buckets with the same nodes are one.
+    They are told apart by the number of nodes and by 128 bits of hashes of them."""
+    ordered, bucket = Window.partitionBy("sig").orderBy("node"), Window.partitionBy("sig")
+    marked = rows.withColumn("before", F.lag("node").over(ordered)).filter(F.col("before").isNull() | (F.col("before") != F.col("node")))
+    both = [F.bit_xor(F.xxhash64("node", F.lit(k))).over(bucket).alias(f"h{k}") for k in (1, 2)]
+    held = marked.select("node", F.count("*").over(bucket).alias("n"), *both).filter("n > 1")
+    return held.select(F.xxhash64("n", "h1", "h2").alias("sig"), "node").distinct()
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, node, features of the documents named in wanted (doc_id).
+    """doc_id, node, n, sketch, text of the documents named in wanted (doc_id): texts are
+    shorter than their shingles.
 
     A bitmap of fixed size, 2^BLOOM_BITS bits, tells the tasks which documents they
     need not look at; the few that it lets through needlessly are joined away."""
@@ -280,43 +299,157 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame
                 [
                     batch.column("doc_id"),
                     pa.array([node_of(k) for k in keys], pa.int64()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([sketch_of(s).tolist() for s in sets], pa.list_(pa.int64())),
+                    batch.column("text"),
                 ],
-                names=["doc_id", "node", "features"],
+                names=["doc_id", "node", "n", "sketch", "text"],
             ).filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
 
     read = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return read.withColumn("slot", slot).mapInArrow(found, "doc_id long, node long, features binary")
+    return read.withColumn("slot", slot).mapInArrow(found, "doc_id long, node long, n long, sketch array<long>, text string")
+
+
+def links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def links_of(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def links_of(pairs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """a, b of the pairs (x, y of nodes) whose sets link; a and b are doc_ids."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("fa").to_pylist(), batch.column("fb").to_pylist()
-            keep = []
-            for x, y in zip(a, b):
-                x, y = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    size = F.length("features") / 8
-    left = sets.select(F.col("node").alias("x"), F.col("doc_id").alias("a"), F.col("features").alias("fa"))
-    right = sets.select(F.col("node").alias("y"), F.col("doc_id").alias("b"), F.col("features").alias("fb"))
-    sizes = sets.select("node", size.alias("n"))
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                x, y = (shingle_sets(some.column(c).to_pylist(), words) for c in ("ta", "tb"))
+                yield some.select(["a", "b"]).filter(pa.array([links(p, q, percent) for p, q in zip(x, y)], pa.bool_()))
+
+    side = lambda s: sets.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
+    differ = F.aggregate(F.zip_with("sx", "sy", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    # without the sets themselves: too different in size, or in their sketches
     near = (
-        pairs.join(sizes.withColumnsRenamed({"node": "x", "n": "nx"}), "x")
-        .join(sizes.withColumnsRenamed({"node": "y", "n": "ny"}), "y")
-        .filter((100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
-        .select("x", "y")
-        .distinct()
-    )
-    both = near.join(left, "x").join(right, "y").select("a", "b", "fa", "fb").filter("a != b")
+        pairs.join(side("x"), "x").join(side("y"), "y")
+        .filter(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+        .filter((100 + percent) * differ <= (100 - percent) * (F.col("nx") + F.col("ny")))
+        .select("x", "y").distinct()
+    )
+    whole = lambda node, doc, text: sets.select(F.col("node").alias(node), F.col("doc_id").alias(doc), F.col("text").alias(text))
+    both = near.join(whole("x", "a", "ta"), "x").join(whole("y", "b", "tb"), "y").select("a", "b", "ta", "tb").filter("a != b")
     return both.mapInArrow(compared, "a long, b long")
 
 
+def spanning_links(ids: list, components: list, texts: list, words: int, percent: int) -> list[tuple[int, int]]:
+    """Links between the sets of a block that join different components.
+
+    Pairs are told apart by size, then by parity sketches about eight times as long as
+    the sets, all pairs of a set at once; what is left is compared whole."""
+    sets = shingle_sets(texts, words)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    bits = 1 << max(9, int(8 * sizes.max()).bit_length())
+    width = min(bits, 1 << 17)
+    sketches = np.empty((len(sets), width // 64), dtype=U)
+    for i, s in enumerate(sets):
+        parity = np.bincount((mix(s) % U(width)).astype(np.int64), minlength=width) & 1
+        sketches[i] = np.packbits(parity.astype(np.uint8), bitorder="little").view(U)
+    root = np.array(components, dtype=np.int64)
+    found = []
+    for i in range(len(sets) - 1):
+        rest = slice(i + 1, None)
+        close = (root[rest] != root[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))
+        at = np.flatnonzero(close) + i + 1
+        if len(at):
+            differ = np.bitwise_count(sketches[at] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+            at = at[(100 + percent) * differ <= (100 - percent) * (sizes[at] + sizes[i])]
+        for j in at.tolist():
+            if root[j] != root[i] and links(sets[i], sets[j], percent):
+                found.append((ids[i], ids[j]))
+                root[root == root[j]] = root[i]
+    return found
+
+
+def by_group(rows: DataFrame, keys: list[str], columns: list[str], result, schema: str) -> DataFrame:
+    """result(*columns) of each group of rows, a group in one task, rows read as they come."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+
+        def made() -> pa.RecordBatch:
+            found = result(*map(list, zip(*held)))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=names)
+
+        for batch in batches:
+            for row in zip(*[batch.column(names_of[c]).to_pylist() for c in (*keys, *columns)]):
+                if row[: len(keys)] != now:
+                    if len(held) > 1:
+                        yield made()
+                    held, now = [], row[: len(keys)]
+                held.append(row[len(keys) :])
+        if len(held) > 1:
+            yield made()
+
+    names = [f.split()[0] for f in schema.split(", ")]
+    read = list(dict.fromkeys((*keys, *columns)))
+    names_of = {c: read.index(c) for c in read}
+    ordered = rows.select(*read).repartition(*keys).sortWithinPartitions(*keys)
+    return ordered.mapInArrow(compared, schema)
+
+
+def spanning_rows(rows: DataFrame, keys: list[str], words: int, percent: int) -> DataFrame:
+    """a, b: spanning_links() of each group of rows (keys, doc_id, component, text)."""
+    result = lambda ids, components, texts: spanning_links(ids, components, texts, words, percent)
+    return by_group(rows, keys, ["doc_id", "component", "text"], result, "a long, b long")
+
+
+def close_nodes(rows: DataFrame, percent: int) -> DataFrame:
+    """pair, node: of the two sides of each pair of blocks the nodes that have one on the other
+    side, of another component, that sizes and sketches don't tell apart."""
+
+    def near(pair: list, nodes: list, components: list, sides: list, sizes: list, sketches: list) -> list[tuple[int, int]]:
+        n, part = np.array(sizes, dtype=np.int64), np.array(components, dtype=np.int64)
+        bits = np.array(sketches, dtype=np.int64).view(U)
+        left, right = (np.flatnonzero(np.array(sides) == k) for k in (0, 1))
+        found: set[int] = set()
+        for i in left.tolist():
+            close = (part[right] != part[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))
+            at = right[close]
+            differ = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            at = at[(100 + percent) * differ <= (100 - percent) * (n[at] + n[i])]
+            found.update(at.tolist(), [i] if len(at) else [])
+        return [(pair[0], nodes[i]) for i in found]
+
+    return by_group(rows, ["pair"], ["pair", "node", "component", "side", "n", "sketch"], near, "pair long, node long")
+
+
+def block_links(buckets: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b: links that join different components, of all pairs that share a bucket.
+
+    buckets: sig, node, component. A node belongs to the family of its largest bucket,
+    and a family is cut into blocks of about BLOCK shingles. All in a block are
+    compared in one task. Of two blocks with a bucket in common the sketches are, in
+    one task, and what these don't tell apart is compared whole."""
+    sized = buckets.join(sets.select("node", "n"), "node")
+    weight = sized.groupBy("sig").agg(F.sum("n").alias("weight"))
+    home = sized.join(weight, "sig").groupBy("node", "component").agg(F.max(F.struct("weight", "sig")).alias("top"))
+    parts = F.ceil(F.col("top.weight") / F.lit(BLOCK)).cast("long")
+    blocks = home.select("node", "component", F.col("top.sig").alias("family"), F.pmod(F.xxhash64("node"), parts).alias("part"))
+    blocks = written(blocks, "blocks")
+    members = sets.select("node", "doc_id", "text").join(blocks, "node")
+    inner = spanning_rows(members, ["family", "part"], words, percent)
+    block = ["family", "part"]
+    met = buckets.join(blocks.select("node", *block), "node").groupBy("sig", *block).agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    x, y = met.alias("x"), met.alias("y")
+    apart = F.expr("x.sig = y.sig AND struct(x.family, x.part) < struct(y.family, y.part) AND (x.low != y.low OR x.high != y.high OR x.low != x.high)")
+    pairs = x.join(y, apart).select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in block]).distinct()
+    ends = [F.struct(F.col(f"family_{s}").alias("family"), F.col(f"part_{s}").alias("part"), F.lit(i).alias("side")) for i, s in enumerate("xy")]
+    ended = pairs.select(F.xxhash64(*pairs.columns).alias("pair"), F.explode(F.array(*ends)).alias("end")).select("pair", "end.*")
+    sketched = blocks.join(sets.select("node", "n", "sketch"), "node")
+    close = close_nodes(ended.join(sketched, block), percent).distinct()
+    again = close.join(blocks.select("node", "component"), "node").join(sets.select("node", "doc_id", "text"), "node")
+    return inner.unionByName(spanning_rows(again, ["pair"], words, percent))
+
+
 def _placed(buckets: DataFrame, members: DataFrame, component: DataFrame | None) -> DataFrame:
     """sig, node, component of the buckets whose members are in several components."""
     if component is None:
@@ -330,6 +463,20 @@ def _placed(buckets: DataFrame, members: DataFrame, component: DataFrame | None)
     return written(rows.join(apart, "sig").select("sig", "node", "component"), "buckets-apart")
 
 
+def hub_pairs(buckets: DataFrame, turn: int) -> DataFrame:
+    """x, y: each node with one of another component: of those it meets the one that meets most.
+
+    That is the original among edited copies. The second turn draws by a hash."""
+    sizes = buckets.groupBy("sig").agg(F.count("*").alias("met"))
+    meets = F.sum("met") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    reach = buckets.join(sizes, "sig").groupBy("node").agg(meets.alias("reach"))
+    ranked = F.struct(F.col("reach"), "node", "component")
+    placed = buckets.join(reach, "node")
+    hubs = placed.groupBy("sig").agg(F.max(ranked).alias("hub"))
+    chosen = buckets.join(hubs, "sig").filter("component != hub.component").groupBy("node").agg(F.max("hub").alias("hub"))
+    return chosen.select(F.least("node", "hub.node").alias("x"), F.greatest("node", "hub.node").alias("y"))
+
+
 def link_components(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame | None:
     """id, component of the documents that link with another set; None if there are none."""
     buckets = written(bucket_rows(signature_rows(docs, words, percent)), "buckets")
@@ -337,23 +484,17 @@ def link_components(docs: DataFrame, classes: DataFrame, words: int, percent: in
     sets = written(sets_of(docs, wanted, words), "candidate-sets")
     members = sets.select("node", "doc_id")
     component = None
-    for turn in (0, 1, None):
+    for turn in range(TURNS + 1):
         buckets = _placed(buckets.select("sig", "node"), members, component)
         if buckets.isEmpty():
             break
-        if turn is None:
-            x, y = buckets.alias("x"), buckets.alias("y")
-            met = F.expr("x.sig = y.sig AND x.node < y.node AND x.component != y.component")
-            pairs = x.join(y, met).select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
+        if turn == TURNS:
+            found = block_links(buckets, sets, words, percent)
         else:
-            drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "component")
-            pivot = buckets.groupBy("sig").agg(F.min(drawn).alias("pivot"))
-            pairs = buckets.join(pivot, "sig").filter("component != pivot.component")
-            pairs = pairs.select(F.least("node", "pivot.node").alias("x"), F.greatest("node", "pivot.node").alias("y"))
-        links = links_of(pairs.distinct(), sets, percent)
+            found = links_of(hub_pairs(buckets, turn), sets, words, percent)
         if component is not None:
-            links = links.unionByName(component.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")))
-        component = written(components(links), "components")
+            found = found.unionByName(component.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")))
+        component = written(components(found), "components")
     return component
 
 
@@ -371,3 +512,18 @@ def ngram_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     empty = table.filter("set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     held = table.filter("set_key IS NOT NULL").join(classes, "set_key").select("doc_id", "n_shingles", "component_id")
     return held.unionByName(empty)
+
+
+ORACLE = rf"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i : i + {WORDS - 1}], ' ') FOR i IN range(1, len(w) - {WORDS - 2})]) END AS s FROM worded),
+rows AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM rows a JOIN rows b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+reach(id, root) AS (SELECT doc_id, doc_id FROM sets UNION SELECT id, b FROM reach JOIN links ON a = root)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(root) FROM reach WHERE id = doc_id) AS component_id FROM sets
+"""
