@@ -271,11 +271,11 @@ def bucket_rows(rows: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, node, n, sketch, text of the documents named in wanted (doc_id): texts are
-    shorter than their shingles.
+    """doc_id, node, n, sketch, text of the documents named in wanted (doc_id, node), so that
+    a node has one doc_id: texts are shorter than their shingles.
 
     A bitmap of fixed size, 2^BLOOM_BITS bits, tells the tasks which documents they
-    need not look at; the few that it lets through needlessly are joined away."""
+    need not look at; those that it lets through needlessly are joined away."""
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BLOOM_BITS))
     parts = (
         wanted.select((slot + 1).alias("slot"))
@@ -307,7 +307,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame
             ).filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
 
     read = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return read.withColumn("slot", slot).mapInArrow(found, "doc_id long, node long, n long, sketch array<long>, text string")
+    held = read.withColumn("slot", slot).mapInArrow(found, "doc_id long, node long, n long, sketch array<long>, text string")
+    return held.join(wanted, ["doc_id", "node"], "left_semi")
 
 
 def links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -480,7 +481,7 @@ def hub_pairs(buckets: DataFrame, turn: int) -> DataFrame:
 def link_components(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame | None:
     """id, component of the documents that link with another set; None if there are none."""
     buckets = written(bucket_rows(signature_rows(docs, words, percent)), "buckets")
-    wanted = classes.join(buckets.select("node").distinct(), "node").select(F.col("rep").alias("doc_id"))
+    wanted = classes.join(buckets.select("node").distinct(), "node").select(F.col("rep").alias("doc_id"), "node")
     sets = written(sets_of(docs, wanted, words), "candidate-sets")
     members = sets.select("node", "doc_id")
     component = None

@@ -121,3 +121,28 @@ def test_null_ids_repeats_and_empty_table(spark):
     got = sorted((tuple(r) for r in nj.ngram_groups(df).collect()), key=str)
     assert got == sorted([(3, 2, 3), (3, 2, 3), (None, 2, 3), (None, 1, None), (9, 0, 9)], key=str)
     assert nj.ngram_groups(df.limit(0)).count() == 0
+
+
+def test_copies_let_through_by_the_bitmap(spark, monkeypatch):
+    """Chains of edits whose copies have ids that share slots of the bitmap with those of the originals."""
+    monkeypatch.setattr(nj, "BLOOM_BITS", 15)
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(6):
+        words = rng.choices(vocabulary, k=80)
+        for _ in range(25):
+            words = list(words)
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    ids = spark.range(200_000).selectExpr("id", "pmod(xxhash64(id), 32768) AS slot").toPandas()
+    taken = set(ids.slot[: len(texts)])
+    likely = ids[(ids.index >= len(texts)) & ids.slot.isin(taken)].id.tolist()
+    rows = list(enumerate(texts)) + list(zip(likely, rng.sample(texts * 3, len(texts) * 3)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(rows) > 2 * len(texts)
+    assert check(df) > 500
+    table = nj.set_table(df)
+    wanted = table.groupBy("node").agg(nj.F.min("doc_id").alias("doc_id"))
+    assert nj.sets_of(df, wanted).groupBy("node").count().filter("count > 1").count() == 0
