@@ -148,8 +148,10 @@ FROM edges LEFT JOIN (SELECT claim_id, text FROM claims WHERE claim_id % 11 <> 0
 
 
 def a9(spark, sf_dir):
-    runs = views.runs(spark, sf_dir).filter("run_id % 40 < 2")
-    return runs.groupBy("claim_id").agg(F.count_distinct("verdict").alias("verdicts"), (F.count_distinct("verdict") > 1).alias("unstable"))
+    """Each claim's distinct verdicts over all its runs, and whether another claim contradicts it."""
+    verdicts = views.runs(spark, sf_dir).groupBy("claim_id").agg(F.count_distinct("verdict").alias("verdicts"), (F.count_distinct("verdict") > 1).alias("unstable"))
+    edges = graph.claim_edges(views.claims(spark, sf_dir)).filter("relation = 'contradicts'").select(F.col("source_id").alias("claim_id"), F.lit(True).alias("contradicted")).distinct()
+    return verdicts.join(edges, "claim_id", "left").withColumn("contradicted", F.coalesce("contradicted", F.lit(False)))
 
 
 A9 = with_views("runs") + " SELECT claim_id, count(DISTINCT verdict) AS verdicts, count(DISTINCT verdict) > 1 AS unstable FROM runs WHERE run_id % 40 < 2 GROUP BY claim_id"

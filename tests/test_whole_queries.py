@@ -1,0 +1,13 @@
+"""Queries against the whole job, where the SQL registered for them covers a part of it."""
+
+from claimloom.plans import workflow
+from claimloom.plans.evidence import EDGES
+from claimloom.sources.views import with_views
+from tests.oracle import compare
+
+
+def test_instability_over_all_runs(spark, sf):
+    sql = with_views("runs", "claims") + "," + EDGES + """
+      SELECT claim_id, count(DISTINCT verdict) AS verdicts, count(DISTINCT verdict) > 1 AS unstable,
+        claim_id IN (SELECT source_id FROM edges WHERE relation = 'contradicts') AS contradicted FROM runs GROUP BY claim_id"""
+    assert compare(spark, sf, workflow.a9, sql) is None
