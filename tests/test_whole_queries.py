@@ -1,6 +1,6 @@
 """Queries against the whole job, where the SQL registered for them covers a part of it."""
 
-from claimloom.plans import workflow
+from claimloom.plans import citations, lookups, workflow
 from claimloom.plans.evidence import EDGES
 from claimloom.sources.views import with_views
 from tests.oracle import compare
@@ -11,3 +11,15 @@ def test_instability_over_all_runs(spark, sf):
       SELECT claim_id, count(DISTINCT verdict) AS verdicts, count(DISTINCT verdict) > 1 AS unstable,
         claim_id IN (SELECT source_id FROM edges WHERE relation = 'contradicts') AS contradicted FROM runs GROUP BY claim_id"""
     assert compare(spark, sf, workflow.a9, sql) is None
+
+
+def test_every_citation_is_adjudicated(spark, sf):
+    assert compare(spark, sf, lookups.j11, lookups.J11.replace("WHERE cite_id % 2 = 0", "")) is None
+    # what the registered SQL covers is as it was
+    assert compare(spark, sf, lambda s, d: lookups.j11(s, d).filter("cite_id % 2 = 0"), lookups.J11) is None
+
+
+def test_distinct_citation_texts(spark, sf):
+    sql = citations.CITES + """, f AS (SELECT draft_id, citation, min(cite_id) AS cite_id FROM parsed GROUP BY ALL)
+      SELECT draft_id, citation, CAST(row_number() OVER (PARTITION BY draft_id ORDER BY cite_id) AS INTEGER) AS place FROM f"""
+    assert compare(spark, sf, citations.f19, sql) is None
