@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join
-from claimloom.llm._shared import drop_space, table, text_of, written
+from claimloom.llm._shared import table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,10 +28,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of equal texts the longest, then the one of the smallest doc_id."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    body = stay.withColumn("body", F.sha2(drop_space(text_of()), 256))
-    return body.dropDuplicates(["doc_id", "body"]).select(*COLUMNS)
+    kept = exact_dedup.exact_dedup(docs.select(*COLUMNS), carry="row").filter("kept")
+    return kept.dropDuplicates(["doc_id", "text_sha256"]).select("row.*")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,11 @@ def test_edges(spark, sf):
     assert sorted((r["doc_id"] for r in near.collect()), key=str) == [2, 7, None]
     assert ids.count() > 0
     assert all(x.count() == 0 for x in staged(spark, docs.limit(0), sf))
+
+
+def test_null_and_repeated_ids_whose_texts_are_kept_elsewhere(spark, sf):
+    rows = [(None, "aa"), (None, "a a"), (None, "bb"), (5, "bb"), (7, "cc"), (7, "cc"), (7, "dd"), (8, "d d"), (None, "cc")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.one_of_equal_texts(spark, docs, sf)
+    assert tuple(got.columns) == cp.COLUMNS
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(None, "a a"), (5, "bb"), (7, "cc"), (8, "d d")], key=str)
