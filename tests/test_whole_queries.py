@@ -23,3 +23,18 @@ def test_distinct_citation_texts(spark, sf):
     sql = citations.CITES + """, f AS (SELECT draft_id, citation, min(cite_id) AS cite_id FROM parsed GROUP BY ALL)
       SELECT draft_id, citation, CAST(row_number() OVER (PARTITION BY draft_id ORDER BY cite_id) AS INTEGER) AS place FROM f"""
     assert compare(spark, sf, citations.f19, sql) is None
+
+
+KEYS = citations.CITES + """,
+  ky AS (SELECT cite_id, reference AS lookup_key FROM parsed UNION ALL SELECT -cite_id, reference FROM parsed WHERE cite_id % 4 = 2),
+  ch AS (SELECT lookup_key, CASE WHEN min(cite_id) % 4 = 0 THEN 'authority_not_found' ELSE 'authority_found' END AS lookup_status FROM ky WHERE cite_id % 3 = 1 GROUP BY 1)"""
+
+
+def test_lookups_by_the_whole_key(spark, sf):
+    assert compare(spark, sf, lookups.j10, KEYS + " SELECT cite_id, lookup_key, lookup_status FROM ky LEFT JOIN ch USING (lookup_key)") is None
+    misses = KEYS + " SELECT lookup_key, count(*) AS asked FROM ky ANTI JOIN ch USING (lookup_key) GROUP BY 1"
+    assert compare(spark, sf, lookups.j10_misses, misses) is None
+    asked = [r["asked"] for r in lookups.j10_misses(spark, sf).collect()]
+    assert max(asked) > 1
+    hits = lookups.j10(spark, sf).filter("lookup_status IS NOT NULL")
+    assert hits.groupBy("lookup_key").count().filter("count > 1").count() > 0
