@@ -165,7 +165,11 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS, top: int = TOP) -> Filters:
     run = F.sum("grams").over(Window.partitionBy("lang").orderBy(F.desc("docs")))
     by_count = telling.groupBy("lang", "docs").agg(F.count("*").alias("grams")).withColumn("run", run)
     least = by_count.filter(F.col("run") <= top).groupBy("lang").agg(F.min("docs").alias("least"))
-    kept = telling.join(F.broadcast(least), "lang").filter(F.col("docs") >= F.col("least")).select("gram", "lang").collect()
+    # a language whose first level alone is larger has the first top n-grams of it, by their hashes
+    over = by_count.filter((F.col("run") > top) & (F.col("run") == F.col("grams"))).select("lang", "docs")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("gram"))
+    first = telling.join(F.broadcast(over), ["lang", "docs"]).withColumn("place", place).filter(F.col("place") <= top).select("gram", "lang")
+    kept = telling.join(F.broadcast(least), "lang").filter(F.col("docs") >= F.col("least")).select("gram", "lang").unionByName(first).collect()
     telling.unpersist()
     languages = sorted({r["lang"] for r in kept})
     index = {lang: i for i, lang in enumerate(languages)}

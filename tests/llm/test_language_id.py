@@ -42,3 +42,14 @@ def test_many_languages_and_the_filter_holds_what_went_in():
     filters = li.build(languages, [(int(g), i // 50) for i, g in enumerate(grams)])
     hits = filters.hits(grams.view(np.uint64), np.arange(0, 70 * 50 + 1, 50))
     assert (np.diag(hits) == 50).all() and hits.sum() < 70 * 50 * 1.01
+
+
+def test_a_language_of_one_long_document(spark):
+    rng = np.random.default_rng(7)
+    ids = [r["id"] for r in spark.range(100).filter(~li.held_out(li.F.col("id"))).limit(4).collect()]
+    words = lambda letters, n: " ".join("".join(rng.choice(list(letters), 7)) for _ in range(n))
+    rows = [(ids[0], words("abcdefg", 400), "xx"), *[(i, "tuv utv vtu", "yy") for i in ids[1:]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = li.learn(docs, top=100)
+    assert filters.languages == ["xx", "yy"]
+    assert filters.decide([rows[0][1], rows[1][1]])[0] == ["xx", "yy"]
