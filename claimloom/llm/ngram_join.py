@@ -16,30 +16,45 @@ one that stops first has enough usable groups, and the other emits all that it
 emits there, so nothing rests on partitions that are empty in both. A set that runs
 out of groups takes part in a second split of the domain, and so on.
 
-Candidates. Sets that share a signature form a bucket. Pairs within a bucket aren't
-enumerated: in each of TURNS rounds each set is compared with one hub that it meets in
-its buckets; buckets whose members are in one component by then are done. What is left
-of buckets is compared in blocks of sets, all pairs within a task, of which the links
-that join components come out. Pairs whose sizes or parity sketches alone tell them
-apart go first; comparing means intersecting the whole sets. Copies of a set are
-folded before all this.
+Candidates. Sets that share a signature form a bucket; buckets of the same sets are
+one. Copies of a set are folded before all this. Then, each step on what is left:
+
+1. a shingle that one candidate alone has is missing in every partner, so a set with
+   more of those than a pair may differ in links with nothing and is dropped. This
+   leaves near copies, and takes away sets that merely have passages in common;
+2. each set of a bucket is compared with the bucket's representative alone, the set
+   that meets most others, which of edited copies is the original. Buckets whose sets
+   are in one component by then are done;
+3. in the buckets that remain, sets of different components are told apart by size and
+   by parity sketches of SKETCH bits, side by side in arrays, and the few pairs that
+   these can't tell apart are compared whole. A task holds two blocks of BLOCK sets at
+   most: a larger bucket is cut, blocks of one component aren't paired, and the rows of
+   a block are repeated once for each partner block. No more than those few pairs
+   leaves a task. Step 3 is the one whose comparisons, though not its rows, can grow
+   with the square of a bucket, and no exact join of sets that are all about equally
+   far apart can avoid them.
+
+Comparing means intersecting the sets of 64-bit hashes, of which two different shingles
+of a pair being equal is left out of account.
 
 Defined results: a null or empty text, or one of white space, has 0 shingles, links
 with nothing and is its own component; fewer words than a shingle has make one
 shingle of all of them; a null doc_id never names a component, and its row gets the
 component of the documents with the same set, or null; rows that repeat a doc_id
-are one node; an empty table gives no rows; other columns aren't read.
+are one node, with the links of all its texts; an empty table gives no rows; other
+columns aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm._graph import components
@@ -51,10 +66,10 @@ PERCENT = 80
 #: partitions in a group, and how many of them may differ; small sets have groups of one
 GROUP, DIFFER, LEAST_SIZE = 3, 1, 64
 SPLITS = 64
-#: rounds in which a node is compared with one other, before what is left is compared all
-TURNS = 1
-#: shingles in a block of sets that are compared in one task
-BLOCK = 50_000
+#: sets in a block of a large bucket
+BLOCK = 4_096
+#: shingles of candidates that are counted in one task
+SLICE = 2_000_000
 BLOOM_BITS = 26
 SKETCH = 1024
 U = np.uint64
@@ -203,7 +218,10 @@ def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarr
                 found.append(mix(value))
         todo = np.concatenate(weak) if weak else todo[:0]
     if len(todo):
-        raise RuntimeError(f"no usable split for sets of the sizes {sizes[todo[:5, 0]]}")
+        # out of splits: each feature is a signature. Of a pair both are here, or the other has enough usable groups.
+        left = np.unique(todo[:, 0])
+        owners.append(np.repeat(left, sizes[left]))
+        found.append(mix(np.concatenate([sets[i] for i in left.tolist()]) + U(SPLITS)))
     if not owners:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
     return np.concatenate(owners), np.concatenate(found)
@@ -270,15 +288,10 @@ def bucket_rows(rows: DataFrame) -> DataFrame:
     return held.select(F.xxhash64("n", "h1", "h2").alias("sig"), "node").distinct()
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, node, n, sketch, text of the documents named in wanted (doc_id, node), so that
-    a node has one doc_id: texts are shorter than their shingles.
-
-    A bitmap of fixed size, 2^BLOOM_BITS bits, tells the tasks which documents they
-    need not look at; those that it lets through needlessly are joined away."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BLOOM_BITS))
+def bitmap_of(wanted: DataFrame):
+    """A bitmap, broadcast, of the doc_ids in wanted: 2^BLOOM_BITS bits however many they are."""
     parts = (
-        wanted.select((slot + 1).alias("slot"))
+        wanted.select((slot_of() + 1).alias("slot"))
         .groupBy(F.bitmap_bucket_number("slot").alias("part"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     )
@@ -286,28 +299,119 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame
     for row in parts.toLocalIterator():
         at = (row["part"] - 1) * len(row["bits"])
         bitmap[at : at + len(row["bits"])] = np.frombuffer(row["bits"], dtype=np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    return wanted.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def slot_of() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << BLOOM_BITS))
+
+
+def named_sets(batches: Iterator[pa.RecordBatch], bitmap, words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The rows (doc_id, text, slot) that the bitmap lets through and that have shingles, and their sets."""
+    for batch in small(batches, 2_000_000):
+        slots = batch.column("slot").to_numpy()
+        named = (bitmap.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1
+        batch = batch.filter(pa.array(named.astype(bool)))
+        sets = shingle_sets(batch.column("text").to_pylist(), words)
+        filled = [len(s) > 0 for s in sets]
+        yield batch.filter(pa.array(filled, pa.bool_())), [s for s in sets if len(s)]
+
+
+def slotted(docs: DataFrame) -> DataFrame:
+    read = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return read.withColumn("slot", slot_of())
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows sorted by keys, cut where keys change only."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        if held and any(held[-1].column(k)[-1].as_py() != c[0] for k, c in zip(keys, columns)):
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(change):
+            last = int(change[-1])
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held, batch = [], batch.slice(last)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def lone_shingles(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
+    """node, lone: how many of its shingles no other candidate has, for each node of wanted (doc_id, node, n).
+
+    The domain of shingles is cut into slices, more for more candidates, and a slice is
+    counted in one task. A shingle is 32 bits within its slice: what these or the bitmap
+    confuse counts as shared, so nothing that links is dropped."""
+    slices = int((wanted.agg(F.sum("n")).first()[0] or 0) // SLICE) + 1
+    bitmap = bitmap_of(wanted)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in named_sets(batches, bitmap, words):
+            if not sets:
+                continue
+            nodes = np.array([node_of(set_key(s)) for s in sets])
+            features = mix(np.concatenate(sets) + U(7))
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            part = ((features >> U(32)) * U(slices) >> U(32)).astype(np.int64)
+            order = np.argsort(part, kind="stable")  # the owners stay in order within a slice
+            ends = np.cumsum(np.bincount(part, minlength=slices))
+            out = []
+            for k, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+                if a < b:
+                    own, counts = np.unique(owner[order[a:b]], return_counts=True)
+                    out.append((k, nodes[own].tobytes(), counts.astype("<u4").tobytes(), features[order[a:b]].astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), *[pa.binary()] * 3))], names=["slice", "nodes", "counts", "features"]
+            )
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, ["slice"]):
+            cuts = rows.column("slice").to_numpy()
+            columns = [rows.column(c).to_pylist() for c in ("nodes", "counts", "features")]
+            for k in np.unique(cuts).tolist():
+                a, b = np.searchsorted(cuts, [k, k + 1]).tolist()
+                nodes, counts, features = (np.frombuffer(b"".join(c[a:b]), t) for c, t in zip(columns, ("<i8", "<u4", "<u4")))
+                owners = np.repeat(nodes, counts)
+                order = np.lexsort((owners, features))
+                owners, features = owners[order], features[order]
+                start = np.flatnonzero(np.concatenate([[True], features[1:] != features[:-1]]))
+                last = np.concatenate([start[1:], [len(features)]]) - 1
+                lone = owners[start][owners[start] == owners[last]]  # sorted: first and last owner are one
+                found, n = np.unique(lone, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["node", "lone"])
+
+    cut = slotted(docs).mapInArrow(packed, "slice long, nodes binary, counts binary, features binary")
+    grouped = cut.repartition(slices, "slice").sortWithinPartitions("slice")
+    return grouped.mapInArrow(counted, "node long, lone long").groupBy("node").agg(F.sum("lone").alias("lone"))
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, node, n, sketch, text of the documents named in wanted (doc_id, node), so that
+    a node has one doc_id: texts are shorter than their shingles.
+
+    Documents that the bitmap lets through needlessly are joined away."""
+    bitmap = bitmap_of(wanted)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 2_000_000):
-            slots = batch.column("slot").to_numpy()
-            named = (shared.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1
-            batch = batch.filter(pa.array(named.astype(bool)))
-            sets = shingle_sets(batch.column("text").to_pylist(), words)
-            keys = [set_key(s) for s in sets]
+        for batch, sets in named_sets(batches, bitmap, words):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array([node_of(k) for k in keys], pa.int64()),
+                    pa.array([node_of(set_key(s)) for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([sketch_of(s).tolist() for s in sets], pa.list_(pa.int64())),
                     batch.column("text"),
                 ],
                 names=["doc_id", "node", "n", "sketch", "text"],
-            ).filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
+            )
 
-    read = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    held = read.withColumn("slot", slot).mapInArrow(found, "doc_id long, node long, n long, sketch array<long>, text string")
+    held = slotted(docs).mapInArrow(found, "doc_id long, node long, n long, sketch array<long>, text string")
     return held.join(wanted, ["doc_id", "node"], "left_semi")
 
 
@@ -326,185 +430,131 @@ def links_of(pairs: DataFrame, sets: DataFrame, words: int, percent: int) -> Dat
                 x, y = (shingle_sets(some.column(c).to_pylist(), words) for c in ("ta", "tb"))
                 yield some.select(["a", "b"]).filter(pa.array([links(p, q, percent) for p, q in zip(x, y)], pa.bool_()))
 
+    whole = lambda node, doc, text: sets.select(F.col("node").alias(node), F.col("doc_id").alias(doc), F.col("text").alias(text))
+    both = pairs.join(whole("x", "a", "ta"), "x").join(whole("y", "b", "tb"), "y").select("a", "b", "ta", "tb").filter("a != b")
+    return both.mapInArrow(compared, "a long, b long")
+
+
+def hub_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """x, y: the nodes of each bucket with its representative, unless size or sketches tell them apart."""
+    sizes = buckets.groupBy("sig").agg(F.count("*").alias("met"))
+    reach = buckets.join(sizes, "sig").groupBy("node").agg(F.sum("met").alias("reach"))
+    hubs = buckets.join(reach, "node").groupBy("sig").agg(F.max(F.struct("reach", "node")).alias("hub"))
+    pairs = buckets.join(hubs, "sig").filter("node != hub.node").select(F.col("hub.node").alias("x"), F.col("node").alias("y")).distinct()
     side = lambda s: sets.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     differ = F.aggregate(F.zip_with("sx", "sy", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
-    # without the sets themselves: too different in size, or in their sketches
     near = (
         pairs.join(side("x"), "x").join(side("y"), "y")
         .filter(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
         .filter((100 + percent) * differ <= (100 - percent) * (F.col("nx") + F.col("ny")))
-        .select("x", "y").distinct()
     )
-    whole = lambda node, doc, text: sets.select(F.col("node").alias(node), F.col("doc_id").alias(doc), F.col("text").alias(text))
-    both = near.join(whole("x", "a", "ta"), "x").join(whole("y", "b", "tb"), "y").select("a", "b", "ta", "tb").filter("a != b")
-    return both.mapInArrow(compared, "a long, b long")
-
-
-def spanning_links(ids: list, components: list, texts: list, words: int, percent: int) -> list[tuple[int, int]]:
-    """Links between the sets of a block that join different components.
-
-    Pairs are told apart by size, then by parity sketches about eight times as long as
-    the sets, all pairs of a set at once; what is left is compared whole."""
-    sets = shingle_sets(texts, words)
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    bits = 1 << max(9, int(8 * sizes.max()).bit_length())
-    width = min(bits, 1 << 17)
-    sketches = np.empty((len(sets), width // 64), dtype=U)
-    for i, s in enumerate(sets):
-        parity = np.bincount((mix(s) % U(width)).astype(np.int64), minlength=width) & 1
-        sketches[i] = np.packbits(parity.astype(np.uint8), bitorder="little").view(U)
-    root = np.array(components, dtype=np.int64)
-    found = []
-    for i in range(len(sets) - 1):
-        rest = slice(i + 1, None)
-        close = (root[rest] != root[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))
-        at = np.flatnonzero(close) + i + 1
-        if len(at):
-            differ = np.bitwise_count(sketches[at] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-            at = at[(100 + percent) * differ <= (100 - percent) * (sizes[at] + sizes[i])]
-        for j in at.tolist():
-            if root[j] != root[i] and links(sets[i], sets[j], percent):
-                found.append((ids[i], ids[j]))
-                root[root == root[j]] = root[i]
-    return found
-
-
-def by_group(rows: DataFrame, keys: list[str], columns: list[str], result, schema: str) -> DataFrame:
-    """result(*columns) of each group of rows, a group in one task, rows read as they come."""
+    return near.select("x", "y")
+
+
+def in_blocks(buckets: DataFrame, block: int) -> DataFrame:
+    """sig, left, right, side, node, component: the rows of buckets by the pairs of blocks to compare.
+
+    A bucket of up to block nodes is one block, its own partner. In a larger one
+    components of more than block nodes have blocks of their own, which aren't paired."""
+    sized = buckets.join(buckets.groupBy("sig").agg(F.count("*").alias("held")), "sig")
+    zero = [F.lit(0).cast("long").alias(c) for c in ("left", "right", "side")]
+    whole = sized.filter(F.col("held") <= block).select("sig", *zero, "node", "component")
+    large = sized.filter(F.col("held") > block).select("sig", "node", "component", "held")
+    large = large.join(large.groupBy("sig", "component").agg(F.count("*").alias("own")), ["sig", "component"])
+    big = F.col("own") > block
+    parts = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("long")
+    cell = F.when(big, F.xxhash64("component", F.pmod(F.xxhash64("node"), parts("own")))).otherwise(F.xxhash64(F.pmod(F.xxhash64("component"), parts("held"))))
+    placed = large.select("sig", "node", "component", cell.alias("cell"), F.when(big, F.col("component")).alias("home"))
+    cells = placed.select("sig", "cell", "home").distinct()
+    x, y = cells.alias("x"), cells.alias("y")
+    met = x.join(y, F.expr("x.sig = y.sig AND x.cell <= y.cell AND (x.home IS NULL OR y.home IS NULL OR x.home != y.home)"))
+    pairs = met.select("x.sig", F.col("x.cell").alias("left"), F.col("y.cell").alias("right"))
+    ended = pairs.withColumn("cell", F.explode(F.array_distinct(F.array("left", "right"))))
+    cut = placed.join(ended, ["sig", "cell"]).select("sig", "left", "right", (F.col("cell") == F.col("right")).cast("long").alias("side"), "node", "component")
+    return whole.unionByName(cut)
+
+
+def near_pairs(buckets: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """x, y: nodes that share a bucket (sig, node, component), not a component, and that size and sketches don't tell apart."""
+    keys = ["sig", "left", "right"]
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        now = None
-
-        def made() -> pa.RecordBatch:
-            found = result(*map(list, zip(*held)))
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=names)
-
-        for batch in batches:
-            for row in zip(*[batch.column(names_of[c]).to_pylist() for c in (*keys, *columns)]):
-                if row[: len(keys)] != now:
-                    if len(held) > 1:
-                        yield made()
-                    held, now = [], row[: len(keys)]
-                held.append(row[len(keys) :])
-        if len(held) > 1:
-            yield made()
-
-    names = [f.split()[0] for f in schema.split(", ")]
-    read = list(dict.fromkeys((*keys, *columns)))
-    names_of = {c: read.index(c) for c in read}
-    ordered = rows.select(*read).repartition(*keys).sortWithinPartitions(*keys)
-    return ordered.mapInArrow(compared, schema)
-
-
-def spanning_rows(rows: DataFrame, keys: list[str], words: int, percent: int) -> DataFrame:
-    """a, b: spanning_links() of each group of rows (keys, doc_id, component, text)."""
-    result = lambda ids, components, texts: spanning_links(ids, components, texts, words, percent)
-    return by_group(rows, keys, ["doc_id", "component", "text"], result, "a long, b long")
-
-
-def close_nodes(rows: DataFrame, percent: int) -> DataFrame:
-    """pair, node: of the two sides of each pair of blocks the nodes that have one on the other
-    side, of another component, that sizes and sketches don't tell apart."""
-
-    def near(pair: list, nodes: list, components: list, sides: list, sizes: list, sketches: list) -> list[tuple[int, int]]:
-        n, part = np.array(sizes, dtype=np.int64), np.array(components, dtype=np.int64)
-        bits = np.array(sketches, dtype=np.int64).view(U)
-        left, right = (np.flatnonzero(np.array(sides) == k) for k in (0, 1))
-        found: set[int] = set()
-        for i in left.tolist():
-            close = (part[right] != part[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))
-            at = right[close]
-            differ = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            at = at[(100 + percent) * differ <= (100 - percent) * (n[at] + n[i])]
-            found.update(at.tolist(), [i] if len(at) else [])
-        return [(pair[0], nodes[i]) for i in found]
-
-    return by_group(rows, ["pair"], ["pair", "node", "component", "side", "n", "sketch"], near, "pair long, node long")
-
-
-def block_links(buckets: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b: links that join different components, of all pairs that share a bucket.
-
-    buckets: sig, node, component. A node belongs to the family of its largest bucket,
-    and a family is cut into blocks of about BLOCK shingles. All in a block are
-    compared in one task. Of two blocks with a bucket in common the sketches are, in
-    one task, and what these don't tell apart is compared whole."""
-    sized = buckets.join(sets.select("node", "n"), "node")
-    weight = sized.groupBy("sig").agg(F.sum("n").alias("weight"))
-    home = sized.join(weight, "sig").groupBy("node", "component").agg(F.max(F.struct("weight", "sig")).alias("top"))
-    parts = F.ceil(F.col("top.weight") / F.lit(BLOCK)).cast("long")
-    blocks = home.select("node", "component", F.col("top.sig").alias("family"), F.pmod(F.xxhash64("node"), parts).alias("part"))
-    blocks = written(blocks, "blocks")
-    members = sets.select("node", "doc_id", "text").join(blocks, "node")
-    inner = spanning_rows(members, ["family", "part"], words, percent)
-    block = ["family", "part"]
-    met = buckets.join(blocks.select("node", *block), "node").groupBy("sig", *block).agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    x, y = met.alias("x"), met.alias("y")
-    apart = F.expr("x.sig = y.sig AND struct(x.family, x.part) < struct(y.family, y.part) AND (x.low != y.low OR x.high != y.high OR x.low != x.high)")
-    pairs = x.join(y, apart).select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in block]).distinct()
-    ends = [F.struct(F.col(f"family_{s}").alias("family"), F.col(f"part_{s}").alias("part"), F.lit(i).alias("side")) for i, s in enumerate("xy")]
-    ended = pairs.select(F.xxhash64(*pairs.columns).alias("pair"), F.explode(F.array(*ends)).alias("end")).select("pair", "end.*")
-    sketched = blocks.join(sets.select("node", "n", "sketch"), "node")
-    close = close_nodes(ended.join(sketched, block), percent).distinct()
-    again = close.join(blocks.select("node", "component"), "node").join(sets.select("node", "doc_id", "text"), "node")
-    return inner.unionByName(spanning_rows(again, ["pair"], words, percent))
-
-
-def _placed(buckets: DataFrame, members: DataFrame, component: DataFrame | None) -> DataFrame:
-    """sig, node, component of the buckets whose members are in several components."""
+        for rows in whole_groups(batches, keys):
+            sig, left, right, side, node, component, n = (rows.column(c).to_numpy() for c in (*keys, "side", "node", "component", "n"))
+            bits = rows.column("sketch").combine_chunks().flatten().to_numpy().view(U).reshape(len(n), -1)
+            new = (sig[1:] != sig[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+            starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+            end = np.repeat([*starts[1:], len(n)], np.diff([*starts, len(n)]))
+            at, step, found = np.arange(len(n)), 0, []
+            while len(at):  # all rows with the one step places on; sizes rise within a group
+                step += 1
+                at = at[at + step < end[at]]
+                at = at[100 * n[at] >= percent * n[at + step]]
+                apart = (component[at] != component[at + step]) & ((left[at] == right[at]) | (side[at] != side[at + step]))
+                a = at[apart]
+                for cut in range(0, len(a), 100_000):
+                    i = a[cut : cut + 100_000]
+                    j = i + step
+                    differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                    near = (100 + percent) * differ <= (100 - percent) * (n[i] + n[j])
+                    found.append(np.stack([node[i[near]], node[j[near]]]))
+            both = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["x", "y"])
+
+    rows = in_blocks(buckets, block).join(sets.select("node", "n", "sketch"), "node")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "n").mapInArrow(compared, "x long, y long").distinct()
+
+
+def _apart(buckets: DataFrame, sets: DataFrame, component: DataFrame | None) -> DataFrame:
+    """sig, node, component of the buckets whose nodes are in several components."""
+    at = sets.select("node", "doc_id")
     if component is None:
-        at = members.select("node", F.col("doc_id").alias("component"))
+        at = at.withColumn("component", F.col("doc_id"))
     else:
-        at = members.join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-            "node", F.coalesce("component", "doc_id").alias("component")
-        )
-    rows = buckets.join(at, "node")
-    apart = rows.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    return written(rows.join(apart, "sig").select("sig", "node", "component"), "buckets-apart")
-
-
-def hub_pairs(buckets: DataFrame, turn: int) -> DataFrame:
-    """x, y: each node with one of another component: of those it meets the one that meets most.
-
-    That is the original among edited copies. The second turn draws by a hash."""
-    sizes = buckets.groupBy("sig").agg(F.count("*").alias("met"))
-    meets = F.sum("met") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    reach = buckets.join(sizes, "sig").groupBy("node").agg(meets.alias("reach"))
-    ranked = F.struct(F.col("reach"), "node", "component")
-    placed = buckets.join(reach, "node")
-    hubs = placed.groupBy("sig").agg(F.max(ranked).alias("hub"))
-    chosen = buckets.join(hubs, "sig").filter("component != hub.component").groupBy("node").agg(F.max("hub").alias("hub"))
-    return chosen.select(F.least("node", "hub.node").alias("x"), F.greatest("node", "hub.node").alias("y"))
+        at = at.join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rows = buckets.select("sig", "node").join(at.select("node", "component"), "node")
+    several = rows.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return written(rows.join(several, "sig").select("sig", "node", "component"), "buckets-apart")
 
 
-def link_components(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame | None:
+def link_components(docs: DataFrame, classes: DataFrame, words: int, percent: int, block: int = BLOCK) -> DataFrame | None:
     """id, component of the documents that link with another set; None if there are none."""
     buckets = written(bucket_rows(signature_rows(docs, words, percent)), "buckets")
-    wanted = classes.join(buckets.select("node").distinct(), "node").select(F.col("rep").alias("doc_id"), "node")
-    sets = written(sets_of(docs, wanted, words), "candidate-sets")
-    members = sets.select("node", "doc_id")
-    component = None
-    for turn in range(TURNS + 1):
-        buckets = _placed(buckets.select("sig", "node"), members, component)
-        if buckets.isEmpty():
-            break
-        if turn == TURNS:
-            found = block_links(buckets, sets, words, percent)
-        else:
-            found = links_of(hub_pairs(buckets, turn), sets, words, percent)
-        if component is not None:
-            found = found.unionByName(component.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")))
-        component = written(components(found), "components")
-    return component
-
-
-def ngram_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    wanted = classes.select("node", "n", F.col("rep").alias("doc_id")).join(buckets.select("node").distinct(), "node")
+    wanted = written(wanted, "candidates")
+    # a partner has at most n * 100 / percent shingles
+    most = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent) / (100 + percent))
+    hopeless = lone_shingles(docs, wanted, words).join(wanted, "node").filter(F.col("lone") > most).select("node")
+    sets = written(sets_of(docs, wanted.join(hopeless, "node", "left_anti"), words), "candidate-sets")
+    buckets = _apart(buckets, sets, None)
+    if buckets.isEmpty():
+        return None
+    component = written(components(links_of(hub_pairs(buckets, sets, percent), sets, words, percent)), "components")
+    buckets = _apart(buckets, sets, component)
+    if buckets.isEmpty():
+        return component
+    more = links_of(near_pairs(buckets, sets, percent, block), sets, words, percent)
+    before = component.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return written(components(more.unionByName(before)), "components")
+
+
+def repeated_ids(table: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: each doc_id that has rows with different sets, with the representatives of these."""
+    keyed = table.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
+    several = keyed.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).filter("low != high")
+    return keyed.join(several, "doc_id").join(classes, "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
+def ngram_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     table = written(set_table(docs, words), "sets")
-    classes = table.filter("set_key IS NOT NULL").groupBy("set_key", "node").agg(F.min("doc_id").alias("rep"))
+    classes = table.filter("set_key IS NOT NULL").groupBy("set_key", "node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     classes = written(classes, "set-classes")
-    component = link_components(docs, classes.filter("rep IS NOT NULL"), words, percent)
+    component = link_components(docs, classes.filter("rep IS NOT NULL"), words, percent, block)
+    again = written(repeated_ids(table, classes), "repeated-ids")
+    if not again.isEmpty():
+        before = [] if component is None else [component.select(F.col("id").alias("a"), F.col("component").alias("b"))]
+        component = written(components(reduce(DataFrame.unionByName, before, again)), "components")
     if component is not None:
         classes = classes.join(component, F.col("rep") == F.col("id"), "left")
         classes = classes.select("set_key", F.coalesce("component", "rep").alias("component_id"))

@@ -146,3 +146,49 @@ def test_copies_let_through_by_the_bitmap(spark, monkeypatch):
     table = nj.set_table(df)
     wanted = table.groupBy("node").agg(nj.F.min("doc_id").alias("doc_id"))
     assert nj.sets_of(df, wanted).groupBy("node").count().filter("count > 1").count() == 0
+
+
+def edited(rng, vocabulary, words, share):
+    return " ".join(rng.choice(vocabulary) if rng.random() < share else w for w in words)
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_large_buckets_in_blocks(spark, block):
+    """Many copies edited so far that some link with some others only."""
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(2):
+        words = rng.choices(vocabulary, k=120)
+        texts += [edited(rng, vocabulary, words, rng.choice([0.005, 0.02, 0.04])) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want, links = brute([(r["doc_id"], r["text"]) for r in df.collect()])
+    assert links > 500 and 2 < len({c for _, c in want.values()}) < 200
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.ngram_groups(df, block=block).collect()}
+    assert got == want
+
+
+def test_sets_that_share_a_passage_alone_are_dropped(spark):
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, passage + " " + " ".join(rng.choices([f"w{k}" for k in range(5000)], k=60))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = nj.set_table(df).select("doc_id", "node", nj.F.col("n_shingles").alias("n"))
+    lone = [r["lone"] for r in nj.lone_shingles(df, wanted).collect()]
+    assert len(lone) == 300 and min(lone) >= 58
+    assert check(df) == 0
+
+
+def test_sets_that_run_out_of_splits(monkeypatch):
+    monkeypatch.setattr(nj, "SPLITS", 1)
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2**63, 20).astype(np.uint64)
+    sets = [np.unique(a), np.unique(a[:18])]
+    owner, sig = nj.signatures(sets * 20)
+    assert set(sig[owner % 2 == 0].tolist()) & set(sig[owner % 2 == 1].tolist())
+
+
+def test_a_doc_id_with_several_texts_is_one_node(spark):
+    a, b = "a b c d e f", "q r s t u v"
+    df = spark.createDataFrame([(1, a), (3, a), (3, b), (9, b)], "doc_id long, text string")
+    assert {r["component_id"] for r in nj.ngram_groups(df).collect()} == {1}
