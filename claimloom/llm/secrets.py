@@ -4,24 +4,27 @@ Base spans, leftmost non-overlapping for each kind: ``assign`` (a keyword, an
 assignment sign and a value of 8 characters or more), ``access`` (``AKIA`` ids of
 16 or more) and ``hex`` (32 or more lower-case hex digits).
 
-Entropy spans. Candidates are runs of ``CANDIDATE`` characters, MIN_RUN or longer,
-with a digit. A window of WINDOW characters slides along; within it the Shannon
-entropy is kept for three classes of characters: hexadecimal digits, letters and
-digits, and all of the base-64 alphabet. At each step the counts of the character
-that enters and of the one that leaves change by one, and the sum of n*log2(n),
-from which the entropy follows, by their differences: the work per step doesn't
-depend on the window. A candidate is reported, whole, with the class whose
-threshold a window of that class alone exceeds. The allow-list suppresses
-placeholders, UUIDs, integrity hashes' names and words joined by underscores;
-candidates that overlap a base span are left to it.
+Entropy spans. Candidates are runs of ``CANDIDATE`` characters, MIN_RUN or longer, in
+what is left between the leftmost matches of any base kind (so that what a base span
+covers isn't reported again, but what stands beside it is), with a digit or several
+changes of case. A window of WINDOW characters slides along. At each step the counts of
+the character that enters and of the one that leaves change by one, and the sum of
+n*log2(n), from which the entropy follows, by their differences; with them goes the
+length of the stretch of characters of each class that ends here: hexadecimal digits,
+letters and digits, all of the base-64 alphabet. The counts are packed into a few
+integers, 5 bits each, so that a step costs the same however long the run and the window
+are. A candidate is reported, whole, with the first class of whose windows one exceeds
+its threshold. The allow-list suppresses placeholders, UUIDs, integrity hashes' names and
+words joined by underscores, in candidates of up to ALLOW_RUN characters.
 
 Offsets are code points. Spark has no function for the place of a match, so they
-come from the lengths of the pieces between the matches, and only documents that
-have a match are cut. All is column functions, in one pass and without a shuffle.
+come from the lengths of the pieces between the matches, by running sums in blocks of
+SUM_BLOCK; only documents that have a match are cut. All is column functions, in one
+pass and without a shuffle.
 
 Defined results: a null text counts as empty; without spans the string of spans
 is empty and its digest that of the empty string; repeated rows each give a row;
-an empty table gives no rows.
+an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -42,11 +45,18 @@ BASE = (
     ("access", ACCESS, lambda m: F.length(m) >= 16),
     ("hex", HEX, lambda m: F.length(m) >= 32),
 )
+#: what base spans cover, as one pattern
+ANY_BASE = "(" + ASSIGN[1:-1].replace("]+)", "]{8,})") + r"|AKIA[A-Z0-9]{12,}|[0-9a-f]{32,})"
 MIN_RUN, WINDOW = 20, 20
 CANDIDATE = rf"([A-Za-z0-9+/_=-]{{{MIN_RUN},}})"
 ALPHABET = "0123456789abcdefABCDEFghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ+/_=-"
 #: class, how many leading characters of ALPHABET it has, threshold in bits
 CLASSES = (("hexdigits", 22, 3.0), ("alnum", 62, 3.6), ("base64", len(ALPHABET), 3.9))
+#: a digit, or lower and upper case by turns
+MIXED = r"[0-9]|(?<![a-z])(?:[a-z]++[A-Z]++){4}"
+ALLOW_RUN = 64
+PACK = 12
+SUM_BLOCK = 256
 ALLOWED = (
     r"(?i)example|sample|placeholder|changeme|dummy|xxxx|0000000|1234567",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
@@ -56,25 +66,51 @@ ALLOWED = (
 )
 
 
-def spans_of(text: Column, pattern: str) -> Column:
-    """The matches of pattern, whose first group is all of it: array of (start, end, found)."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 1)
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(found, F.length)
-    # the ends of the matches, by one running sum over gaps and matches
-    ends = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), sizes.alias("size")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["size"]).alias("at"),
-            F.concat(acc["ends"], F.array(acc["at"] + x["gap"] + x["size"])).alias("ends"),
-        ),
-        lambda acc: acc["ends"],
-    )
-    return F.transform(
-        F.arrays_zip(ends.alias("end"), found.alias("found")),
-        lambda x: F.struct((x["end"] - F.length(x["found"])).alias("start"), x["end"].alias("end"), x["found"].alias("found")),
-    )
+def with_value(value: Column, use) -> Column:
+    """use(value), with value computed once however often use reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running_sums(values: Column, first: Column | int = 0) -> Column:
+    """The sums of the leading elements of values, an array of integers, up to each.
+
+    An array that grows by an element a step is copied at each, so this goes by blocks."""
+
+    def scan(at_least: Column, n: Column, value_at, start: Column) -> Column:
+        seed = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("ends"))
+        step = lambda acc, i: with_value(
+            acc["at"] + value_at(i), lambda at: F.struct(at.alias("at"), F.concat(acc["ends"], F.array(at)).alias("ends"))
+        )
+        return F.when(n < 1, F.array().cast("array<int>")).otherwise(
+            F.aggregate(F.sequence(at_least, at_least + n - 1), seed, step, lambda acc: acc["ends"])
+        )
+
+    def of(v: Column) -> Column:
+        size = F.size(v)
+        blocks = F.floor((size + (SUM_BLOCK - 1)) / SUM_BLOCK).cast("int")
+        width = lambda k: F.least(F.lit(SUM_BLOCK), size - k * SUM_BLOCK)
+        place = lambda k: k * SUM_BLOCK + 1
+        within = lambda k: F.aggregate(F.sequence(place(k), place(k) + width(k) - 1), F.lit(0), lambda n, i: n + F.element_at(v, i))
+        before = scan(F.lit(0), blocks - 1, within, F.lit(first))
+        starts = F.concat(F.array(F.lit(first).cast("int")), before)
+        each = lambda start, k: scan(place(k), width(k), lambda i: F.element_at(v, i), start)
+        return F.when(size > 0, F.flatten(F.transform(starts, each))).otherwise(F.array().cast("array<int>"))
+
+    return with_value(values, of)
+
+
+def spans_of(text: Column, pattern: str, first: Column | int = 0) -> Column:
+    """The matches of pattern, whose first group is all of it: array of (start, end, found).
+
+    first is the place of the text's first character."""
+
+    def placed(found: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern, -1), F.length)
+        moves = F.zip_with(gaps, F.transform(found, F.length), lambda gap, size: gap + size)  # the last gap has no match
+        ends = running_sums(F.filter(moves, lambda m: m.isNotNull()), first)
+        return F.zip_with(ends, found, lambda end, x: F.struct((end - F.length(x)).alias("start"), end.alias("end"), x.alias("found")))
+
+    return with_value(F.regexp_extract_all(text, F.lit(pattern), 1), placed)
 
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
@@ -90,65 +126,76 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*map(of_kind, range(len(BASE)))))
 
 
-def window_entropy(run: Column, members: int, window: int = WINDOW) -> Column:
-    """The largest entropy of a window of run that has only the first members of ALPHABET.
-
-    -1 where there is no such window. In the running state are the count of each
-    character, the sum of n*log2(n) over them, and the length of the stretch of
-    members that ends here."""
-    gain = F.array(*[F.lit(n * log2(n) if n else 0.0) for n in range(window + 1)])
-    codes = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET[:members]), c))
-
-    def step(acc: Column, at: Column) -> Column:
-        enters = F.element_at(codes, at)
-        leaves = F.when(at > window, F.element_at(codes, at - window)).otherwise(F.lit(0))
-        n_in = F.when(enters > 0, F.element_at(acc["counts"], F.greatest(enters, F.lit(1)))).otherwise(F.lit(0))
-        same = enters == leaves
-        n_out = F.when(leaves > 0, F.element_at(acc["counts"], F.greatest(leaves, F.lit(1)))).otherwise(F.lit(0))
-        counts = F.when(same, acc["counts"]).otherwise(
-            F.transform(
-                acc["counts"],
-                lambda n, i: n + F.when(i + 1 == enters, 1).otherwise(0) - F.when(i + 1 == leaves, 1).otherwise(0),
-            )
-        )
-        f = lambda n: F.element_at(gain, n + 1)
-        entering = F.when(enters > 0, f(n_in + 1) - f(n_in)).otherwise(F.lit(0.0))
-        leaving = F.when(leaves > 0, f(F.greatest(n_out - 1, F.lit(0))) - f(n_out)).otherwise(F.lit(0.0))
-        total = acc["total"] + F.when(same, F.lit(0.0)).otherwise(entering + leaving)
-        stretch = F.when(enters > 0, acc["stretch"] + 1).otherwise(F.lit(0))
-        entropy = F.when(stretch >= window, F.lit(log2(window)) - total / float(window)).otherwise(F.lit(-1.0))
-        return F.struct(
-            counts.alias("counts"), total.alias("total"), stretch.alias("stretch"),
-            F.greatest(acc["best"], entropy).alias("best"),
+def window_kind(run: Column, window: int = WINDOW) -> Column:
+    """The first class of CLASSES with a window of run, of its characters alone, above its threshold; else null."""
+    gain = F.array(*[F.lit(n * log2(n) if n else 0.0) for n in range(window + 2)])
+    words = -(-len(ALPHABET) // PACK)
+
+    def judged(codes: Column) -> Column:
+        def packed(counts: Column, code: Column) -> Column:
+            """The count of a code, from the packed counts."""
+            word = F.element_at(F.array(*[counts[f"w{k}"] for k in range(words)]), F.floor((code - 1) / PACK).cast("int") + 1)
+            return F.call_function("shiftright", word, (code - 1) % PACK * 5).bitwiseAND(31).cast("int")
+
+        def one(code: Column, k: int) -> Column:
+            here = (code > k * PACK) & (code <= (k + 1) * PACK)
+            return F.when(here, F.call_function("shiftleft", F.lit(1).cast("long"), (code - 1) % PACK * 5)).otherwise(F.lit(0).cast("long"))
+
+        def moved(acc: Column, x: Column) -> Column:
+            enters, leaves = x["enters"], x["leaves"]
+            # the leaving character goes first, then the other enters
+            f = lambda n: F.element_at(gain, n + 1)
+            n_out = F.when(leaves > 0, packed(acc["counts"], leaves)).otherwise(F.lit(0))
+            n_in = packed(acc["counts"], enters) - F.when(enters == leaves, 1).otherwise(0)
+            counts = F.struct(*[(acc["counts"][f"w{k}"] + one(enters, k) - one(leaves, k)).alias(f"w{k}") for k in range(words)])
+            fewer = F.when(leaves > 0, f(F.greatest(n_out - 1, F.lit(0))) - f(n_out)).otherwise(F.lit(0.0))
+            stretches = [F.when(enters <= m, acc[f"s_{c}"] + 1).otherwise(F.lit(0)).alias(f"s_{c}") for c, m, _ in CLASSES]
+            return F.struct(counts.alias("counts"), (acc["total"] + fewer + f(n_in + 1) - f(n_in)).alias("total"), *stretches, *[acc[f"b_{c}"].alias(f"b_{c}") for c, _, _ in CLASSES])
+
+        def step(acc: Column, at: Column) -> Column:
+            pair = F.struct(F.element_at(codes, at).alias("enters"), F.when(at > window, F.element_at(codes, F.greatest(at - window, F.lit(1)))).otherwise(F.lit(0)).alias("leaves"))
+
+            def best(now: Column) -> Column:
+                entropy = F.lit(log2(window)) - now["total"] / float(window)
+                tops = [F.greatest(now[f"b_{c}"], F.when(now[f"s_{c}"] >= window, entropy).otherwise(F.lit(-1.0))).alias(f"b_{c}") for c, _, _ in CLASSES]
+                return F.struct(now["counts"].alias("counts"), now["total"].alias("total"), *[now[f"s_{c}"].alias(f"s_{c}") for c, _, _ in CLASSES], *tops)
+
+            return with_value(pair, lambda x: with_value(moved(acc, x), best))
+
+        start = F.struct(
+            F.struct(*[F.lit(0).cast("long").alias(f"w{k}") for k in range(words)]).alias("counts"), F.lit(0.0).alias("total"),
+            *[F.lit(0).alias(f"s_{c}") for c, _, _ in CLASSES], *[F.lit(-1.0).alias(f"b_{c}") for c, _, _ in CLASSES],
         )
 
-    start = F.struct(
-        F.array_repeat(F.lit(0), members).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("stretch"),
-        F.lit(-1.0).alias("best"),
-    )
-    return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, step, lambda acc: acc["best"])
+        def named(acc: Column) -> Column:
+            kind = F.lit(None).cast("string")
+            for name, _, bits in reversed(CLASSES):
+                kind = F.when(acc[f"b_{name}"] > bits, F.lit(f"entropy_{name}")).otherwise(kind)
+            return kind
 
+        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, step, named)
 
-def entropy_spans(text: Column, base: Column) -> Column:
-    looks = F.filter(
-        spans_of(text, CANDIDATE),
-        lambda s: s["found"].rlike("[0-9]")
-        & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        & ~s["found"].rlike("|".join(f"(?:{p})" for p in ALLOWED)),
-    )
+    return with_value(F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c)), judged)
 
-    def kind_of(run: Column) -> Column:
-        kind = F.lit(None).cast("string")
-        for name, members, bits in reversed(CLASSES):
-            kind = F.when(window_entropy(run, members) > bits, F.lit(f"entropy_{name}")).otherwise(kind)
-        return kind
 
-    judged = F.transform(
-        looks, lambda s: F.struct(s["start"], F.lit(len(BASE)).alias("rank"), kind_of(s["found"]).alias("kind"), s["end"])
-    )
-    found = F.filter(judged.cast(SPAN), lambda s: s["kind"].isNotNull())
+def entropy_spans(text: Column) -> Column:
+    def of_gap(gap: Column, start: Column) -> Column:
+        looks = F.filter(
+            spans_of(gap, CANDIDATE, start),
+            lambda s: s["found"].rlike(MIXED) & ~((F.length(s["found"]) <= ALLOW_RUN) & s["found"].rlike("|".join(f"(?:{p})" for p in ALLOWED))),
+        )
+        judged = F.transform(
+            looks, lambda s: F.struct(s["start"], F.lit(len(BASE)).alias("rank"), window_kind(s["found"]).alias("kind"), s["end"])
+        )
+        return F.when(gap.rlike(CANDIDATE), F.filter(judged.cast(SPAN), lambda s: s["kind"].isNotNull())).otherwise(F.array().cast(SPAN))
+
+    def between(matches: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(matches, lambda m: m["end"]))
+        return F.flatten(F.zip_with(F.split(text, ANY_BASE, -1), starts, of_gap))
+
+    cut = F.when(text.rlike(ANY_BASE), with_value(spans_of(text, ANY_BASE), between)).otherwise(of_gap(text, F.lit(0)))
     # most documents have no candidate: a cheap test first
-    return F.when(text.rlike(CANDIDATE), found).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(CANDIDATE), cut).otherwise(F.array().cast(SPAN))
 
 
 def joined(spans: Column) -> Column:
@@ -160,7 +207,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     read = docs.select("doc_id", text_of().alias("body"))
     based = read.withColumn("base", base_spans(F.col("body")))
     return based.select(
-        "doc_id", "base", F.array_sort(F.concat("base", entropy_spans(F.col("body"), F.col("base")))).alias("found")
+        "doc_id", "base", F.array_sort(F.concat("base", entropy_spans(F.col("body")))).alias("found")
     )
 
 
