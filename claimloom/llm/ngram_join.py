@@ -69,7 +69,9 @@ SPLITS = 64
 #: sets in a block of a large bucket
 BLOCK = 4_096
 #: shingles of candidates that are counted in one task
-SLICE = 2_000_000
+SLICE = 1_000_000
+#: characters of texts that a task has in arrays at once
+TEXT_AT_ONCE = 1_000_000
 BLOOM_BITS = 26
 SKETCH = 1024
 U = np.uint64
@@ -234,7 +236,7 @@ def set_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
     apart when sets are compared, which is by the whole of them."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 2_000_000):
+        for batch in small(batches, TEXT_AT_ONCE):
             sets = shingle_sets(batch.column("text").to_pylist(), words)
             keys = [set_key(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -256,7 +258,7 @@ def signature_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in small(batches, 2_000_000):
+        for batch in small(batches, TEXT_AT_ONCE):
             new = {}
             for features in shingle_sets(batch.column("text").to_pylist(), words):
                 if len(features) and (key := set_key(features)) not in seen:
@@ -308,7 +310,7 @@ def slot_of() -> Column:
 
 def named_sets(batches: Iterator[pa.RecordBatch], bitmap, words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """The rows (doc_id, text, slot) that the bitmap lets through and that have shingles, and their sets."""
-    for batch in small(batches, 2_000_000):
+    for batch in small(batches, TEXT_AT_ONCE):
         slots = batch.column("slot").to_numpy()
         named = (bitmap.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1
         batch = batch.filter(pa.array(named.astype(bool)))
