@@ -8,8 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, as a Java regular expression class.
-SPACE = r"[\x20\x09-\x0D]"
+#: a word, as a Java regular expression
 WORD = r"[^\x20\x09-\x0D]+"
 _LOCAL: dict[str, str] = {}
 
@@ -46,9 +45,5 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def drop_space(text: Column) -> Column:
-    return F.regexp_replace(text, SPACE + "+", "")
-
-
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,78 +1,107 @@
 """Exact deduplication by an extendible-hash index on shared files.
 
-A text's normal form is the text without ASCII white space. The index is built
-in three jobs and then probed by every document:
-
-1. Entries. Documents are grouped on their normal form itself, so equality is of
-   bytes. Copies are folded where they are read, before anything is shuffled: a
-   text that a third of all rows hold reaches its owner as one row a map task.
-2. Directory. The pseudo-key of an entry is the leading 60 bits of the SHA-256
-   of its normal form. From a histogram of the keys' leading bits the directory
-   is doubled, bit by bit, and each bucket that holds more than its capacity is
-   split, until none is overfull. A bucket is a range of keys.
-3. Buckets. Each range goes to one owner task, which writes its entries in key
-   order to the shared folder. Entries whose pseudo-keys collide form a chain in
-   the order of their digests.
-
-A probe finds the bucket of its key, walks the chain and compares the whole
-digest. Defined results: a null text counts as empty; empty texts are equal to
+A text's normal form is the text without ASCII white space; the pseudo-key of a
+normal form is the leading KEY_BITS bits of its SHA-256.
+
+1. Fold. The tasks that read documents give each normal form that they meet a number,
+   and write a row a document with that number; the normal form itself goes into the
+   first of these rows alone. They compare bytes, and hold FOLD_BYTES of them at most,
+   so a text that a third of all rows hold goes on as a few rows a task.
+2. Directory. From a histogram of the distinct pseudo-keys' leading bits the directory
+   is doubled, bit by bit, and each bucket that holds more than its capacity is split,
+   until none is overfull. A bucket is a range of pseudo-keys. The directory has at most
+   2^SLOT_BITS slots, which bounds what is broadcast; buckets that would need more
+   bits stay overfull, and work as well.
+3. Owners. Each normal form is sent to the owner task of its bucket, where those of one
+   pseudo-key, in the order of keys, form a chain: it is compared, byte by byte, with the
+   chain's members and either is one of them or becomes the next. The owners write the
+   index to the shared folder: the number of each folded text, with bucket, depth,
+   pseudo-key and place in the chain. A task holds the chain of one pseudo-key.
+4. Decisions. The rows of a number are summed up first, then those of a place in a
+   chain, and every document gets the result by its number.
+
+Defined results: a null text counts as empty; empty texts are equal to
 each other and to texts of white space alone; ties on length go to the smaller
 doc_id, and a null doc_id loses to any other; rows that repeat a doc_id each
-give a row; an empty table gives no rows; other columns aren't read.
+give a row; an empty table gives no rows; other columns aren't read, unless asked for
+by ``carry``.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm._shared import drop_space, text_of, written
+from claimloom.llm._shared import text_of, written
+from claimloom.llm.byte_bpe import small
 
 KEY_BITS = 60
-SLOT_BITS = 20  # the histogram's grain, and the deepest the directory gets
+SLOT_BITS = 18  # the histogram's grain, and the deepest the directory gets
 CAPACITY = 4096
-
-
-def _key(digest: Column) -> Column:
-    return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
-
-
-def entries_of(docs: DataFrame) -> DataFrame:
-    """One row a distinct normal form: key, text_sha256, group_size, keep_id, keep_chars."""
+FOLD_BYTES = 32 << 20
+SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
+
+
+def folded(docs: DataFrame, key_bits: int = KEY_BITS, carry: str | None = None) -> DataFrame:
+    """A row a document: fold (the number of its normal form), doc_id, n_chars, and in the
+    fold's first row body (the normal form), key and text_sha256, else null."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 36
+        known: dict[bytes, int] = {}
+        at = held = 0
+        for batch in small(batches):
+            folds, bodies = [], []
+            for text in batch.column("text").to_pylist():
+                body = text.translate(None, SPACES)
+                number = known.get(body)
+                if number is None:
+                    if held > FOLD_BYTES:
+                        known.clear()
+                        held = 0
+                    number = known[body] = first + at
+                    at += 1
+                    held += len(body) + 100
+                    bodies.append(body)
+                else:
+                    bodies.append(None)
+                folds.append(number)
+            digests = [None if b is None else hashlib.sha256(b).digest() for b in bodies]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c) for c in kept],
+                    pa.array(folds, pa.int64()),
+                    pa.array([None if d is None else int.from_bytes(d[:8], "big") >> (64 - key_bits) << (KEY_BITS - key_bits) for d in digests], pa.int64()),
+                    pa.array([None if d is None else d.hex() for d in digests], pa.string()),
+                    pa.array(bodies, pa.binary()),
+                ],
+                names=[*kept, "fold", "key", "text_sha256", "body"],
+            )
+
+    row = [F.struct("*").alias(carry)] if carry else []
     read = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.length(text_of()).alias("n_chars"),
-        drop_space(text_of()).alias("body"),
-    )
-    # ~doc_id turns the order of ids around, without the overflow of -doc_id
-    found = (
-        read.withColumn("text_sha256", F.sha2("body", 256))
-        .groupBy("text_sha256", "body")
-        .agg(
-            F.count("*").alias("group_size"),
-            F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("flipped"))).alias("best"),
-        )
-    )
-    return found.select(
-        _key(F.col("text_sha256")).alias("key"),
-        "text_sha256",
-        "group_size",
-        F.bitwise_not("best.flipped").alias("keep_id"),
-        F.col("best.n_chars").alias("keep_chars"),
+        *row, F.col("doc_id").cast("long").alias("doc_id"), F.length(text_of()).alias("n_chars"), text_of().cast("binary").alias("text")
     )
+    kept = [c for c in read.columns if c != "text"]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.select(*kept).schema)
+    return read.mapInArrow(fold, f"{fields}, fold long, key long, text_sha256 string, body binary")
 
 
-def directory_of(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The directory after all splits: slot, bucket, depth.
+def _slot():
+    return F.shiftrightunsigned("key", KEY_BITS - SLOT_BITS).alias("slot")
 
-    A slot is one value of a key's leading SLOT_BITS bits. Buckets that are
-    overfull at the deepest level stay so; their entries are chained."""
-    slots = written(
-        entries.groupBy(F.shiftrightunsigned("key", KEY_BITS - SLOT_BITS).alias("slot")).agg(F.count("*").alias("n")),
-        "directory-histogram",
-    )
+
+def directory_of(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The directory after all splits, of rows (key): slot, bucket, depth.
+
+    A slot is one value of a key's leading SLOT_BITS bits."""
+    slots = written(keys.select("key").distinct().groupBy(_slot()).agg(F.count("*").alias("n")), "directory-histogram")
     total = slots.agg(F.sum("n")).first()[0] or 0
     # the first directory is as deep as even buckets would need
     depth = min(SLOT_BITS, max(0, (total // capacity).bit_length() - 1))
@@ -92,39 +121,59 @@ def directory_of(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         depth += 1
 
 
-def index_of(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The index: bucket, depth, chain, and the columns of entries_of()."""
-    entries = written(entries_of(docs), "dedup-entries")
-    directory = written(directory_of(entries, capacity), "dedup-directory")
-    placed = entries.withColumn("slot", F.shiftrightunsigned("key", KEY_BITS - SLOT_BITS)).join(directory, "slot")
-    chain = Window.partitionBy("bucket", "key").orderBy("text_sha256")
-    owned = (
-        placed.repartition("bucket")
-        .withColumn("chain", F.row_number().over(chain))
-        .select("bucket", "depth", "key", "chain", "text_sha256", "group_size", "keep_id", "keep_chars")
-    )
-    return written(owned, "dedup-index")
-
-
-def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, carry: str | None = None) -> DataFrame:
+def chains(routed: DataFrame) -> DataFrame:
+    """bucket, depth, key, chain, fold, text_sha256 of rows with body besides, by the owners of the buckets."""
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, chain = None, []
+        for batch in batches:
+            places = []
+            for key, body in zip(batch.column("key").to_pylist(), batch.column("body").to_pylist()):
+                if key != now:
+                    now, chain = key, []
+                for place, member in enumerate(chain):
+                    if member == body:
+                        break
+                else:
+                    place = len(chain)
+                    chain.append(body)
+                places.append(place + 1)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in ("bucket", "depth", "key")], pa.array(places, pa.int32()), *[batch.column(c) for c in ("fold", "text_sha256")]],
+                names=["bucket", "depth", "key", "chain", "fold", "text_sha256"],
+            )
+
+    owned = routed.select("bucket", "depth", "key", "fold", "text_sha256", "body").repartition("bucket")
+    # by digest within a key: a place in a chain doesn't depend on the order of arrival
+    owned = owned.sortWithinPartitions("bucket", "key", "text_sha256")
+    return owned.mapInArrow(chained, "bucket long, depth int, key long, chain int, fold long, text_sha256 string")
+
+
+def index_of(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The index over folded rows, as files in the shared folder: the columns of chains()."""
+    texts = rows.filter("body IS NOT NULL")
+    directory = written(directory_of(texts, capacity), "dedup-directory")
+    routed = texts.withColumn("slot", _slot()).join(F.broadcast(directory), "slot")
+    return written(chains(routed), "dedup-index")
+
+
+def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, carry: str | None = None, key_bits: int = KEY_BITS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, chain for every row of docs.
 
     carry: the name of one more column, a struct of the row as it came in."""
-    index = index_of(docs, capacity).select("key", "text_sha256", "chain", "group_size", "keep_id", "keep_chars")
-    probe = docs.select(
-        *([F.struct("*").alias(carry)] if carry else []),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.length(text_of()).alias("n_chars"),
-        F.sha2(drop_space(text_of()), 256).alias("text_sha256"),
-    ).withColumn("key", _key(F.col("text_sha256")))
-    return probe.join(index, ["key", "text_sha256"]).select(
-        *([carry] if carry else []),
-        "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))).alias("kept"),
-        "text_sha256",
-        "chain",
+    rows = written(folded(docs, key_bits, carry), "dedup-folded")
+    index = index_of(rows, capacity)
+    # ~doc_id turns the order of ids around, without the overflow of -doc_id
+    best = F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("flipped")))
+    by_fold = rows.groupBy("fold").agg(F.count("*").alias("size"), best.alias("best"))
+    placed = by_fold.join(index, "fold")
+    entries = placed.groupBy("bucket", "key", "chain").agg(F.sum("size").alias("group_size"), F.max("best").alias("top"))
+    decided = placed.join(entries, ["bucket", "key", "chain"]).select("fold", "group_size", "top", "text_sha256", "chain")
+    keep_id = F.bitwise_not("top.flipped")
+    kept = F.col("doc_id").eqNullSafe(keep_id) & (F.col("n_chars") == F.col("top.n_chars"))
+    mine = rows.select("fold", "doc_id", "n_chars", *([carry] if carry else []))
+    return mine.join(decided, "fold").select(
+        *([carry] if carry else []), "doc_id", keep_id.alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", "chain"
     )
 
 
