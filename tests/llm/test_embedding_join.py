@@ -61,3 +61,26 @@ def test_repeats_null_ids_and_empty_table(spark):
     got = sorted((tuple(r) for r in ej.near_vectors(df).collect()), key=str)
     assert got == sorted([(1, 1, 1, True)] * 2 + [(2, 1, 1, False), (None, 0, None, True)], key=str)
     assert ej.near_vectors(df.limit(0)).count() == 0
+
+
+def test_many_equal_vectors_stay_one(spark):
+    """50,000 copies, and as many close ones of another: rows between the steps grow with the vectors."""
+    n = 50_000
+    copies = spark.range(n).selectExpr("id AS vec_id", "array(1D, 0.5D, 0.25D) AS embedding", "'x' AS label")
+    other = spark.range(n, n + 5_000).selectExpr("id AS vec_id", "array(0D, 1D, 1e-7D * id) AS embedding", "'x' AS label")
+    df = copies.unionByName(other)
+    clean = ej.clean_vectors(df)
+    classes = ej.classes_of(clean)
+    assert classes.count() == 5_001
+    blocks = ej.grid_ordered(classes, 0.98)
+    pairs = ej.near_blocks(blocks, 0.98)
+    assert ej.block_links(pairs, blocks, 0.98).count() < 20 * 5_001
+    got = ej.near_vectors(df).groupBy("component_id", "n_links").count().collect()
+    assert sorted(map(tuple, got)) == [(0, n - 1, n), (n, 4_999, 5_000)]
+
+
+def test_blocks_are_found_from_one_interval(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6).tolist(), "a" if i % 3 else "b") for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(6)
+    check(df, 0.9, block=3)
