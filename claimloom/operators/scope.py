@@ -30,6 +30,15 @@ def allowed_documents(drafts: DataFrame, bundles: DataFrame, documents: DataFram
     return bundled.unionByName(rest).distinct()
 
 
+def ordered_documents(drafts: DataFrame, bundles: DataFrame, documents: DataFrame, fallback: bool = True) -> DataFrame:
+    """allowed_documents() with place, the order in the draft: by created_at, name and id.
+
+    documents: doc_id, matter, created_at, name."""
+    rows = allowed_documents(drafts, bundles, documents, fallback).join(documents.select("doc_id", "created_at", "name"), "doc_id")
+    order = Window.partitionBy("draft_id").orderBy("created_at", "name", "doc_id")
+    return rows.select("draft_id", "doc_id", F.row_number().over(order).alias("place"))
+
+
 def new_links(requests: DataFrame, existing: DataFrame) -> DataFrame:
     """Requested pairs that aren't there yet, once each, numbered after the claim's last.
 

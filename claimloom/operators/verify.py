@@ -119,6 +119,21 @@ CEILING_PARTIAL = ("absolute_qualifier_mismatch", "temporal_scope_mismatch", "na
 CEILING_AMBIGUOUS = ("subject_mismatch", "knowledge_escalation", "causation_escalation", "contextual_support_only")
 
 
+def capped(verdict: Column, flags: Column, roles: Column) -> Column:
+    """D3: a refined verdict, lowered where it is stronger than contextual support or a flag allows.
+
+    roles: the roles of the assessed support, contextual or another. A verdict that is
+    no stronger than the ceiling stays as it is."""
+    contextual = (F.size(roles) > 0) & F.forall(roles, lambda r: r == "contextual")
+    has = lambda own: F.arrays_overlap(flags, F.array(*map(F.lit, own)))
+    strength = strength_of(verdict)
+    return (
+        F.when((contextual | has(CEILING_AMBIGUOUS)) & (strength > 2), "AMBIGUOUS")
+        .when(has(CEILING_PARTIAL) & (strength > 3), "PARTIALLY_SUPPORTED")
+        .otherwise(verdict)
+    )
+
+
 def strength_of(verdict: Column) -> Column:
     found = F.lit(None).cast("int")
     for name, value in STRENGTH:

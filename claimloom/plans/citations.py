@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from claimloom.functions import duck as D
 from claimloom.functions import rules, text
 from claimloom.operators import authority
+from claimloom.sources import views
 from claimloom.sources.views import table
 
 REPORTERS = ("U.S.", "F.3d", "F. Supp.")
@@ -21,12 +22,12 @@ def citations(spark, sf_dir):
     pin = F.when(k % 9 == 0, F.concat(F.lit(", "), (F.col("part") % 100).cast("string"))).otherwise("")
     year = F.when(k % 6 == 0, "").when(k % 6 == 1, F.concat(F.lit(" (2d Cir. "), (1950 + k % 70).cast("string"), F.lit(")"))).otherwise(F.concat(F.lit(" ("), (1950 + k % 70).cast("string"), F.lit(")")))
     cite = F.concat(name, F.lit(", "), F.col("volume").cast("string"), F.lit(" "), reporter, F.lit(" "), (F.col("part") % 100000).cast("string"), pin, year)
-    items = table(spark, sf_dir, "benchmark").filter("item_id < 40").select("item_id", F.split("text", r"\. ").alias("s"))
-    rows = one.withColumn("name", name).withColumn("reporter_of", reporter).withColumn("cite", cite).join(items, k % 40 == F.col("item_id"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.split("text", r"\. ").alias("s"))
+    rows = one.withColumn("name", name).withColumn("reporter_of", reporter).withColumn("cite", cite).join(items, k % views.items(spark, sf_dir) == F.col("item_id"))
     signal = F.element_at(F.array(*map(F.lit, ("See ", "", "But see ", "Cf. ", "under "))), (k % 5 + 1).cast("int"))
     claim = F.concat(F.when(k % 3 == 0, "all ").otherwise(""), F.col("s")[0])
     return rows.select(
-        "cite_id", (k % 50).alias("draft_id"), F.concat(signal, "cite", F.lit(";")).alias("cite_text"), F.concat(signal, "cite", F.lit(" held that "), claim, F.lit(".")).alias("proposition"),
+        "cite_id", F.expr("cite_id div 1200").alias("draft_id"), F.concat(signal, "cite", F.lit(";")).alias("cite_text"), F.concat(signal, "cite", F.lit(" held that "), claim, F.lit(".")).alias("proposition"),
         F.struct("name", F.col("volume").cast("string").alias("volume"), F.col("reporter_of").alias("reporter"), (F.col("part") % 100000).cast("string").alias("page"), (1950 + k % 70).cast("int").alias("year")).alias("own"), "s",
     )
 
@@ -96,13 +97,13 @@ CORE = rf"""trim(regexp_replace(CASE WHEN starts_with(p0, citation) THEN ltrim(s
 TOKENS = lambda c: D.tokens(_matchable(c), rules.AUTHORITY_STOP, 2)
 CITES = rf"""WITH RECURSIVE
   one AS (SELECT l_orderkey AS cite_id, min(l_partkey) AS part, CAST(trunc(min(l_quantity)) AS INTEGER) AS volume FROM lineitem GROUP BY 1),
-  items AS (SELECT item_id, string_split(text, '. ') AS s FROM benchmark WHERE item_id < 40),
+  items AS (SELECT item_id, string_split(text, '. ') AS s FROM benchmark),
   built AS (SELECT *, 'Nation' || (cite_id % 25) || CASE WHEN cite_id % 4 = 0 THEN ' of the North' ELSE '' END || ' v. Nation' || (cite_id * 7 % 25) AS name,
       ['U.S.', 'F.3d', 'F. Supp.'][cite_id % 3 + 1] AS reporter, CAST(part % 100000 AS VARCHAR) AS page, CAST(1950 + cite_id % 70 AS INTEGER) AS yr, ['See ', '', 'But see ', 'Cf. ', 'under '][cite_id % 5 + 1] AS signal
-    FROM one JOIN items ON cite_id % 40 = item_id),
+    FROM one JOIN items ON cite_id % (SELECT count(*) FROM benchmark) = item_id),
   cites AS (SELECT *, name || ', ' || volume || ' ' || reporter || ' ' || page || CASE WHEN cite_id % 9 = 0 THEN ', ' || (part % 100) ELSE '' END
       || CASE WHEN cite_id % 6 = 0 THEN '' WHEN cite_id % 6 = 1 THEN ' (2d Cir. ' || yr || ')' ELSE ' (' || yr || ')' END AS citation FROM built),
-  parsed AS (SELECT cite_id, cite_id % 50 AS draft_id, citation, name AS case_name, CAST(volume AS VARCHAR) AS volume, reporter, page,
+  parsed AS (SELECT cite_id, cite_id // 1200 AS draft_id, citation, name AS case_name, CAST(volume AS VARCHAR) AS volume, reporter, page,
       CASE WHEN cite_id % 9 = 0 THEN CAST(part % 100 AS VARCHAR) END AS pin, CASE WHEN cite_id % 6 = 1 THEN '2d Cir.' END AS court, CASE WHEN cite_id % 6 <> 0 THEN yr END AS year,
       concat_ws('|', {NAME_KEY("name")}, CAST(volume AS VARCHAR), {R_KEY("reporter")}, page, CASE WHEN cite_id % 6 <> 0 THEN CAST(yr AS VARCHAR) END) AS reference, signal, s FROM cites),
   entries AS (SELECT volume, reporter, page, min(cite_id) AS authority_id FROM parsed WHERE cite_id % 3 = 0 GROUP BY ALL),
@@ -129,7 +130,7 @@ J9 = CITES + """ SELECT cite_id, authority_id, CASE WHEN cite_id % 13 = 0 THEN '
 J12 = CITES + " SELECT cite_id, overlap, status, verdict, confidence, excerpt FROM verdicts"
 A10 = CITES + """ SELECT draft_id, count(*) AS citations, count(*) FILTER (verdict IN ('OVERSTATED', 'AMBIGUOUS', 'UNSUPPORTED')) AS flagged, count(*) FILTER (verdict = 'SUPPORTED') AS supported,
   count(*) FILTER (verdict = 'OVERSTATED') AS overstated, count(authority_id) AS matched, count(*) FILTER (status = 'unavailable') AS unavailable FROM verdicts GROUP BY draft_id"""
-F19 = CITES + f""", f AS (SELECT draft_id, {NAME_KEY("case_name")} AS citation, min(cite_id) AS cite_id FROM parsed WHERE cite_id % 4 <> 1 GROUP BY ALL)
+F19 = CITES + """, f AS (SELECT draft_id, citation, min(cite_id) AS cite_id FROM parsed GROUP BY ALL)
 SELECT draft_id, citation, CAST(row_number() OVER (PARTITION BY draft_id ORDER BY cite_id) AS INTEGER) AS place FROM f"""
 
 

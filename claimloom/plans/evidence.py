@@ -130,14 +130,14 @@ FROM k
 
 def j13(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    statements = docs.join(views.claims(spark, sf_dir).withColumnRenamed("text", "claim"), F.col("doc_id") % 40 == F.col("item_id"))
+    statements = docs.join(views.claims(spark, sf_dir).withColumnRenamed("text", "claim"), F.col("doc_id") % views.items(spark, sf_dir) == F.col("item_id"))
     statements = statements.filter("seq = 0").select(F.col("doc_id").alias("statement_id"), "doc_id", F.col("claim").alias("text"))
     return suggest.statement_verdicts(statements, docs)
 
 
 DOC = lambda c: D.tokens(D.matchable(c), rules.DOCUMENT_STOP, 2)
 J13 = rf"""{with_views("claims")},
-  st AS (SELECT doc_id, {DOC("c.text")} AS mine FROM documents d JOIN claims c ON d.doc_id % 40 = c.item_id WHERE seq = 0),
+  st AS (SELECT doc_id, {DOC("c.text")} AS mine FROM documents d JOIN claims c ON d.doc_id % (SELECT count(*) FROM benchmark) = c.item_id WHERE seq = 0),
   ln AS (SELECT * FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g')) AS line,
     generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE line <> ''),
   pr AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM ln),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from claimloom.operators import authority, graph, history, lookups, review
+from claimloom.operators import authority, graph, history, lookups, review, scope
 from claimloom.plans.citations import CITES, citations
 from claimloom.plans.evidence import EDGES
 from claimloom.plans.workflow import RUNS, W9_CTE, _latest, _runs, j5
@@ -38,7 +38,7 @@ def j10_misses(spark, sf_dir):
 
 
 KEYS = CITES + """,
-  ky AS (SELECT cite_id, volume || '|' || replace(lower(reporter), ' ', '') || '|' || right(page, 2) AS lookup_key FROM parsed),
+  ky AS (SELECT cite_id, reference AS lookup_key FROM parsed UNION ALL SELECT -cite_id, reference FROM parsed WHERE cite_id % 4 = 2),
   ch AS (SELECT lookup_key, CASE WHEN min(cite_id) % 4 = 0 THEN 'authority_not_found' ELSE 'authority_found' END AS lookup_status FROM ky WHERE cite_id % 3 = 1 GROUP BY 1)"""
 J10 = KEYS + " SELECT cite_id, lookup_key, lookup_status FROM ky LEFT JOIN ch USING (lookup_key)"
 J10_MISSES = KEYS + " SELECT lookup_key, count(*) AS asked FROM ky ANTI JOIN ch USING (lookup_key) GROUP BY 1"
@@ -60,7 +60,7 @@ def j11(spark, sf_dir):
 
 
 J11 = CITES + """,
-  k AS (SELECT cite_id AS k, year FROM parsed WHERE cite_id % 2 = 0),
+  k AS (SELECT cite_id AS k, year FROM parsed),
   x AS (SELECT k, year IS NULL AS noyear, k % 11 = 0 AS none, k % 13 = 0 AS lone, k % 5 <> 0 AS two, k % 7 = 0 AS wrong FROM k)
 SELECT k AS cite_id, CASE WHEN k % 37 = 0 THEN 'lookup_missing_fields' WHEN k % 31 = 0 THEN 'lookup_unavailable' WHEN k % 17 = 0 OR none THEN 'authority_not_found' WHEN k % 19 = 0 OR k % 23 = 0 THEN 'lookup_unavailable'
     WHEN k % 29 = 0 THEN 'lookup_error' WHEN lone THEN CASE WHEN noyear THEN 'authority_found' ELSE 'authority_year_mismatch' END
@@ -134,18 +134,44 @@ SELECT draft_id, a || '. Flagged claims: ' || coalesce(b, 'none') || '.' AS summ
 
 
 def a6(spark, sf_dir):
-    """A draft's weak, changed and unstable claims, as counts and lists."""
-    rows = history.change_summary(_runs(spark, sf_dir))
+    """A draft's risk distribution, weak, changed and contradicted claims, clusters of weak support and pairs of edges."""
+    runs = _runs(spark, sf_dir)
+    rows = history.change_summary(runs)
+    verdicts = runs.groupBy("claim_id").agg((F.count_distinct("verdict") > 1).alias("unstable"))
+    edges = graph.claim_edges(views.claims(spark, sf_dir))
+    against = edges.filter("relation = 'contradicts'").select(F.col("source_id").alias("claim_id"), F.lit(True).alias("against")).distinct()
+    rows = rows.join(verdicts, "claim_id").join(against, "claim_id", "left")
     weak = F.array_contains("categories", "weak_support")
     ids = lambda test: F.array_join(F.array_sort(F.collect_list(F.when(test, F.col("claim_id")))), ",")
-    return rows.groupBy("draft_id").agg(
-        ids(weak).alias("weak_claims"), ids(F.col("verdict_changed")).alias("changed_claims"), F.count_if(F.col("verdict") == "UNSUPPORTED").alias("unsupported"), F.max("score").cast("long").alias("top_score"),
+    each = [F.count_if(F.col("verdict") == v).alias(v.lower()) for v in review.COUNTED]
+    drafts = rows.groupBy("draft_id").agg(
+        *each, ids(weak).alias("weak_claims"), ids(F.col("unstable")).alias("changed_claims"), ids(F.col("unstable") | F.col("against")).alias("contradiction_claims"), F.max("score").cast("long").alias("top_score"),
     )
-
-
-A6 = W9_CTE + """ SELECT draft_id, coalesce(string_agg(CASE WHEN list_contains(l.categories, 'weak_support') THEN s.claim_id END, ',' ORDER BY s.claim_id), '') AS weak_claims,
-  coalesce(string_agg(CASE WHEN verdict_changed THEN s.claim_id END, ',' ORDER BY s.claim_id), '') AS changed_claims, count(*) FILTER (l.verdict = 'UNSUPPORTED') AS unsupported, max(CASE WHEN changed THEN score ELSE 0 END) AS top_score
-FROM scored s JOIN (SELECT claim_id, categories, verdict FROM latest) l USING (claim_id) GROUP BY draft_id"""
+    flags = rows.filter(weak).select("draft_id", F.explode(F.when(F.size("flags") > 0, F.col("flags")).otherwise(F.array(F.lit("weak_support")))).alias("flag"))
+    ranked = flags.groupBy("draft_id", "flag").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(Window.partitionBy("draft_id").orderBy(F.desc("n"), "flag"))).filter("place <= 5")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "flag", "n"))), lambda x: F.concat_ws("=", x["flag"], x["n"])), ",")
+    clusters = ranked.groupBy("draft_id").agg(listed.alias("weak_clusters"))
+    pair = F.struct(F.least("source_id", "target_id"), F.greatest("source_id", "target_id"))
+    pairs = edges.groupBy("draft_id").agg(*[F.count_distinct(F.when(F.col("relation") == r, pair)).alias(f"{r}_pairs") for r in ("contradicts", "duplicate_of")])
+    joined = drafts.join(clusters, "draft_id", "left").join(pairs, "draft_id", "left")
+    return joined.fillna({"weak_clusters": "", "contradicts_pairs": 0, "duplicate_of_pairs": 0})
+
+
+_COUNTS = ", ".join(f"count(*) FILTER (l.verdict = '{v}') AS {v.lower()}" for v in review.COUNTED)
+A6 = W9_CTE.replace("WITH RECURSIVE", "WITH RECURSIVE" + views.SQL["claims"] + "," + EDGES + ",") + f""",
+  un AS (SELECT claim_id, count(DISTINCT verdict) > 1 AS unstable FROM runs GROUP BY 1),
+  dr AS (SELECT s.draft_id, {_COUNTS}, coalesce(string_agg(CASE WHEN list_contains(l.categories, 'weak_support') THEN claim_id END, ',' ORDER BY claim_id), '') AS weak_claims,
+      coalesce(string_agg(CASE WHEN unstable THEN claim_id END, ',' ORDER BY claim_id), '') AS changed_claims,
+      coalesce(string_agg(CASE WHEN unstable OR claim_id IN (SELECT source_id FROM edges WHERE relation = 'contradicts') THEN claim_id END, ',' ORDER BY claim_id), '') AS contradiction_claims,
+      max(CASE WHEN changed THEN score ELSE 0 END) AS top_score
+    FROM scored s JOIN latest l USING (claim_id) JOIN un USING (claim_id) GROUP BY s.draft_id),
+  fl AS (SELECT draft_id, unnest(CASE WHEN len(flags) > 0 THEN flags ELSE ['weak_support'] END) AS flag FROM latest WHERE list_contains(categories, 'weak_support')),
+  fn AS (SELECT draft_id, flag, count(*) AS n FROM fl GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY draft_id ORDER BY n DESC, flag) <= 5),
+  cl AS (SELECT draft_id, string_agg(flag || '=' || n, ',' ORDER BY n DESC, flag) AS weak_clusters FROM fn GROUP BY 1),
+  pa AS (SELECT draft_id, count(DISTINCT (least(source_id, target_id), greatest(source_id, target_id))) FILTER (relation = 'contradicts') AS a,
+      count(DISTINCT (least(source_id, target_id), greatest(source_id, target_id))) FILTER (relation = 'duplicate_of') AS b FROM edges GROUP BY 1)
+SELECT dr.*, coalesce(weak_clusters, '') AS weak_clusters, coalesce(a, 0) AS contradicts_pairs, coalesce(b, 0) AS duplicate_of_pairs
+FROM dr LEFT JOIN cl USING (draft_id) LEFT JOIN pa USING (draft_id)"""
 
 
 def o2(spark, sf_dir):
@@ -180,15 +206,22 @@ JOIN (SELECT claim_id, count(DISTINCT verdict) > 1 AS unstable FROM runs GROUP B
 
 
 def j4(spark, sf_dir):
-    """A draft's candidate segments, of its matter's documents, in record order."""
-    drafts = views.claims(spark, sf_dir).select("draft_id", "matter").distinct()
-    s = views.segments(spark, sf_dir).join(drafts, "matter")
+    """A draft's candidate segments: of its bundle's documents, else of its matter's, both in their orders."""
+    drafts = views.claims(spark, sf_dir).select("draft_id", "matter").distinct().withColumn("bundle", F.expr("CASE WHEN draft_id % 3 = 0 THEN draft_id END"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("matter"), F.col("n_chars").alias("created_at"), F.col("lang").alias("name"))
+    bundles = docs.select(F.expr("doc_id div 10").alias("bundle"), "doc_id")
+    allowed = scope.ordered_documents(drafts, bundles, docs)
     order = Window.partitionBy("draft_id", "doc_id").orderBy((~F.col("anchored")).cast("int"), "line_no", "segment_id")
-    return s.select("draft_id", "doc_id", "segment_id", F.row_number().over(order).alias("place"))
+    rows = allowed.select("draft_id", "doc_id", F.col("place").alias("doc_place")).join(views.segments(spark, sf_dir).drop("matter"), "doc_id")
+    return rows.select("draft_id", "doc_id", "doc_place", "segment_id", F.row_number().over(order).alias("place"))
 
 
-J4 = with_views("claims", "segments") + """ SELECT draft_id, doc_id, segment_id, CAST(row_number() OVER (PARTITION BY draft_id, doc_id ORDER BY CASE WHEN anchored THEN 0 ELSE 1 END, line_no, segment_id) AS INTEGER) AS place
-FROM segments JOIN (SELECT DISTINCT draft_id, matter FROM claims) USING (matter)"""
+J4 = with_views("claims", "segments") + """,
+  dr AS (SELECT DISTINCT draft_id, matter, CASE WHEN draft_id % 3 = 0 THEN draft_id END AS bundle FROM claims),
+  al AS (SELECT draft_id, doc_id, n_chars, lang FROM dr JOIN documents ON bundle = doc_id // 10 UNION SELECT draft_id, doc_id, n_chars, lang FROM dr JOIN documents ON matter = source WHERE bundle IS NULL),
+  od AS (SELECT draft_id, doc_id, CAST(row_number() OVER (PARTITION BY draft_id ORDER BY n_chars NULLS FIRST, lang NULLS FIRST, doc_id) AS INTEGER) AS doc_place FROM al)
+SELECT draft_id, doc_id, doc_place, segment_id, CAST(row_number() OVER (PARTITION BY draft_id, doc_id ORDER BY CASE WHEN anchored THEN 0 ELSE 1 END, line_no, segment_id) AS INTEGER) AS place
+FROM od JOIN segments USING (doc_id)"""
 
 _ALL = {
     "j4_candidate_segments": (j4, J4), "j10_cached_lookups": (j10, J10), "j10_lookup_misses": (j10_misses, J10_MISSES), "j11_adjudicated_lookups": (j11, J11), "f17_citation_propositions": (f17, None),

@@ -154,7 +154,8 @@ def a9(spark, sf_dir):
     return verdicts.join(edges, "claim_id", "left").withColumn("contradicted", F.coalesce("contradicted", F.lit(False)))
 
 
-A9 = with_views("runs") + " SELECT claim_id, count(DISTINCT verdict) AS verdicts, count(DISTINCT verdict) > 1 AS unstable FROM runs WHERE run_id % 40 < 2 GROUP BY claim_id"
+A9 = with_views("runs", "claims") + "," + EDGES + """ SELECT claim_id, count(DISTINCT verdict) AS verdicts, count(DISTINCT verdict) > 1 AS unstable,
+  claim_id IN (SELECT source_id FROM edges WHERE relation = 'contradicts') AS contradicted FROM runs GROUP BY claim_id"""
 
 
 def a11(spark, sf_dir):
@@ -204,21 +205,24 @@ FROM cl"""
 
 
 def d3(spark, sf_dir):
-    """Refined verdicts capped by flags: a run's verdict is refined to the claim's strongest."""
+    """Refined verdicts and their ceilings: the latest run's verdict is refined to the claim's strongest."""
     runs = _runs(spark, sf_dir)
-    best = runs.groupBy("claim_id").agg(F.max(verify.strength_of(F.col("verdict"))).alias("s"))
+    best = runs.groupBy("claim_id").agg(F.max(F.struct(verify.strength_of(F.col("verdict")).alias("s"), "verdict"))["verdict"].alias("refined"))
+    role = lambda i: F.when((F.col("run_id") + i) % 3 == 0, "substantive").otherwise("contextual")
+    roles = F.when(F.col("n_support") > 0, F.transform(F.sequence(F.lit(1), F.col("n_support")), role)).otherwise(F.array().cast("array<string>"))
     rows = _latest(spark, sf_dir).join(best, "claim_id")
-    has = lambda own: F.arrays_overlap("flags", F.array(*map(F.lit, own)))
-    ceiling = F.when(has(verify.CEILING_AMBIGUOUS), 2).when(has(verify.CEILING_PARTIAL), 3).otherwise(4)
-    refined = F.element_at(F.array(*map(F.lit, ("UNSUPPORTED", "AMBIGUOUS", "PARTIALLY_SUPPORTED", "SUPPORTED"))), F.least("s", ceiling).cast("int"))
-    return rows.select("claim_id", F.when(has(verify.BLOCKING), F.col("verdict")).otherwise(refined).alias("verdict"))
+    blocked = F.arrays_overlap("flags", F.array(*map(F.lit, verify.BLOCKING)))
+    return rows.select("claim_id", "refined", F.when(blocked, F.col("verdict")).otherwise(verify.capped(F.col("refined"), F.col("flags"), roles)).alias("verdict"))
 
 
-D3 = RUNS + """, st AS (SELECT claim_id, max(CASE verdict WHEN 'SUPPORTED' THEN 4 WHEN 'PARTIALLY_SUPPORTED' THEN 3 WHEN 'UNSUPPORTED' THEN 1 ELSE 2 END) AS s FROM r GROUP BY claim_id)
-SELECT claim_id, CASE WHEN list_has_any(flags, ['missing_citation', 'invalid_anchor', 'quote_mismatch_placeholder']) THEN verdict ELSE
-  ['UNSUPPORTED', 'AMBIGUOUS', 'PARTIALLY_SUPPORTED', 'SUPPORTED'][least(s, CASE WHEN list_has_any(flags, ['subject_mismatch', 'knowledge_escalation', 'causation_escalation', 'contextual_support_only']) THEN 2
-    WHEN list_has_any(flags, ['absolute_qualifier_mismatch', 'temporal_scope_mismatch', 'narrow_support']) THEN 3 ELSE 4 END)] END AS verdict
-FROM latest JOIN st USING (claim_id)"""
+D3 = RUNS + """,
+  sg AS (SELECT claim_id, verdict, CASE verdict WHEN 'SUPPORTED' THEN 4 WHEN 'PARTIALLY_SUPPORTED' THEN 3 WHEN 'AMBIGUOUS' THEN 2 WHEN 'OVERSTATED' THEN 2 WHEN 'UNVERIFIED' THEN 0 ELSE 1 END AS s FROM r),
+  st AS (SELECT claim_id, s, verdict AS refined FROM sg QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY s DESC, verdict DESC) = 1),
+  ro AS (SELECT claim_id, verdict, flags, refined, s, n_support > 0 AND len([i FOR i IN range(1, n_support + 1) IF (run_id + i) % 3 = 0]) = 0 AS contextual FROM latest JOIN st USING (claim_id))
+SELECT claim_id, refined, CASE WHEN list_has_any(flags, ['missing_citation', 'invalid_anchor', 'quote_mismatch_placeholder']) THEN verdict
+  WHEN s > 2 AND (contextual OR list_has_any(flags, ['subject_mismatch', 'knowledge_escalation', 'causation_escalation', 'contextual_support_only'])) THEN 'AMBIGUOUS'
+  WHEN s > 3 AND list_has_any(flags, ['absolute_qualifier_mismatch', 'temporal_scope_mismatch', 'narrow_support']) THEN 'PARTIALLY_SUPPORTED' ELSE refined END AS verdict
+FROM ro"""
 
 
 def j5(spark, sf_dir):
@@ -243,11 +247,14 @@ SELECT claim_id, CAST(sum(n) AS BIGINT) AS excluded, 'Excluded links: ' || strin
 
 def j3(spark, sf_dir):
     drafts = views.claim_scope(spark, sf_dir).select("draft_id", "matter", "bundle").distinct()
-    return scope.allowed_documents(drafts, views.bundle_documents(spark, sf_dir), views.segment_scope(spark, sf_dir).select("matter", "doc_id"))
+    files = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("segment_id"), F.round(F.col("s_acctbal") / 1000).alias("created_at"), F.col("s_name").alias("name"))
+    documents = views.segment_scope(spark, sf_dir).join(files, "segment_id")
+    return scope.ordered_documents(drafts, views.bundle_documents(spark, sf_dir), documents)
 
 
-J3 = with_views("claim_scope", "segment_scope", "bundle_documents") + """, d AS (SELECT DISTINCT draft_id, matter, bundle FROM claim_scope)
-SELECT draft_id, doc_id FROM d JOIN bundle_documents USING (bundle) UNION SELECT draft_id, doc_id FROM d JOIN segment_scope USING (matter) WHERE bundle IS NULL"""
+J3 = with_views("claim_scope", "segment_scope", "bundle_documents") + """, d AS (SELECT DISTINCT draft_id, matter, bundle FROM claim_scope),
+  a AS (SELECT draft_id, doc_id FROM d JOIN bundle_documents USING (bundle) UNION SELECT draft_id, doc_id FROM d JOIN segment_scope USING (matter) WHERE bundle IS NULL)
+SELECT draft_id, doc_id, CAST(row_number() OVER (PARTITION BY draft_id ORDER BY round(s_acctbal / 1000), s_name, doc_id) AS INTEGER) AS place FROM a JOIN supplier ON doc_id = s_suppkey"""
 
 
 def j6(spark, sf_dir):

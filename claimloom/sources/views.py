@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def items(spark: SparkSession, sf_dir: str) -> int:
+    """How many benchmark items there are, by which documents and citations are dealt to them."""
+    return max(1, table(spark, sf_dir, "benchmark").count())
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as record segments of three source types, with places and phrases by position."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -43,7 +48,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of benchmark passages as claims of twenty drafts, with cues by position."""
+    """Sentences of benchmark passages as claims, two items a draft, with cues by position."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("pos", "piece"))
     at = F.col("pos") % 9
     first = F.substring_index(F.trim("piece"), " ", 2)
@@ -53,17 +58,17 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(at == 7, " always and was signed").otherwise("")
     )
     return items.filter(F.trim("piece") != "").select(
-        (F.col("item_id") * 100 + F.col("pos")).alias("claim_id"), "item_id", (F.col("item_id") % 20).alias("draft_id"),
-        F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("matter"), F.col("pos").alias("seq"),
+        (F.col("item_id") * 100 + F.col("pos")).alias("claim_id"), "item_id", F.expr("item_id div 2").alias("draft_id"),
+        F.concat(F.lit("src"), F.expr("item_id div 2 % 20").cast("string")).alias("matter"), F.col("pos").alias("seq"),
         F.concat("piece", cue).alias("text"),
     )
 
 
 def text_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of claims to segments at the same place of every fortieth document."""
+    """Links of claims to segments at the same place of the documents dealt to their item."""
     c = claims(spark, sf_dir).select("claim_id", "item_id", "seq")
     s = segments(spark, sf_dir).select("segment_id", "doc_id", "line_no")
-    on = (F.col("item_id") == F.col("doc_id") % 40) & (F.col("line_no") == F.col("seq") + 1)
+    on = (F.col("item_id") == F.col("doc_id") % items(spark, sf_dir)) & (F.col("line_no") == F.col("seq") + 1)
     return c.join(s, on).select("claim_id", "segment_id", F.col("doc_id").alias("link_order"))
 
 
@@ -80,7 +85,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return e.select(
         F.col("user_id").alias("claim_id"), F.col("event_id").alias("run_id"), F.col("ts").alias("created_at"),
-        (F.col("user_id") % 25).alias("draft_id"), verdict.alias("verdict"), F.round("value", 2).alias("confidence"), flags.alias("flags"),
+        F.expr("user_id div 6").alias("draft_id"), verdict.alias("verdict"), F.round("value", 2).alias("confidence"), flags.alias("flags"),
         F.when(k % 3 == 0, F.concat(F.lit("p."), (k % 7).cast("string"))).alias("anchor"), (k % 4).alias("n_support"), (k % 3).alias("n_excluded"),
     )
 
@@ -97,7 +102,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.element_at(F.array(*map(F.lit, ACTIONS)), (F.col("event_id") % 3 + 1).cast("int"))
     note = F.when(F.col("event_id") % 4 == 1, "  ").when(F.col("event_id") % 4 > 1, F.concat(F.lit(" seen "), F.col("user_id").cast("string")))
     return e.select(
-        F.col("event_id").alias("decision_id"), F.col("user_id").alias("claim_id"), (F.col("user_id") % 25).alias("draft_id"),
+        F.col("event_id").alias("decision_id"), F.col("user_id").alias("claim_id"), F.expr("user_id div 6").alias("draft_id"),
         F.col("ts").alias("created_at"), action.alias("action"), note.alias("note"),
         F.when(F.col("event_id") % 5 < 2, "Narrower text.").when(F.col("event_id") % 5 == 2, " ").alias("replacement"),
     )
@@ -107,7 +112,7 @@ def review_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A review run of each draft at noon of each day on which every fifth event fell."""
     e = table(spark, sf_dir, "events").filter("event_id % 5 = 0")
     noon = F.date_trunc("day", "ts") + F.expr("INTERVAL 12 HOURS")
-    return e.filter("user_id % 25 != 24").groupBy((F.col("user_id") % 25).alias("draft_id"), noon.alias("created_at")).agg(F.min("event_id").alias("review_id"))
+    return e.filter("user_id div 6 % 25 != 24").groupBy(F.expr("user_id div 6").alias("draft_id"), noon.alias("created_at")).agg(F.min("event_id").alias("review_id"))
 
 
 def support_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,16 +165,16 @@ SQL = {
     "claims": """
   pieces AS (SELECT item_id, unnest(string_split(text, '. ')) AS piece, generate_subscripts(string_split(text, '. '), 1) - 1 AS pos FROM benchmark),
   claims AS (
-    SELECT item_id * 100 + pos AS claim_id, item_id, item_id % 20 AS draft_id, 'src' || (item_id % 20) AS matter, CAST(pos AS INTEGER) AS seq,
+    SELECT item_id * 100 + pos AS claim_id, item_id, item_id // 2 AS draft_id, 'src' || (item_id // 2 % 20) AS matter, CAST(pos AS INTEGER) AS seq,
       piece || CASE pos % 9 WHEN 1 THEN ' and was not signed' WHEN 2 THEN ' because of the daily reports' WHEN 3 THEN ' and all were reviewed'
         WHEN 4 THEN ', which suggests more' WHEN 5 THEN ' "' || array_to_string(string_split(trim(piece, ' '), ' ')[1:2], ' ') || '"'
         WHEN 6 THEN ' as Morgan knew and approved' WHEN 7 THEN ' always and was signed' ELSE '' END AS text
     FROM pieces WHERE trim(piece, ' ') <> '')""",
     "text_links": """
-  text_links AS (SELECT claim_id, segment_id, doc_id AS link_order FROM claims JOIN segments ON item_id = doc_id % 40 AND line_no = seq + 1)""",
+  text_links AS (SELECT claim_id, segment_id, doc_id AS link_order FROM claims JOIN segments ON item_id = doc_id % (SELECT count(*) FROM benchmark) AND line_no = seq + 1)""",
     "runs": """
   runs AS (
-    SELECT user_id AS claim_id, event_id AS run_id, ts AS created_at, user_id % 25 AS draft_id,
+    SELECT user_id AS claim_id, event_id AS run_id, ts AS created_at, user_id // 6 AS draft_id,
       CASE event_type WHEN 'signup' THEN 'SUPPORTED' WHEN 'view' THEN 'PARTIALLY_SUPPORTED' WHEN 'click' THEN 'AMBIGUOUS'
         WHEN 'error' THEN 'UNSUPPORTED' ELSE 'OVERSTATED' END AS verdict,
       round(value, 2) AS confidence,
@@ -180,15 +185,15 @@ SQL = {
     FROM (SELECT *, coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0) AS k FROM events))""",
     "decisions": """
   decisions AS (
-    SELECT event_id AS decision_id, user_id AS claim_id, user_id % 25 AS draft_id, ts AS created_at,
+    SELECT event_id AS decision_id, user_id AS claim_id, user_id // 6 AS draft_id, ts AS created_at,
       ['ACKNOWLEDGE_RISK', 'MARK_FOR_REVISION', 'RESOLVE_WITH_EDIT'][event_id % 3 + 1] AS action,
       CASE WHEN event_id % 4 = 1 THEN '  ' WHEN event_id % 4 > 1 THEN ' seen ' || user_id END AS note,
       CASE WHEN event_id % 5 < 2 THEN 'Narrower text.' WHEN event_id % 5 = 2 THEN ' ' END AS replacement
     FROM events WHERE event_id % 7 = 0 AND user_id % 3 <> 0)""",
     "review_runs": """
   review_runs AS (
-    SELECT user_id % 25 AS draft_id, date_trunc('day', ts) + INTERVAL 12 HOUR AS created_at, min(event_id) AS review_id
-    FROM events WHERE event_id % 5 = 0 AND user_id % 25 <> 24 GROUP BY ALL)""",
+    SELECT user_id // 6 AS draft_id, date_trunc('day', ts) + INTERVAL 12 HOUR AS created_at, min(event_id) AS review_id
+    FROM events WHERE event_id % 5 = 0 AND user_id // 6 % 25 <> 24 GROUP BY ALL)""",
     "support_links": """
   support_links AS (
     SELECT CASE WHEN l_orderkey % 97 = 0 THEN -l_orderkey ELSE l_orderkey END AS claim_id,
