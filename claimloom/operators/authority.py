@@ -40,13 +40,16 @@ def reporter_key(c: Column) -> Column:
 
 def parsed(citations: DataFrame) -> DataFrame:
     """The columns of citations (cite_text) with case_name, volume, reporter, page, pin, court, year, reference."""
-    c = F.col("citation")
-    group = lambda g: F.when(F.regexp_extract(c, CITATION, g) != "", F.regexp_extract(c, CITATION, g))
     rows = citations.withColumn("citation", citation_text(F.col("cite_text")))
+    rows = rows.withColumn("match", F.regexp_extract("citation", CITATION, 0))
+    # the match is short: its groups, in one more pass over it alone
+    groups = F.split(F.regexp_replace("match", CITATION, "\u0001".join(f"${g}" for g in range(1, 7))), "\u0001")
+    rows = rows.withColumn("groups", F.when(F.col("match") != "", groups))
+    group = lambda g: F.when(F.col("groups")[g - 1] != "", F.col("groups")[g - 1])
     rows = rows.select(
         "*", text.collapsed(group(1)).alias("case_name"), group(2).alias("volume"), text.collapsed(group(3)).alias("reporter"), group(4).alias("page"), group(5).alias("pin"),
         text.collapsed(group(6)).alias("in_brackets"),
-    )
+    ).drop("match", "groups")
     year = F.regexp_extract("in_brackets", r"^(?:(.*\S)\s+)?(\d{4})$", 2)
     court = trimmed(F.regexp_extract("in_brackets", r"^(?:(.*\S)\s+)?(\d{4})$", 1), " ,;")
     odd = F.col("in_brackets").isNotNull() & (year == "")
