@@ -348,9 +348,11 @@ def lone_shingles(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> Dat
     """node, lone: how many of its shingles no other candidate has, for each node of wanted (doc_id, node, n).
 
     The domain of shingles is cut into slices, more for more candidates, and a slice is
-    counted in one task. A shingle is 32 bits within its slice: what these or the bitmap
+    counted in one task. What the slices found is added up in parts of the nodes; between
+    the steps go arrays, a row for each batch and slice, or slice and part. A shingle is 32 bits within its slice: what these or the bitmap
     confuse counts as shared, so nothing that links is dropped."""
     slices = int((wanted.agg(F.sum("n")).first()[0] or 0) // SLICE) + 1
+    parts = max(16, slices // 8)
     bitmap = bitmap_of(wanted)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,11 +388,24 @@ def lone_shingles(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> Dat
                 last = np.concatenate([start[1:], [len(features)]]) - 1
                 lone = owners[start][owners[start] == owners[last]]  # sorted: first and last owner are one
                 found, n = np.unique(lone, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["node", "lone"])
+                part = (mix(found.view(U)) % U(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                ends = np.cumsum(np.bincount(part, minlength=parts)).tolist()
+                cut = [order[a:b] for a, b in zip([0, *ends], ends)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(parts), pa.int64()), pa.array([found[c].tobytes() for c in cut]), pa.array([n[c].astype("<u4").tobytes() for c in cut])],
+                    names=["part", "nodes", "lone"],
+                )
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, ["part"]):
+            nodes, lone = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("nodes", "<i8"), ("lone", "<u4")))
+            found, at = np.unique(nodes, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(at, lone, len(found)).astype(np.int64))], names=["node", "lone"])
 
     cut = slotted(docs).mapInArrow(packed, "slice long, nodes binary, counts binary, features binary")
-    grouped = cut.repartition(slices, "slice").sortWithinPartitions("slice")
-    return grouped.mapInArrow(counted, "node long, lone long").groupBy("node").agg(F.sum("lone").alias("lone"))
+    found = cut.repartition(slices, "slice").sortWithinPartitions("slice").mapInArrow(counted, "part long, nodes binary, lone binary")
+    return found.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(summed, "node long, lone long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
