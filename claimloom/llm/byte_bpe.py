@@ -11,10 +11,12 @@ spread over the cluster:
    boundary on the later chunk's matches are those of the whole text. Boundaries
    within MARGIN of a chunk's end, which the cut may have moved, aren't used, nor
    any after white space, where a piece would end otherwise than the text goes on;
-3. the pieces between stitches are encoded, and their ids put together in order.
+3. the pieces between stitches are encoded, wherever there is room, and their ids put
+   together in order. Only places, not texts, are gathered to find the stitches.
 
-A text whose neighbours have no boundary in common (one run of letters longer
-than the overlap) is encoded whole. Equal long texts are encoded once.
+Chunks that have no boundary in common with the next (one run of letters longer than
+the overlap) are put together with it and encoded as one. Equal long texts are encoded
+once.
 Decoding puts the tokens' raw bytes after each other.
 
 Defined results: a null text counts as empty and has no ids; repeated rows each
@@ -139,7 +141,7 @@ def chunks_of(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
 
 
 def boundaries_of(chunks: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """chunks with head and tail: the usable boundaries in its first and its last overlap."""
+    """key, k, start, last, finish, head, tail: where each chunk ends, and the usable boundaries in its first and its last overlap."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
@@ -159,61 +161,65 @@ def boundaries_of(chunks: DataFrame, chunk: int, overlap: int) -> DataFrame:
                 heads.append([start + p for p in ends if p < overlap])
                 tails.append([start + p for p in ends if p >= chunk])
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (heads, tails)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*batch.schema.names, "head", "tail"])
+            finish = pa.array([start + len(piece) for piece, start in zip(pieces, starts)], pa.int64())
+            rest = batch.select(["key", "k", "start", "last"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, finish, *lists], names=[*rest.schema.names, "finish", "head", "tail"])
 
-    schema = "key string, k int, start long, last boolean, piece string, head array<long>, tail array<long>"
+    schema = "key string, k int, start long, last boolean, finish long, head array<long>, tail array<long>"
     return chunks.mapInArrow(found, schema)
 
 
-def stitched(chunks: DataFrame) -> DataFrame:
-    """chunks with begin and end: the part of the text that each has to encode.
+def stitched(places: DataFrame) -> DataFrame:
+    """key, k, run, begin, end: the part of the text to encode, by runs of chunks.
 
-    end is null where a chunk has no boundary in common with the next."""
+    A chunk that has no boundary in common with the next is in one run with it."""
     order = Window.partitionBy("key").orderBy("k")
     common = F.array_min(F.array_intersect("tail", F.lead("head").over(order)))
-    met = chunks.withColumn("end", F.when(F.col("last"), F.col("start") + F.length("piece")).otherwise(common))
-    return met.withColumn("begin", F.when(F.col("k") == 0, 0).otherwise(F.lag("end").over(order))).drop("head", "tail")
+    met = places.withColumn("end", F.when(F.col("last"), F.col("finish")).otherwise(common))
+    before = F.lag("end").over(order)
+    met = met.select("key", "k", "end", F.when(F.col("k") == 0, 0).otherwise(before).alias("begin"))
+    return met.withColumn("run", F.count("begin").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def encode_chunked(
     texts: DataFrame, ranks_path: str | None = None, with_ids: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP
 ) -> DataFrame:
     """key and RESULT for each row of texts (key, text); keys are distinct."""
-    spread = chunks_of(texts, chunk, overlap).repartition("key", "k")
-    parts = stitched(boundaries_of(spread, chunk, overlap)).select("key", "k", "start", "begin", "end", "piece")
+    spread = written(chunks_of(texts, chunk, overlap).repartition("key", "k"), "bpe-chunks")
+    places = stitched(boundaries_of(spread, chunk, overlap))
+    held = spread.select("key", "k", "start", "piece").join(places, ["key", "k"])
+    runs = held.groupBy("key", "run").agg(
+        F.sort_array(F.collect_list(F.struct("k", "start", "piece"))).alias("chunks"), F.max("begin").alias("begin"), F.max("end").alias("end")
+    )
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = codec(ranks_path)[0]
         for batch in batches:
-            rows = batch.to_pylist()
-            ids = [
-                None if r["begin"] is None or r["end"] is None
-                else packed(encoding.encode_ordinary(r["piece"][r["begin"] - r["start"] : r["end"] - r["start"]]))
-                for r in rows
-            ]
+            ids = []
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
+                *most, last = [c["piece"] for c in r["chunks"]]
+                text = "".join([x[:chunk] for x in most] + [last])
+                start = r["chunks"][0]["start"]
+                ids.append(packed(encoding.encode_ordinary(text[r["begin"] - start : r["end"] - start])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("k"), pa.array(ids, pa.binary())], names=["key", "k", "part"]
+                [batch.column("key"), batch.column("run"), pa.array(ids, pa.binary())], names=["key", "run", "part"]
             )
 
-    pieces = parts.mapInArrow(encoded, "key string, k int, part binary")
-    whole = pieces.groupBy("key").agg(
-        F.sort_array(F.collect_list(F.struct("k", "part"))).alias("parts"),
-        F.bool_or(F.col("part").isNull()).alias("apart"),
-    )
-    whole = written(whole, "bpe-pieces")
+    pieces = runs.mapInArrow(encoded, "key string, run long, part binary")
+    whole = pieces.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("run", "part"))).alias("parts"))
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
             keys = batch.select(["key"])
-            for i, parts in enumerate(batch.column("parts").to_pylist()):
+            for i in range(batch.num_rows):
+                parts = batch.column("parts")[i].as_py()
                 ids = np.frombuffer(b"".join(p["part"] for p in parts), "<u4").tolist()
                 yield _with_results(keys.schema, keys.slice(i, 1).columns, _results([ids], ranks_path, with_ids))
 
-    done = whole.filter(~F.col("apart")).select("key", "parts").mapInArrow(together, f"key string, {RESULT}")
-    rest = texts.join(whole.filter("apart").select("key"), "key", "left_semi").select("key", "text")
-    return done.unionByName(encode_whole(rest, ranks_path, with_ids))
+    return whole.mapInArrow(together, f"key string, {RESULT}")
 
 
 def encode(
