@@ -7,9 +7,9 @@ hashed from its doc_id, so that reruns agree. Within the source documents are
 taken in ascending order of the key as long as the middle of the document, in the
 running sum of words, lies within the budget.
 
-exp(-key) = u^(1/w) lies between 0 and 1, so its leading digits cut a source into
-slices of the order. The running sum is of slices first, then of documents within
-a slice: no task holds a source, however many rows it has.
+The logarithm of the key cuts a source into slices of the order, which are of about
+even size whatever the weights are (``slice_of``). The running sum is of slices first,
+then of documents within a slice: no task holds a source, however many rows it has.
 
 Weights 1, 2, 3 are dealt in turn to the sources by code point, null last. All
 targets together are the words of all documents; a target is cut at MOST times its
@@ -76,6 +76,18 @@ def targets_of(sizes: DataFrame, weights=(1, 2, 3), most: int = MOST) -> DataFra
     )
 
 
+def slice_of(draw: Column, slices: int) -> Column:
+    """The slice of a draw, larger for larger draws; at most 15 / slices of a source are expected in one.
+
+    -ln(draw) is an exponential variable by the weight, so its logarithm is spread with a
+    density of 1 / e at most, whatever the weights are: slices of equal width in it, which
+    cover 40 units, are of about even size in the middle, and those at the ends hold next to
+    nothing for weights from 1e-6 to 1e6."""
+    spread = F.log(-F.log(draw))
+    inside = F.floor((F.lit(20.0) - spread) / 40.0 * slices).cast("int")
+    return F.when(draw <= 0, 0).when(draw >= 1, slices - 1).otherwise(F.greatest(F.lit(0), F.least(F.lit(slices - 1), inside)))
+
+
 def mixed(
     docs: DataFrame, quality: Column | None = None, weights=(1, 2, 3), most: int = MOST, seed: int = SEED,
     slices: int = SLICES, carry: str | None = None,
@@ -92,7 +104,7 @@ def mixed(
         F.col("source").cast("string").alias("source"),
         words_of(text_of()).alias("size"),
         F.pow(uniform_of(F.col("doc_id"), seed), F.lit(1.0) / F.greatest(weight, F.lit(1e-6))).alias("draw"),
-    ).withColumn("slice", F.least((F.col("draw") * slices).cast("int"), F.lit(slices - 1)))
+    ).withColumn("slice", slice_of(F.col("draw"), slices))
     plain = written(read.drop(carry) if carry else read, "mixing-sizes")
 
     held = plain.groupBy("source", "slice").agg(F.sum("size").alias("words"))

@@ -60,6 +60,15 @@ def test_slices_change_nothing(spark):
     assert runs[0] == runs[1] == runs[2]
 
 
+@pytest.mark.parametrize("weight", [1e-4, 0.05, 1.0, 50.0])
+def test_slices_are_even_whatever_the_weights(spark, weight):
+    draw = F.pow(mixing.uniform_of(F.col("id")), F.lit(1 / weight))
+    rows = spark.range(100_000).select(mixing.slice_of(draw, 400).alias("slice"), draw.alias("draw"))
+    by = rows.groupBy("slice").agg(F.count("*").alias("n"), F.min("draw").alias("low"), F.max("draw").alias("high")).orderBy("slice").collect()
+    assert max(r["n"] for r in by if r["high"] > 0) < 1.2 * 100_000 * 15 / 400
+    assert all(a["high"] < b["low"] or a["high"] == 0 for a, b in zip(by, by[1:]))
+
+
 def test_quality_raises_the_chance(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("w w").alias("text"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"))
     got = mixing.mixed(df, quality=F.when(F.col("doc_id") % 8 == 1, 8.0).otherwise(1.0), weights=(3, 1)).filter("source = 'b'")
