@@ -18,7 +18,8 @@ languages. The pass over the corpus reads doc_id and text and shuffles nothing.
 
 Defined results: ``und``, score 0 and rejected for a null text and one without a
 letter; ``und`` and score 0, not rejected, for all if no language could be learned; text with letters but no known n-gram gets
-the first language and score 0; a null doc_id isn't learned from and isn't held
+the first language and score 0, and of languages with equal counts the first by code
+point wins, with score 0.5; a null doc_id isn't learned from and isn't held
 out; repeated rows each give a row; an empty table gives no rows.
 """
 
@@ -33,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.llm._shared import written
 from claimloom.llm.byte_bpe import small
 
 N = 4
@@ -160,7 +162,8 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS, top: int = TOP) -> Filters:
     )
     shares = counts.withColumn("share", F.col("docs") / F.least("n", F.lit(fit_rows)))
     most = F.max("share").over(Window.partitionBy("gram"))
-    telling = shares.withColumn("most", most).filter(F.col("share") >= RATIO * F.col("most")).select("lang", "gram", "docs").cache()
+    telling = shares.withColumn("most", most).filter(F.col("share") >= RATIO * F.col("most")).select("lang", "gram", "docs")
+    telling = written(telling, "language-grams")
     # the least count that leaves a language no more than top n-grams, from a histogram of the counts
     run = F.sum("grams").over(Window.partitionBy("lang").orderBy(F.desc("docs")))
     by_count = telling.groupBy("lang", "docs").agg(F.count("*").alias("grams")).withColumn("run", run)
@@ -170,7 +173,6 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS, top: int = TOP) -> Filters:
     place = F.row_number().over(Window.partitionBy("lang").orderBy("gram"))
     first = telling.join(F.broadcast(over), ["lang", "docs"]).withColumn("place", place).filter(F.col("place") <= top).select("gram", "lang")
     kept = telling.join(F.broadcast(least), "lang").filter(F.col("docs") >= F.col("least")).select("gram", "lang").unionByName(first).collect()
-    telling.unpersist()
     languages = sorted({r["lang"] for r in kept})
     index = {lang: i for i, lang in enumerate(languages)}
     return build(languages, [(r["gram"], index[r["lang"]]) for r in kept])

@@ -1,4 +1,6 @@
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -53,3 +55,33 @@ def test_a_language_of_one_long_document(spark):
     filters = li.learn(docs, top=100)
     assert filters.languages == ["xx", "yy"]
     assert filters.decide([rows[0][1], rows[1][1]])[0] == ["xx", "yy"]
+
+
+def grams(text):
+    s = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    return [s[i : i + 4] for i in range(len(s) - 3) if s[i + 1].isalpha() and s[i + 2].isalpha()]
+
+
+def test_against_a_count_by_hand(spark):
+    """Counts, shares, the choice of n-grams and the decision, without filters or hashes."""
+    rng = random.Random(6)
+    syllables = {"aa": ["the", "and", "ing", "sh", "ou"], "bb": ["der", "sch", "und", "ei", "ou"], "cc": ["que", "les", "tion", "ou", "sh"]}
+    rows = []
+    for i in range(240):
+        lang = rng.choice(list(syllables))
+        words = ["".join(rng.choices(syllables[lang], k=rng.randrange(1, 4))) for _ in range(rng.randrange(1, 25))]
+        rows.append((i, " ".join(words).capitalize() + ".", lang if i % 5 else None))
+    learned = [(t, lang) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 3 != 1]
+    n = Counter(lang for _, lang in learned)
+    docs = Counter((lang, g) for t, lang in learned for g in set(grams(t)))
+    share = {k: v / n[k[0]] for k, v in docs.items() if v >= min(3, max(1, n[k[0]] / 100))}
+    most = {}
+    for (_, g), x in share.items():
+        most[g] = max(x, most.get(g, 0))
+    kept = {lang: {g for (k, g), x in share.items() if k == lang and x >= 0.3 * most[g]} for lang in sorted(n)}
+    got = {r["doc_id"]: r for r in li.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    for i, text, _ in rows:
+        hits = {lang: sum(g in own for g in grams(text)) for lang, own in kept.items()}
+        best, rival = sorted(hits.values(), reverse=True)[:2]
+        assert got[i]["lang_pred"] == next(lang for lang in sorted(hits) if hits[lang] == best)
+        assert abs(got[i]["score"] - (best / (best + rival) if best else 0)) < 1e-6
