@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from claimloom.plans import citations, evidence, ingest, lookups, outcomes, records, workflow
+from claimloom.plans import citations, evidence, ingest, lookups, outcomes, records, splitting, workflow
 
-_PLANS = (evidence, ingest, workflow, citations, records, lookups, outcomes)
+_PLANS = (evidence, ingest, workflow, citations, records, lookups, outcomes, splitting)
 QUERIES: dict = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}
