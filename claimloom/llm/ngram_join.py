@@ -69,7 +69,7 @@ SPLITS = 64
 #: sets in a block of a large bucket
 BLOCK = 4_096
 #: shingles of candidates that are counted in one task
-SLICE = 1_000_000
+SLICE = 2_000_000
 #: characters of texts that a task has in arrays at once
 TEXT_AT_ONCE = 1_000_000
 BLOOM_BITS = 26
