@@ -39,3 +39,14 @@ def test_long_repeated_and_no_rows(spark):
 
 def test_query(spark, sf):
     assert compare(spark, sf, lambda s, d: uf.url_verdicts(table(s, d, "pages")), uf.oracle()) is None
+
+
+def test_weights_and_a_vocabulary_from_a_file(spark, tmp_path):
+    path = tmp_path / "terms.txt"
+    path.write_text("Alpha 3\nbeta\t1\n\ngamma 2\n")
+    terms = uf.read_terms(spark, f"file://{path}")
+    assert terms == {"alpha": 3, "beta": 1, "gamma": 2}
+    df = spark.createDataFrame([(1, "http://a.org/beta"), (2, "http://a.org/beta-gamma"), (3, "http://ALPHA.org/")], "page_id long, url string")
+    got = {r["page_id"]: (r["n_strict"], r["n_soft"], r["verdict"]) for r in uf.url_verdicts(df, terms=terms, limit=3).collect()}
+    assert got == {1: (0, 1, "allow"), 2: (0, 2, "block"), 3: (1, 0, "block")}
+    assert {r["verdict"] for r in uf.url_verdicts(df, terms={}).collect()} == {"allow"}
