@@ -1,23 +1,28 @@
 """Merkle fixity audit of replicated WARC files.
 
-A record is a WARC response record made of a page. Records of a file follow each
-other by page_id; a file holds the pages of one range of FILE_PAGES ids, so the
-place of a record, its slot, is known without sorting all pages. The manifest gives
-each record its offset range in its file, from one window a file.
-
-Both replicas are hashed: a leaf is the SHA-256 of a record's bytes, an inner node
-that of its children's in their order, each with its slot, FAN children a node, over
-ordered ranges of offsets. The audit compares the roots, then the children of nodes
-that differ only, level by level: each step is a join of a level with the nodes that
-differ above it, so undamaged branches are left out at the top. What is reported are
-the leaves: records that changed, are missing, or are extra.
-
-Only digests are shuffled; a node is made of at most FAN rows, and rows are folded
-where they are read. Column functions throughout.
+A record is a WARC response record made of a page. A file holds the records of one range
+of ids, in the order of the ids, one behind the other; a replica is stored as rows of
+file, start (the record's offset) and record (its bytes) in the shared folder. An audit
+hashes what is read back from there.
+
+Address: file and offset make one number. A leaf is the SHA-256 of a record's offset,
+length and bytes' digest. The nodes above are those of ordered ranges of offsets, first of
+2^LEAF_BITS bytes, then FAN times as long at each level, up to whole files, then ranges of
+files, up to the roots: a node's digest is that of its children's places and digests, in
+their order. A record has more than a hundred bytes, so a node has few children, however
+the records are distributed.
+
+The audit compares the roots, then the children of nodes that differ only, level by level:
+each step is a join of a level with the nodes that differ above it, so undamaged branches
+are left out at the top. What is reported are records: changed, missing, extra, or moved
+(there with the same bytes, at another offset).
+
+Only digests are shuffled, by nodes, and folded where they are read; offsets come from one
+window a file, whose rows are sorted by Spark and may spill. Column functions throughout.
 
 Defined results: a null url or html is an empty one; a null page_id belongs to no
-file and is left out; pages that repeat a page_id share a slot, whose leaf is the
-digest of their digests in order; an empty table has no root and no findings; other
+file and is left out; pages that repeat a page_id are records one behind the other, in the
+order of their bytes' digests; an empty table has no root and no findings; other
 columns aren't read.
 """
 
@@ -28,8 +33,10 @@ from pyspark.sql import functions as F
 
 from claimloom.llm._shared import table, written
 
-FAN_BITS = 4
 FILE_BITS = 10  # 2^10 ids a file
+OFFSET_BITS = 36  # the longest file, 64 GB
+LEAF_BITS = 12
+FAN_BITS = 6
 CRLF = "\r\n"
 
 
@@ -44,116 +51,129 @@ def record_of(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat(head.cast("binary"), body, F.lit(CRLF * 2).cast("binary"))
 
 
-def leaves_of(pages: DataFrame) -> DataFrame:
-    """slot, digest, n_bytes: one row a page_id."""
+def stored(pages: DataFrame) -> DataFrame:
+    """file, start, page_id, record: a replica of the pages, as it is read back from the shared folder."""
     read = pages.filter("page_id IS NOT NULL").select(
-        F.col("page_id").cast("long").alias("slot"), record_of(F.col("page_id"), F.col("url"), F.col("html")).alias("record")
+        F.col("page_id").cast("long").alias("page_id"), record_of(F.col("page_id"), F.col("url"), F.col("html")).alias("record")
     )
-    hashed = read.select("slot", F.sha2("record", 256).alias("digest"), F.octet_length("record").cast("long").alias("n_bytes"))
-    many = F.sort_array(F.collect_list("digest"))
-    folded = F.when(F.size(many) == 1, many[0]).otherwise(F.sha2(F.array_join(many, ""), 256))
-    return hashed.groupBy("slot").agg(folded.alias("digest"), F.sum("n_bytes").alias("n_bytes"))
+    filed = read.select(F.shiftright("page_id", FILE_BITS).alias("file"), "page_id", "record")
+    before = Window.partitionBy("file").orderBy("page_id", F.sha2("record", 256)).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.octet_length("record")).over(before), F.lit(0)).cast("long")
+    return written(filed.select("file", start.alias("start"), "page_id", "record"), "warc")
+
+
+def leaves_of(replica: DataFrame) -> DataFrame:
+    """address, digest, sha256, file, start, n_bytes, page_id of each record that the replica holds."""
+    sha = F.sha2("record", 256)
+    size = F.octet_length("record").cast("long")
+    rows = replica.select(
+        (F.shiftleft("file", OFFSET_BITS) + F.col("start")).alias("address"), F.sha2(F.concat_ws(":", "start", size, sha), 256).alias("digest"),
+        sha.alias("sha256"), "file", "start", size.alias("n_bytes"), "page_id",
+    )
+    return written(rows, "fixity-leaves")
 
 
-def manifest_of(leaves: DataFrame) -> DataFrame:
-    """slot, file, start, n_bytes: the offset range of each record."""
-    file = F.shiftright("slot", FILE_BITS)
-    before = Window.partitionBy("file").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("n_bytes").over(before), F.lit(0))
-    return leaves.withColumn("file", file).select("slot", "file", start.alias("start"), "n_bytes")
+def levels_for(*leaves: DataFrame) -> list[int]:
+    """By how many bits an address is shifted at each level, up to one root for each sign of the files."""
+    files = [int(x).bit_length() for rows in leaves for x in rows.agg(F.min("file"), F.max("file")).first() if x is not None]
+    top = OFFSET_BITS + max(files, default=0)
+    return [*range(LEAF_BITS, top, FAN_BITS), top]
 
 
-def tree_of(leaves: DataFrame, levels: int) -> DataFrame:
-    """level, node, digest: the leaves, level 0, and all nodes above them."""
-    level = leaves.select(F.lit(0).alias("level"), F.col("slot").alias("node"), "digest")
-    tree = level
-    for k in range(1, levels + 1):
+def tree_of(leaves: DataFrame, shifts: list[int]) -> DataFrame:
+    """level, node, digest: level 0 are the records, level k the ranges of addresses of 2^shifts[k - 1]."""
+    level = leaves.groupBy(F.col("address").alias("node")).agg(F.max("digest").alias("digest")).withColumn("bits", F.lit(0))
+    tree = [level.select(F.lit(0).alias("level"), "node", "digest")]
+    for k, shift in enumerate(shifts, 1):
         if k % 2:
             level = written(level, "fixity-level")
         children = F.sort_array(F.collect_list(F.struct("node", "digest")))
-        joined = F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["node"], c["digest"])), ",")
-        level = (
-            level.groupBy(F.shiftright("node", FAN_BITS).alias("up"))
-            .agg(F.sha2(joined, 256).alias("digest"))
-            .select(F.lit(k).alias("level"), F.col("up").alias("node"), "digest")
-        )
-        tree = tree.unionByName(level)
-    return written(tree, "fixity-tree")
-
+        text = F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["node"], c["digest"])), ",")
+        up = F.expr(f"shiftright(node, {shift} - bits)")
+        level = level.groupBy(up.alias("up")).agg(F.sha2(text, 256).alias("digest")).select(F.col("up").alias("node"), "digest", F.lit(shift).alias("bits"))
+        tree.append(level.select(F.lit(k).alias("level"), "node", "digest"))
+    whole = tree[0]
+    for part in tree[1:]:
+        whole = whole.unionByName(part)
+    return written(whole, "fixity-tree")
 
-def levels_for(*leaves: DataFrame) -> int:
-    """Levels above the leaves, so that the last is one root for each sign of the slots."""
-    bits = [int(x).bit_length() for rows in leaves for x in rows.agg(F.min("slot"), F.max("slot")).first() if x is not None]
-    return -(-max(bits, default=0) // FAN_BITS)
 
-
-def differing(mine: DataFrame, theirs: DataFrame, levels: int) -> DataFrame:
-    """node, mine, theirs: the leaves that differ, found from the roots down."""
+def differing(mine: DataFrame, theirs: DataFrame, shifts: list[int]) -> DataFrame:
+    """node, mine, theirs: the addresses of records that differ, found from the roots down."""
+    bits = [0, *shifts]
 
     def compared(level: int, under: DataFrame | None) -> DataFrame:
         sides = []
         for tree, name in ((mine, "mine"), (theirs, "theirs")):
             side = tree.filter(F.col("level") == level).select("node", F.col("digest").alias(name))
             if under is not None:
-                side = side.withColumn("up", F.shiftright("node", FAN_BITS)).join(under, "up", "left_semi").drop("up")
+                up = F.shiftright("node", bits[level + 1] - bits[level])
+                side = side.withColumn("up", up).join(under, "up", "left_semi").drop("up")
             sides.append(side)
         both = sides[0].join(sides[1], "node", "full_outer")
         return both.filter(~F.col("mine").eqNullSafe(F.col("theirs")))
 
-    found = compared(levels, None)
-    for level in range(levels - 1, -1, -1):
+    found = compared(len(shifts), None)
+    for level in range(len(shifts) - 1, -1, -1):
         found = compared(level, written(found.select(F.col("node").alias("up")), "fixity-differing"))
     return found
 
 
-def audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
-    """page_id, file, start, n_bytes, status of each record in which replica differs from pages.
-
-    status is changed, missing (from the replica) or extra (there alone; its file
-    and offsets are then those of the replica)."""
-    mine, theirs = written(leaves_of(pages), "fixity-leaves"), written(leaves_of(replica), "fixity-leaves")
-    levels = levels_for(mine, theirs)
-    found = differing(tree_of(mine, levels), tree_of(theirs, levels), levels)
-    status = F.when(F.col("theirs").isNull(), "missing").when(F.col("mine").isNull(), "extra").otherwise("changed")
-    found = written(found.select(F.col("node").alias("slot"), status.alias("status")), "fixity-found")
-    here = found.filter("status != 'extra'").join(manifest_of(mine), "slot")
-    there = found.filter("status = 'extra'").join(manifest_of(theirs), "slot")
-    return here.unionByName(there).select(F.col("slot").alias("page_id"), "file", "start", "n_bytes", "status")
-
-
-def damaged(pages: DataFrame) -> DataFrame:
-    """A replica with damage by rule: of the pages whose id leaves 3, 8 or 11 when divided by 17,
-    the first have one character more, the second are lost, the third come under another id too."""
-    kind = F.pmod(F.col("page_id"), F.lit(17))
-    html = F.when(kind == 3, F.concat(F.coalesce("html", F.lit("")), F.lit("#"))).otherwise(F.col("html"))
-    kept = pages.filter((kind != 8) | F.col("page_id").isNull()).select("page_id", "url", html.alias("html"))
-    extra = pages.filter(kind == 11).select((F.col("page_id") + 1_000_000_000).alias("page_id"), "url", "html")
-    return kept.unionByName(extra)
+def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
+    """page_id, file, start, n_bytes, status of each record in which two stored replicas differ.
+
+    status is changed, missing (from the replica), moved (in the replica at another offset of
+    the file) or extra (there alone; its offsets are then those of the replica)."""
+    mine, theirs = leaves_of(original), leaves_of(replica)
+    shifts = levels_for(mine, theirs)
+    found = written(differing(tree_of(mine, shifts), tree_of(theirs, shifts), shifts).select(F.col("node").alias("address"), "mine", "theirs"), "fixity-found")
+    columns = ("page_id", "file", "start", "n_bytes", "sha256")
+    at = lambda leaves, which: found.filter(which).join(leaves, "address").select(*columns)
+    changed = at(mine, "mine IS NOT NULL AND theirs IS NOT NULL").withColumn("status", F.lit("changed"))
+    # equal records of a file are paired in their order
+    place = F.row_number().over(Window.partitionBy("file", "page_id", "sha256").orderBy("start"))
+    gone, new = (at(leaves, f"{which} IS NULL").withColumn("place", place) for leaves, which in ((mine, "theirs"), (theirs, "mine")))
+    keys = ["file", "page_id", "sha256", "place"]
+    both = gone.join(new.select(*keys, F.col("start").alias("there"), F.col("n_bytes").alias("size")), keys, "full_outer")
+    status = F.when(F.col("there").isNull(), "missing").when(F.col("start").isNull(), "extra").otherwise("moved")
+    rest = both.select("page_id", "file", F.coalesce("start", "there").alias("start"), F.coalesce("n_bytes", "size").alias("n_bytes"), status.alias("status"))
+    return changed.drop("sha256").unionByName(rest)
+
+
+def damaged(replica: DataFrame) -> DataFrame:
+    """A stored copy of a stored replica, with damage by rule to the bytes of two files in three.
+
+    In every third file from the second on, of the records whose page_id leaves 3, 8 or 11 when
+    divided by 17 the first have another first byte, the second are lost, and the third come
+    once more behind the file's end; every third file from the third on is one byte further on."""
+    kind, third = F.pmod(F.col("page_id"), F.lit(17)), F.pmod(F.col("file"), F.lit(3))
+    flipped = F.concat(F.lit("w").cast("binary"), F.expr("substring(record, 2)"))
+    record = F.when((third == 1) & (kind == 3), flipped).otherwise(F.col("record"))
+    start = F.col("start") + F.when(third == 2, 1).otherwise(0)
+    kept = replica.filter(~((third == 1) & (kind == 8))).select("file", start.alias("start"), "page_id", record.alias("record"))
+    ends = replica.groupBy("file").agg(F.max(F.col("start") + F.octet_length("record")).alias("end"))
+    again = replica.filter((third == 1) & (kind == 11)).join(ends, "file").select("file", (F.col("end") + F.col("start")).alias("start"), "page_id", "record")
+    return written(kept.unionByName(again), "warc-replica")
 
 
 def query(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return audit(pages, damaged(pages))
+    original = stored(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return audit(original, damaged(original))
 
 
 ORACLE = f"""
 WITH sized AS (
-  SELECT page_id, strlen('WARC/1.1..WARC-Type: response..WARC-Record-ID: <urn:page:' || page_id || '>..WARC-Target-URI: '
+  SELECT page_id, page_id >> {FILE_BITS} AS file, strlen('WARC/1.1..WARC-Type: response..WARC-Record-ID: <urn:page:' || page_id || '>..WARC-Target-URI: '
       || coalesce(url, '') || '..Content-Type: text/html..Content-Length: ' || strlen(coalesce(html, ''))
-      || '....' || coalesce(html, '') || '....') AS n_bytes, page_id % 17 AS kind
+      || '....' || coalesce(html, '') || '....') AS n_bytes,
+    page_id % 17 AS kind, (page_id >> {FILE_BITS}) % 3 AS third
   FROM pages WHERE page_id IS NOT NULL),
-extra AS (
-  SELECT page_id + 1000000000 AS page_id, n_bytes + strlen(CAST(page_id + 1000000000 AS VARCHAR)) - strlen(CAST(page_id AS VARCHAR)) AS n_bytes,
-    'extra' AS status FROM sized WHERE kind = 11),
 placed AS (
-  SELECT page_id, page_id >> {FILE_BITS} AS file, n_bytes, kind,
-    coalesce(sum(n_bytes) OVER (PARTITION BY page_id >> {FILE_BITS} ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    sum(n_bytes) OVER (PARTITION BY file) AS file_end
   FROM sized)
-SELECT page_id, file, CAST(start AS BIGINT) AS start, CAST(n_bytes AS BIGINT) AS n_bytes,
-  CASE kind WHEN 3 THEN 'changed' ELSE 'missing' END AS status
-FROM placed WHERE kind IN (3, 8)
+SELECT page_id, file, CAST(start AS BIGINT) AS start, CAST(n_bytes AS BIGINT) AS n_bytes, CASE WHEN third = 2 THEN 'moved' WHEN kind = 3 THEN 'changed' ELSE 'missing' END AS status
+FROM placed WHERE third = 2 OR third = 1 AND kind IN (3, 8)
 UNION ALL
-SELECT page_id, page_id >> {FILE_BITS}, CAST(coalesce(sum(n_bytes) OVER (PARTITION BY page_id >> {FILE_BITS} ORDER BY page_id
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT), CAST(n_bytes AS BIGINT), status
-FROM extra
+SELECT page_id, file, CAST(file_end + start AS BIGINT), CAST(n_bytes AS BIGINT), 'extra' FROM placed WHERE third = 1 AND kind = 11
 """
