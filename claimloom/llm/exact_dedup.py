@@ -9,9 +9,10 @@ normal form is the leading KEY_BITS bits of its SHA-256.
    so a text that a third of all rows hold goes on as a few rows a task.
 2. Directory. From a histogram of the distinct pseudo-keys' leading bits the directory
    is doubled, bit by bit, and each bucket that holds more than its capacity is split,
-   until none is overfull. A bucket is a range of pseudo-keys. The directory has at most
-   2^SLOT_BITS slots, which bounds what is broadcast; buckets that would need more
-   bits stay overfull, and work as well.
+   until none is overfull. A bucket is a range of pseudo-keys. What is broadcast are the
+   directory's pointers, one for each value of as many leading bits as the deepest bucket
+   has: at most 2^SLOT_BITS. Buckets that would need more bits stay overfull, and work as
+   well.
 3. Owners. Each normal form is sent to the owner task of its bucket, where those of one
    pseudo-key, in the order of keys, form a chain: it is compared, byte by byte, with the
    chain's members and either is one of them or becomes the next. The owners write the
@@ -93,8 +94,8 @@ def folded(docs: DataFrame, key_bits: int = KEY_BITS, carry: str | None = None)
     return read.mapInArrow(fold, f"{fields}, fold long, key long, text_sha256 string, body binary")
 
 
-def _slot():
-    return F.shiftrightunsigned("key", KEY_BITS - SLOT_BITS).alias("slot")
+def _slot(bits: int = SLOT_BITS):
+    return F.shiftrightunsigned("key", KEY_BITS - bits).alias("slot")
 
 
 def directory_of(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -153,7 +154,9 @@ def index_of(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The index over folded rows, as files in the shared folder: the columns of chains()."""
     texts = rows.filter("body IS NOT NULL")
     directory = written(directory_of(texts, capacity), "dedup-directory")
-    routed = texts.withColumn("slot", _slot()).join(F.broadcast(directory), "slot")
+    deepest = directory.agg(F.max("depth")).first()[0] or 0
+    pointers = directory.select(F.shiftrightunsigned("slot", SLOT_BITS - deepest).alias("slot"), "bucket", "depth").distinct()
+    routed = texts.withColumn("slot", _slot(deepest)).join(F.broadcast(pointers), "slot")
     return written(chains(routed), "dedup-index")
 
 
