@@ -21,6 +21,12 @@ def with_previous(rows: DataFrame, key: str, row_id: str, columns) -> DataFrame:
     return rows.select("*", *before, F.row_number().over(order).alias("rn")).filter("rn = 1").drop("rn")
 
 
+def last_of(rows: DataFrame, key: str, row_id: str, n: int) -> DataFrame:
+    """The last n rows of each key, the latest first, with their place."""
+    order = Window.partitionBy(key).orderBy(F.desc("created_at"), F.desc(F.col(row_id).cast("string")))
+    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+
+
 def change_summary(runs: DataFrame) -> DataFrame:
     """For each claim which parts of its latest run differ from the one before; none if there is none."""
     pairs = with_previous(runs, "claim_id", "run_id", ("verdict", "confidence", "flags", "categories", "anchor", "n_support", "n_excluded"))

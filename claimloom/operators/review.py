@@ -75,6 +75,13 @@ def queue(claims: DataFrame, decided: DataFrame, after: Column | None = None) ->
     )
 
 
+def queue_rows(claims: DataFrame, decided: DataFrame) -> DataFrame:
+    """A draft's flagged claims, active or resolved by a decision, in the draft's order."""
+    marked = flagged(claims).join(decided.select("claim_id").distinct().withColumn("done", F.lit(True)), "claim_id", "left")
+    rows = marked.select("draft_id", "claim_id", "verdict", F.when(F.col("done").isNull(), "active").otherwise("resolved").alias("state"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("draft_id", "state").orderBy("claim_id")))
+
+
 def validated(decisions: DataFrame) -> DataFrame:
     """Note and replacement with blanks as null, and the reason for rejection, null if accepted."""
     clean = lambda c: F.when(F.trim(c) != "", F.trim(c)).alias(c)

@@ -75,12 +75,20 @@ def j12(spark, sf_dir):
     return _checked(spark, sf_dir)[1]
 
 
+VERDICTS = ("SUPPORTED", "PARTIALLY_SUPPORTED", "OVERSTATED", "AMBIGUOUS", "UNSUPPORTED", "UNVERIFIED", "CONTRADICTED")
+AUTHORITY = ("citation_recognized", "authority_candidate_parsed", "authority_matched", "linked_authority_support_present", "not_reviewed")
+CONTENT = ("not_applicable", "unavailable", "available", "support_verified")
+
+
 def a10(spark, sf_dir):
+    """A10: a draft's citations by verdict, authority status (recognised and parsed ones make authority_unverified) and content status."""
     rows, checked = _checked(spark, sf_dir)
-    v = lambda *names: F.count_if(F.coalesce(F.col("verdict").isin(*names), F.lit(False)))
-    return rows.select("cite_id", "draft_id", "authority_id").join(checked, "cite_id").groupBy("draft_id").agg(
-        F.count("*").alias("citations"), v("OVERSTATED", "AMBIGUOUS", "UNSUPPORTED", "UNVERIFIED", "CONTRADICTED").alias("flagged"), v("SUPPORTED").alias("supported"), v("OVERSTATED").alias("overstated"),
-        F.count_if(F.col("authority_id").isNotNull()).alias("matched"), F.count_if(F.col("status") == "unavailable").alias("unavailable"),
+    status, _ = authority.match_status(F.col("cite_id") % 13 == 0, F.col("authority_id"), F.col("case_name"), F.col("reference"))
+    mine = rows.select("cite_id", "draft_id", status.alias("authority"))
+    n = lambda c, *names: F.count_if(F.coalesce(F.col(c).isin(*names), F.lit(False)))
+    return mine.join(checked, "cite_id").groupBy("draft_id").agg(
+        F.count("*").alias("citations"), n("verdict", *VERDICTS[2:]).alias("flagged"), *[n("verdict", v).alias(v.lower()) for v in VERDICTS],
+        n("authority", *AUTHORITY[:2]).alias("authority_unverified"), *[n("authority", s).alias(s) for s in AUTHORITY], *[n("status", s).alias(s) for s in CONTENT],
     )
 
 
@@ -128,8 +136,12 @@ F16 = CITES + " SELECT cite_id, " + ", ".join(PARSED) + " FROM parsed"
 J9 = CITES + """ SELECT cite_id, authority_id, CASE WHEN cite_id % 13 = 0 THEN 'linked_authority_support_present' WHEN authority_id IS NOT NULL THEN 'authority_matched' ELSE 'authority_candidate_parsed' END AS status,
   CASE WHEN authority_id IS NOT NULL THEN 'matched' ELSE 'no_match' END AS match FROM res"""
 J12 = CITES + " SELECT cite_id, overlap, status, verdict, confidence, excerpt FROM verdicts"
-A10 = CITES + """ SELECT draft_id, count(*) AS citations, count(*) FILTER (verdict IN ('OVERSTATED', 'AMBIGUOUS', 'UNSUPPORTED')) AS flagged, count(*) FILTER (verdict = 'SUPPORTED') AS supported,
-  count(*) FILTER (verdict = 'OVERSTATED') AS overstated, count(authority_id) AS matched, count(*) FILTER (status = 'unavailable') AS unavailable FROM verdicts GROUP BY draft_id"""
+_N = lambda c, *names: f"count(*) FILTER ({c} IN ({', '.join(map(repr, names))}))"
+A10 = CITES + """, au AS (SELECT cite_id, CASE WHEN cite_id % 13 = 0 THEN 'linked_authority_support_present' WHEN authority_id IS NOT NULL THEN 'authority_matched' ELSE 'authority_candidate_parsed' END AS authority FROM res)
+SELECT draft_id, count(*) AS citations, """ + ", ".join(
+    [f"{_N('verdict', *VERDICTS[2:])} AS flagged", *[f"{_N('verdict', v)} AS {v.lower()}" for v in VERDICTS], f"{_N('authority', *AUTHORITY[:2])} AS authority_unverified",
+     *[f"{_N('authority', x)} AS {x}" for x in AUTHORITY], *[f"{_N('status', x)} AS {x}" for x in CONTENT]]
+) + " FROM verdicts JOIN au USING (cite_id) GROUP BY draft_id"
 F19 = CITES + """, f AS (SELECT draft_id, citation, min(cite_id) AS cite_id FROM parsed GROUP BY ALL)
 SELECT draft_id, citation, CAST(row_number() OVER (PARTITION BY draft_id ORDER BY cite_id) AS INTEGER) AS place FROM f"""
 
@@ -140,7 +152,7 @@ def s5(spark, sf_dir):
     paragraphs = F.filter(F.transform(F.split("text", r"\n\s*\n"), lambda p: text.collapsed(F.regexp_replace(p, r"\s*\n\s*", " "))), lambda p: p != "")
     head = trim_title(text.collapsed(F.split("text", "\n")[0]))
     title = F.when(head == "", "Untitled Draft").when(F.length(head) <= rules.TITLE_CHARS, head).otherwise(F.concat(F.rtrim(F.substring(head, 1, rules.TITLE_CHARS - 3)), F.lit("...")))
-    return docs.select("doc_id", title.alias("title"), F.posexplode_outer(paragraphs).alias("pos", "paragraph")).withColumn("pos", F.col("pos") + 1)
+    return docs.select("doc_id", title.alias("title"), F.posexplode(paragraphs).alias("pos", "paragraph")).withColumn("pos", F.col("pos") + 1)
 
 
 def trim_title(c):

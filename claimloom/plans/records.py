@@ -142,14 +142,14 @@ def _clauses(spark, sf_dir, sign=","):
 
 
 def u3(spark, sf_dir):
-    rows = _clauses(spark, sf_dir)
+    rows = _clauses(spark, sf_dir, ";")
     return rows.select("claim_id", "seq", "piece", text.claim_type(F.col("piece")).alias("claim_type"))
 
 
 CLAUSES = lambda name, sign: rf"""
   {name}0 AS (SELECT claim_id, draft_id, text, [trim(p, ' ') FOR p IN regexp_split_to_array(text, '\s*{sign}\s*') IF trim(p, ' ') <> ''] AS ps FROM claims),
   {name} AS (SELECT claim_id, draft_id, unnest(CASE WHEN len(ps) = 0 THEN [trim(text, ' ')] ELSE ps END) AS piece, CAST(generate_subscripts(CASE WHEN len(ps) = 0 THEN [trim(text, ' ')] ELSE ps END, 1) AS INTEGER) AS seq FROM {name}0)"""
-U3 = with_views("claims") + "," + CLAUSES("u", ",") + f" SELECT claim_id, seq, piece, {D.claim_type('piece')} AS claim_type FROM u"
+U3 = with_views("claims") + "," + CLAUSES("u", ";") + f" SELECT claim_id, seq, piece, {D.claim_type('piece')} AS claim_type FROM u"
 
 
 def r1(spark, sf_dir):

@@ -194,6 +194,23 @@ SELECT draft_id, count(*) AS total, count(*) FILTER (done) AS resolved, count(*)
 FROM mk GROUP BY draft_id"""
 
 
+def j16_rows(spark, sf_dir):
+    return review.queue_rows(_latest(spark, sf_dir), views.decisions(spark, sf_dir))
+
+
+J16_ROWS = RUNS.replace("WITH RECURSIVE", "WITH RECURSIVE" + views.SQL["decisions"] + ",") + """,
+  mk AS (SELECT draft_id, claim_id, verdict, CASE WHEN claim_id IN (SELECT claim_id FROM decisions) THEN 'resolved' ELSE 'active' END AS state FROM flagged)
+SELECT *, CAST(row_number() OVER (PARTITION BY draft_id, state ORDER BY claim_id) AS INTEGER) AS place FROM mk"""
+
+
+def w3_reviews(spark, sf_dir):
+    return history.last_of(views.review_runs(spark, sf_dir), "draft_id", "review_id", 2)
+
+
+W3_REVIEWS = with_views("review_runs") + """
+SELECT *, CAST(row_number() OVER (PARTITION BY draft_id ORDER BY created_at DESC, CAST(review_id AS VARCHAR) DESC) AS INTEGER) AS place FROM review_runs QUALIFY place <= 2"""
+
+
 def d6(spark, sf_dir):
     return review.validated(views.decisions(spark, sf_dir))
 
@@ -319,7 +336,7 @@ _ALL = {
     "w8_most_unstable": (w8, W8), "w9_change_summary": (w9, W9), "a1_verdict_counts": (a1, A1), "a2_flagged_counts": (a2, A2), "a3_flag_buckets": (a3, A3),
     "a7_weak_clusters": (a7, A7), "a8_pair_counts": (a8, A8), "a9_instability": (a9, A9), "a11_freshness": (a11, A11), "a12_excluded_links": (a12, A12),
     "a16_review_state": (a16, A16), "j3_allowed_documents": (j3, J3), "j5_link_revalidation": (j5, J5), "j6_new_links": (j6, J6), "j15_relationships": (j15, J15),
-    "j16_review_queue": (j16, J16), "d3_capped_verdicts": (d3, D3), "d6_decision_rules": (d6, D6), "p3_review_summary": (p3, P3),
+    "j16_review_queue": (j16, J16), "j16_queue_rows": (j16_rows, J16_ROWS), "w3_last_reviews": (w3_reviews, W3_REVIEWS), "d3_capped_verdicts": (d3, D3), "d6_decision_rules": (d6, D6), "p3_review_summary": (p3, P3),
 }
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 SQL = {name: sql for name, (_, sql) in _ALL.items()}
