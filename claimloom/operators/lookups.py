@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,37 +66,38 @@ def document_match() -> Column:
     )
 
 
-CITED = re.compile(authority.CITATION)
-
-
-def _ends_sentence(s: str, at: int) -> bool:
-    if s[at] not in ".?!" or (at and s[at - 1] in "vV"):
-        return False
-    rest = s[at + 1 :].lstrip()
-    return not rest or rest[0].isupper()
-
-
-def placed_citations(s: str | None) -> list[tuple[str, int, int, str]]:
-    """F15 spans and F17: each citation's text, start, end, and the sentence around it."""
-    found = list(CITED.finditer(s or ""))
-    out = []
-    for i, m in enumerate(found):
-        limit = found[i + 1].start() if i + 1 < len(found) else len(s)
-        begin = next((k + 1 for k in range(m.start() - 1, -1, -1) if _ends_sentence(s, k)), 0)
-        end = next((k + 1 for k in range(m.end(), limit) if _ends_sentence(s, k)), limit)
-        out.append((m[0].strip(" ,.;:"), m.start(), m.end(), s[begin:end].strip() or s.strip()))
-    return out
+# --- fixed values: a sentence's end is no "v." and has a capital behind it, or nothing ---
+LAST_END = r"(?s)^(.*(?:^|[^vV])[.?!])\s*\p{Lu}"
+FIRST_END = r"(?s)^(.*?(?:^|[^vV])[.?!])\s*(?:\p{Lu}|$)"
 
 
 def citation_pairs(texts: DataFrame) -> DataFrame:
-    """doc_id, citation, start, end, proposition; texts without " v. " aren't sent to Python."""
-
-    @F.pandas_udf("array<struct<citation: string, start: int, end: int, proposition: string>>")
-    def citation_places(column: pd.Series) -> pd.Series:
-        return column.map(lambda s: [dict(zip(("citation", "start", "end", "proposition"), x)) for x in placed_citations(s)])
+    """doc_id, citation, start, end and proposition, the sentence around it, for each citation of texts (doc_id, text).
 
+    Offsets come from the lengths of the pieces between the citations. A sentence goes on to its
+    first end, or the next citation."""
     likely = texts.filter(F.col("text").contains(" v. "))
-    return likely.select("doc_id", F.explode(citation_places("text")).alias("c")).select("doc_id", "c.*")
+    found = F.regexp_extract_all("text", F.lit(f"({authority.CITATION})"), 1)
+    rows = likely.select("doc_id", "text", found.alias("found"), F.split("text", authority.CITATION, -1).alias("gaps")).filter(F.size("found") > 0)
+    sizes = F.zip_with(F.col("found"), F.slice("gaps", 1, F.size("found")), lambda x, gap: F.struct(F.length(gap).alias("gap"), F.length(x).alias("size")))
+    step = lambda acc, x: F.struct(
+        (acc["at"] + x["gap"] + x["size"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["gap"])).alias("starts")
+    )
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    rows = rows.select("doc_id", "text", "found", F.aggregate(sizes, empty, step, lambda acc: acc["starts"]).alias("starts"))
+    limits = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.length("text"))).alias("limits")
+    one = F.explode(F.arrays_zip("found", "starts", limits)).alias("x")
+    placed = rows.select("doc_id", "text", one).select("doc_id", "text", "x.found", F.col("x.starts").alias("start"), F.col("x.limits").alias("limit"))
+    placed = placed.withColumn("end", F.col("start") + F.length("found"))
+    limit = F.col("limit")
+    begin = F.length(F.regexp_extract(F.col("text").substr(F.lit(1), F.col("start") + 1), LAST_END, 1))
+    ends = F.regexp_extract(F.col("text").substr(F.col("end") + 1, F.length("text")), FIRST_END, 1)
+    finish = F.when(ends == "", limit).otherwise(F.least(limit, F.col("end") + F.length(ends)))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    cut = placed.withColumn("begin", begin).withColumn("finish", finish)
+    sentence = bare(F.col("text").substr(F.col("begin") + 1, F.col("finish") - F.col("begin")))
+    proposition = F.when(sentence != "", sentence).otherwise(bare(F.col("text")))
+    return cut.select("doc_id", authority.trimmed(F.col("found"), " ,.;:").alias("citation"), "start", "end", proposition.alias("proposition"))
 
 
 def split_heading(c: Column) -> Column:

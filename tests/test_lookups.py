@@ -3,13 +3,14 @@ from claimloom.operators import lookups
 
 def test_citations_with_places_and_propositions(spark):
     text = "It was so. See Roe v. Poe, 12 F.3d 345 (1999) held that no. 5 stands. Then Doe v. Foe, 1 U.S. 2, 3 (1801) came"
-    got = lookups.placed_citations(text)
-    assert [(c, text[a:b]) for c, a, b, _ in got] == [
-        ("See Roe v. Poe, 12 F.3d 345 (1999)", "See Roe v. Poe, 12 F.3d 345 (1999)"),
-        ("Then Doe v. Foe, 1 U.S. 2, 3 (1801)", "Then Doe v. Foe, 1 U.S. 2, 3 (1801)"),
+    other = "é Roe v. Poe, 1 U.S. 2 (1800)! Doe v. Foe, 3 U.S. 4 and 5.5 v. x? no. End"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "x v. y"), (4, other), (5, "none here")], "doc_id long, text string")
+    got = [tuple(r) for r in lookups.citation_pairs(df).orderBy("doc_id", "start").collect()]
+    at = lambda t, part: (t.index(part), t.index(part) + len(part))
+    want = [
+        (1, "See Roe v. Poe, 12 F.3d 345 (1999)", *at(text, "See Roe v. Poe, 12 F.3d 345 (1999)"), "See Roe v. Poe, 12 F.3d 345 (1999) held that no. 5 stands."),
+        (1, "Then Doe v. Foe, 1 U.S. 2, 3 (1801)", *at(text, "Then Doe v. Foe, 1 U.S. 2, 3 (1801)"), "Then Doe v. Foe, 1 U.S. 2, 3 (1801) came"),
+        (4, "Roe v. Poe, 1 U.S. 2 (1800)", *at(other, "Roe v. Poe, 1 U.S. 2 (1800)"), "é Roe v. Poe, 1 U.S. 2 (1800)!"),
+        (4, "Doe v. Foe, 3 U.S. 4", *at(other, "Doe v. Foe, 3 U.S. 4"), "Doe v. Foe, 3 U.S. 4 and 5.5 v. x? no."),
     ]
-    assert got[0][3] == "See Roe v. Poe, 12 F.3d 345 (1999) held that no. 5 stands."
-    assert got[1][3] == "Then Doe v. Foe, 1 U.S. 2, 3 (1801) came"
-    assert lookups.placed_citations(None) == [] == lookups.placed_citations("none here")
-    df = spark.createDataFrame([(1, text), (2, None), (3, "x v. y")], "doc_id long, text string")
-    assert [tuple(r) for r in lookups.citation_pairs(df).collect()] == [(1, *x) for x in got]
+    assert got == want
