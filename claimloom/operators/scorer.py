@@ -33,7 +33,7 @@ def scored_claims(items: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.coalesce(F.max(F.when(c("substantive"), c("overlap"))), F.lit(0.0)).alias("s"), F.coalesce(F.max(F.when(~c("substantive"), c("overlap"))), F.lit(0.0)).alias("x"),
         F.max(F.when(c("primary"), c("overlap"))).alias("p"), (F.bool_or("substantive") & F.bool_and(~c("substantive") | c("weak"))).alias("all_weak"),
         (F.bool_or(c("substantive") & ~c("weak") & (c("overlap") >= 0.55)) & F.bool_or(c("weak") & (c("raw") >= 0.35))).alias("tension"),
-        F.first("mine").alias("mine"), F.array_distinct(F.flatten(F.collect_set("tokens"))).alias("tokens"),
+        F.first("mine").alias("mine"), F.array_distinct(F.flatten(F.collect_set(F.array_intersect("tokens", "mine")))).alias("tokens"),
     )
     sums = sums.withColumn("o", text.overlap(c("mine"), c("tokens"))).withColumn("narrow", (c("n") >= 2) & (o >= 0.55) & (p < 0.7) & (F.round(o - p, 9) >= 0.2))
     either = F.when(o > 0, "AMBIGUOUS").otherwise("UNSUPPORTED")
