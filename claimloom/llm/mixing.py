@@ -96,10 +96,10 @@ def mixed(
 
     quality: a positive column of docs that scales a document's chance.
     carry: the name of one more column, a struct of the row as it came in; it is
-    joined to the decision by doc_id, source, size and key, and rows alike in these take the least of theirs."""
+    joined to the decision by doc_id, source and a hash of the text, and rows alike in these take the least of theirs."""
     weight = quality_of(text_of()) if quality is None else quality
     read = docs.select(
-        *([F.struct("*").alias(carry)] if carry else []),
+        *([F.struct("*").alias(carry), F.xxhash64(text_of()).alias("mark")] if carry else []),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         words_of(text_of()).alias("size"),
@@ -129,10 +129,12 @@ def mixed(
     columns = ("doc_id", "source", "size", "source_size", "target", "taken", "copies")
     if not carry:
         return taken.select(*columns)
-    keys = ("doc_id", "source", "size", "draw")
-    decided = taken.groupBy(*keys, "source_size", "target").agg(F.min("taken").alias("taken"), F.min("copies").alias("copies"))
+    keys = ("doc_id", "source", "mark")
+    rest = [F.min(c).alias(c) for c in columns if c not in keys]
+    decided = taken.groupBy(*keys).agg(*rest)
     same = " AND ".join(f"l.{k} <=> r.{k}" for k in keys)
-    return read.alias("l").join(decided.alias("r"), F.expr(same)).select(f"l.{carry}", *[f"r.{c}" for c in columns])
+    # of the rows as they came in nothing is computed again but the hash
+    return read.select(carry, *keys).alias("l").join(decided.alias("r"), F.expr(same)).select(f"l.{carry}", *[f"r.{c}" for c in columns])
 
 
 def oracle(weights=(1, 2, 3), most: int = MOST, seed: int = SEED) -> str:
