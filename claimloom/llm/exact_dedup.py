@@ -24,8 +24,7 @@ normal form is the leading KEY_BITS bits of its SHA-256.
 Defined results: a null text counts as empty; empty texts are equal to
 each other and to texts of white space alone; ties on length go to the smaller
 doc_id, and a null doc_id loses to any other; rows that repeat a doc_id each
-give a row; an empty table gives no rows; other columns aren't read, unless asked for
-by ``carry``.
+give a row; an empty table gives no rows; other columns aren't read, but by ``kept_rows``.
 """
 
 from __future__ import annotations
@@ -34,6 +33,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -50,13 +50,15 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def folded(docs: DataFrame, key_bits: int = KEY_BITS, carry: str | None = None) -> DataFrame:
-    """A row a document: fold (the number of its normal form), doc_id, n_chars, and in the
-    fold's first row body (the normal form), key and text_sha256, else null."""
+    """A row a document: number, fold (the number of its normal form), doc_id, n_chars, and in
+    the fold's first row body (the normal form), key and text_sha256, else null.
+
+    carry: the name of one more column, a struct of the row as it came in, instead of body."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 36
         known: dict[bytes, int] = {}
-        at = held = 0
+        at = held = row = 0
         for batch in small(batches):
             folds, bodies = [], []
             for text in batch.column("text").to_pylist():
@@ -73,16 +75,19 @@ def folded(docs: DataFrame, key_bits: int = KEY_BITS, carry: str | None = None)
                 else:
                     bodies.append(None)
                 folds.append(number)
+            numbers = np.arange(first + row, first + row + len(folds))
+            row += len(folds)
             digests = [None if b is None else hashlib.sha256(b).digest() for b in bodies]
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in kept],
+                    pa.array(numbers),
                     pa.array(folds, pa.int64()),
                     pa.array([None if d is None else int.from_bytes(d[:8], "big") >> (64 - key_bits) << (KEY_BITS - key_bits) for d in digests], pa.int64()),
                     pa.array([None if d is None else d.hex() for d in digests], pa.string()),
-                    pa.array(bodies, pa.binary()),
+                    *([] if carry else [pa.array(bodies, pa.binary())]),
                 ],
-                names=[*kept, "fold", "key", "text_sha256", "body"],
+                names=[*kept, "number", "fold", "key", "text_sha256", *([] if carry else ["body"])],
             )
 
     row = [F.struct("*").alias(carry)] if carry else []
@@ -91,7 +96,7 @@ def folded(docs: DataFrame, key_bits: int = KEY_BITS, carry: str | None = None)
     )
     kept = [c for c in read.columns if c != "text"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.select(*kept).schema)
-    return read.mapInArrow(fold, f"{fields}, fold long, key long, text_sha256 string, body binary")
+    return read.mapInArrow(fold, f"{fields}, number long, fold long, key long, text_sha256 string" + ("" if carry else ", body binary"))
 
 
 def _slot(bits: int = SLOT_BITS):
@@ -150,9 +155,8 @@ def chains(routed: DataFrame) -> DataFrame:
     return owned.mapInArrow(chained, "bucket long, depth int, key long, chain int, fold long, text_sha256 string")
 
 
-def index_of(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The index over folded rows, as files in the shared folder: the columns of chains()."""
-    texts = rows.filter("body IS NOT NULL")
+def index_of(texts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The index over the folds' first rows, as files in the shared folder: the columns of chains()."""
     directory = written(directory_of(texts, capacity), "dedup-directory")
     deepest = directory.agg(F.max("depth")).first()[0] or 0
     pointers = directory.select(F.shiftrightunsigned("slot", SLOT_BITS - deepest).alias("slot"), "bucket", "depth").distinct()
@@ -160,12 +164,8 @@ def index_of(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return written(chains(routed), "dedup-index")
 
 
-def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, carry: str | None = None, key_bits: int = KEY_BITS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, chain for every row of docs.
-
-    carry: the name of one more column, a struct of the row as it came in."""
-    rows = written(folded(docs, key_bits, carry), "dedup-folded")
-    index = index_of(rows, capacity)
+def decisions(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """number, doc_id, keep_id, group_size, kept, text_sha256, chain of every folded row."""
     # ~doc_id turns the order of ids around, without the overflow of -doc_id
     best = F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("flipped")))
     by_fold = rows.groupBy("fold").agg(F.count("*").alias("size"), best.alias("best"))
@@ -174,12 +174,26 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, carry: str | None = N
     decided = placed.join(entries, ["bucket", "key", "chain"]).select("fold", "group_size", "top", "text_sha256", "chain")
     keep_id = F.bitwise_not("top.flipped")
     kept = F.col("doc_id").eqNullSafe(keep_id) & (F.col("n_chars") == F.col("top.n_chars"))
-    mine = rows.select("fold", "doc_id", "n_chars", *([carry] if carry else []))
-    return mine.join(decided, "fold").select(
-        *([carry] if carry else []), "doc_id", keep_id.alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", "chain"
+    return rows.select("number", "fold", "doc_id", "n_chars").join(decided, "fold").select(
+        "number", "doc_id", keep_id.alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", "chain"
     )
 
 
+def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = KEY_BITS) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, chain for every row of docs."""
+    rows = written(folded(docs, key_bits), "dedup-folded")
+    return decisions(rows, index_of(rows.filter("key IS NOT NULL"), capacity)).drop("number")
+
+
+def kept_rows(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The rows of docs that stay, as they came in; of rows alike in id and text one stays."""
+    rows = written(folded(docs, carry="row"), "dedup-folded")
+    body = F.translate(text_of("row.text"), SPACES.decode(), "").cast("binary")
+    index = index_of(rows.filter("key IS NOT NULL").withColumn("body", body), capacity)
+    stay = decisions(rows, index).filter("kept").groupBy("doc_id", "text_sha256").agg(F.min("number").alias("number"))
+    return rows.select("number", "row").join(stay.select("number"), "number", "left_semi").select("row.*")
+
+
 ORACLE = r"""
 WITH read AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
