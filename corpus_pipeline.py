@@ -28,8 +28,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of equal texts the longest, then the one of the smallest doc_id."""
-    kept = exact_dedup.exact_dedup(docs.select(*COLUMNS), carry="row").filter("kept")
-    return kept.dropDuplicates(["doc_id", "text_sha256"]).select("row.*")
+    return exact_dedup.kept_rows(docs.select(*COLUMNS))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
