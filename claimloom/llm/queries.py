@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from claimloom.llm import byte_bpe, embedding_join, exact_dedup, language_id, mixing, ngram_join, secrets, token_files, url_filter, warc_fixity
+from claimloom.llm import (
+    byte_bpe, centroid_clusters, embedding_join, exact_dedup, fill_in_middle, language_id, mixing, ngram_join, secrets, token_files, url_filter, warc_fixity,
+)
 from claimloom.llm._shared import table
 
 
@@ -42,6 +44,14 @@ def op10_token_files(spark, sf_dir):
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark, sf_dir):
+    return fill_in_middle.transformed(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op13_centroid_clusters(spark, sf_dir):
+    return centroid_clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_url_filter": op2_url_filter,
@@ -53,6 +63,8 @@ QUERIES = {
     "op8_embedding_join": op8_embedding_join,
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 ORACLE_SQL = {
     "op2_url_filter": url_filter.oracle(),
@@ -61,4 +73,6 @@ ORACLE_SQL = {
     "op6_ngram_join": ngram_join.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_embedding_join": embedding_join.ORACLE,
+    "op12_fill_in_middle": fill_in_middle.oracle(),
+    "op13_centroid_clusters": centroid_clusters.oracle(),
 }
