@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from claimloom.llm import (
-    byte_bpe, centroid_clusters, embedding_join, exact_dedup, fill_in_middle, language_id, mixing, ngram_join, secrets, token_files, url_filter, warc_fixity,
+    byte_bpe, centroid_clusters, embedding_join, exact_dedup, fill_in_middle, language_id, mixing, ngram_join, quality_rules, secrets, token_files, url_filter, warc_fixity,
 )
 from claimloom.llm._shared import table
 
@@ -44,6 +44,10 @@ def op10_token_files(spark, sf_dir):
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark, sf_dir):
+    return quality_rules.quality(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark, sf_dir):
     return fill_in_middle.transformed(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op8_embedding_join": op8_embedding_join,
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
+    "op11_quality_rules": op11_quality_rules,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_centroid_clusters": op13_centroid_clusters,
 }
@@ -73,6 +78,7 @@ ORACLE_SQL = {
     "op6_ngram_join": ngram_join.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_embedding_join": embedding_join.ORACLE,
+    "op11_quality_rules": quality_rules.oracle(),
     "op12_fill_in_middle": fill_in_middle.oracle(),
     "op13_centroid_clusters": centroid_clusters.oracle(),
 }
