@@ -7,7 +7,7 @@ hashed from its doc_id, so that reruns agree. Within the source documents are
 taken in ascending order of the key as long as the middle of the document, in the
 running sum of words, lies within the budget.
 
-The logarithm of the key cuts a source into slices of the order, which are of about
+Keys are kept as their logarithms, which order alike. They cut a source into slices of the order, which are of about
 even size whatever the weights are (``slice_of``). The running sum is of slices first,
 then of documents within a slice: no task holds a source, however many rows it has.
 
@@ -76,16 +76,21 @@ def targets_of(sizes: DataFrame, weights=(1, 2, 3), most: int = MOST) -> DataFra
     )
 
 
-def slice_of(draw: Column, slices: int) -> Column:
-    """The slice of a draw, larger for larger draws; at most 15 / slices of a source are expected in one.
+def key_of(uniform: Column, weight: Column) -> Column:
+    """The logarithm of the exponential key -ln(u) / w, which orders documents as the key does.
 
-    -ln(draw) is an exponential variable by the weight, so its logarithm is spread with a
-    density of 1 / e at most, whatever the weights are: slices of equal width in it, which
-    cover 40 units, are of about even size in the middle, and those at the ends hold next to
-    nothing for weights from 1e-6 to 1e6."""
-    spread = F.log(-F.log(draw))
-    inside = F.floor((F.lit(20.0) - spread) / 40.0 * slices).cast("int")
-    return F.when(draw <= 0, 0).when(draw >= 1, slices - 1).otherwise(F.greatest(F.lit(0), F.least(F.lit(slices - 1), inside)))
+    It neither underflows nor ties, whatever the weight is; weights below 1e-6 count as 1e-6."""
+    return F.log(-F.log(uniform)) - F.log(F.greatest(weight, F.lit(1e-6)))
+
+
+def slice_of(key: Column, slices: int) -> Column:
+    """The slice of a key, larger for smaller keys; at most 15 / slices of a source are expected in one.
+
+    For one weight the logarithm of an exponential variable is spread with a density of 1 / e at
+    most: slices of equal width in it, which cover 40 units, are of about even size in the middle,
+    and those at the ends hold next to nothing for weights from 1e-6 to 1e6."""
+    inside = F.floor((F.lit(20.0) - key) / 40.0 * slices).cast("int")
+    return F.greatest(F.lit(0), F.least(F.lit(slices - 1), inside))
 
 
 def mixed(
@@ -103,8 +108,8 @@ def mixed(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         words_of(text_of()).alias("size"),
-        F.pow(uniform_of(F.col("doc_id"), seed), F.lit(1.0) / F.greatest(weight, F.lit(1e-6))).alias("draw"),
-    ).withColumn("slice", slice_of(F.col("draw"), slices))
+        key_of(uniform_of(F.col("doc_id"), seed), weight).alias("key"),
+    ).withColumn("slice", slice_of(F.col("key"), slices))
     plain = written(read.drop(carry) if carry else read, "mixing-sizes")
 
     held = plain.groupBy("source", "slice").agg(F.sum("size").alias("words"))
@@ -121,7 +126,7 @@ def mixed(
     )
     placed = plain.alias("p").join(starts.alias("s"), F.expr("p.slice = s.slice AND p.source <=> s.source"))
     placed = placed.select("p.*", "start", "source_size", "target", "epochs", "budget")
-    running = Window.partitionBy("source", "slice").orderBy(F.desc("draw"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("start") + F.sum("size").over(running) - F.col("size") / 2
     taken = placed.withColumn(
         "copies", F.when(F.col("size") > 0, F.col("epochs") + F.when(middle <= F.col("budget"), 1).otherwise(0)).otherwise(0).cast("long")
@@ -144,8 +149,8 @@ WITH RECURSIVE read AS (
   SELECT doc_id, source, coalesce(text, '') AS body FROM documents),
 plain AS (
   SELECT doc_id, source, len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) AS size,
-    power(('0x' || substr(md5('{seed}-' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT / {float(1 << 52)!r} + {0.5 / (1 << 52)!r},
-      1.0 / greatest(0.05, length(regexp_replace(body, '[^\p{{L}}\x20\x09-\x0D]+', '', 'g')) / greatest(length(body), 1)::DOUBLE)) AS draw
+    ln(-ln(('0x' || substr(md5('{seed}-' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT / {float(1 << 52)!r} + {0.5 / (1 << 52)!r}))
+      - ln(greatest(0.05, length(regexp_replace(body, '[^\p{{L}}\x20\x09-\x0D]+', '', 'g')) / greatest(length(body), 1)::DOUBLE)) AS key
   FROM read),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -164,7 +169,7 @@ goals AS (SELECT source, source_size, target FROM shared WHERE round = 64),
 placed AS (
   SELECT p.*, source_size, target,
     CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs,
-    sum(size) OVER (PARTITION BY p.source ORDER BY draw DESC, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2 AS middle
+    sum(size) OVER (PARTITION BY p.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2 AS middle
   FROM plain p JOIN goals g ON p.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source, source_size, target,
   CAST(size * (epochs + CASE WHEN middle <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken,

@@ -5,12 +5,12 @@ of ids, in the order of the ids, one behind the other; a replica is stored as ro
 file, start (the record's offset) and record (its bytes) in the shared folder. An audit
 hashes what is read back from there.
 
-Address: file and offset make one number. A leaf is the SHA-256 of a record's offset,
-length and bytes' digest. The nodes above are those of ordered ranges of offsets, first of
-2^LEAF_BITS bytes, then FAN times as long at each level, up to whole files, then ranges of
-files, up to the roots: a node's digest is that of its children's places and digests, in
-their order. A record has more than a hundred bytes, so a node has few children, however
-the records are distributed.
+Address: a file and an offset, each a long of its own. A leaf is the SHA-256 of a record's
+offset, length and bytes' digest. The nodes above are those of ordered ranges of offsets,
+first of 2^LEAF_BITS bytes, then FAN times as long at each level, up to whole files, then
+ranges of files, up to the roots (one for negative ids, one for the others): a node's digest
+is that of its children's places and digests, in their order. A record has more than a hundred
+bytes, so a node has few children, however the records are distributed.
 
 The audit compares the roots, then the children of nodes that differ only, level by level:
 each step is a join of a level with the nodes that differ above it, so undamaged branches
@@ -22,8 +22,8 @@ window a file, whose rows are sorted by Spark and may spill. Column functions th
 
 Defined results: a null url or html is an empty one; a null page_id belongs to no
 file and is left out; pages that repeat a page_id are records one behind the other, in the
-order of their bytes' digests; an empty table has no root and no findings; other
-columns aren't read.
+order of their bytes' digests; an empty table has no root and no findings; several records stored at one offset are one leaf, of all
+their digests, and are reported together; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 from claimloom.llm._shared import table, written
 
 FILE_BITS = 10  # 2^10 ids a file
-OFFSET_BITS = 36  # the longest file, 64 GB
 LEAF_BITS = 12
 FAN_BITS = 6
 CRLF = "\r\n"
@@ -63,59 +62,60 @@ def stored(pages: DataFrame) -> DataFrame:
 
 
 def leaves_of(replica: DataFrame) -> DataFrame:
-    """address, digest, sha256, file, start, n_bytes, page_id of each record that the replica holds."""
+    """file, start, digest, sha256, n_bytes, page_id of each record that the replica holds."""
     sha = F.sha2("record", 256)
     size = F.octet_length("record").cast("long")
-    rows = replica.select(
-        (F.shiftleft("file", OFFSET_BITS) + F.col("start")).alias("address"), F.sha2(F.concat_ws(":", "start", size, sha), 256).alias("digest"),
-        sha.alias("sha256"), "file", "start", size.alias("n_bytes"), "page_id",
-    )
-    return written(rows, "fixity-leaves")
+    digest = F.sha2(F.concat_ws(":", "start", size, sha), 256)
+    return written(replica.select("file", "start", digest.alias("digest"), sha.alias("sha256"), size.alias("n_bytes"), "page_id"), "fixity-leaves")
 
 
-def levels_for(*leaves: DataFrame) -> list[int]:
-    """By how many bits an address is shifted at each level, up to one root for each sign of the files."""
-    files = [int(x).bit_length() for rows in leaves for x in rows.agg(F.min("file"), F.max("file")).first() if x is not None]
-    top = OFFSET_BITS + max(files, default=0)
-    return [*range(LEAF_BITS, top, FAN_BITS), top]
+def levels_for(*leaves: DataFrame) -> list[tuple[int, int]]:
+    """By how many bits file and offset are shifted at each level above the records."""
+    ends = [rows.agg(F.min("file"), F.max("file"), F.max("start")).first() for rows in leaves]
+    bits = lambda *columns: max([int(r[c]).bit_length() for r in ends for c in columns if r[c] is not None], default=0)
+    steps = lambda first, top: [*range(first, top, FAN_BITS), max(first, top)]
+    in_file = steps(LEAF_BITS, bits(2))
+    return [(0, shift) for shift in in_file] + [(shift, in_file[-1]) for shift in steps(FAN_BITS, bits(0, 1))]
 
 
-def tree_of(leaves: DataFrame, shifts: list[int]) -> DataFrame:
-    """level, node, digest: level 0 are the records, level k the ranges of addresses of 2^shifts[k - 1]."""
-    level = leaves.groupBy(F.col("address").alias("node")).agg(F.max("digest").alias("digest")).withColumn("bits", F.lit(0))
-    tree = [level.select(F.lit(0).alias("level"), "node", "digest")]
-    for k, shift in enumerate(shifts, 1):
+def tree_of(leaves: DataFrame, levels: list[tuple[int, int]]) -> DataFrame:
+    """level, file, node, digest: level 0 are the records' places, level k those shifted by levels[k - 1]."""
+    together = F.array_join(F.sort_array(F.collect_list("digest")), ",")
+    level = leaves.groupBy("file", F.col("start").alias("node")).agg(together.alias("digest"))
+    tree, before = [level.select(F.lit(0).alias("level"), "file", "node", "digest")], (0, 0)
+    for k, now in enumerate(levels, 1):
         if k % 2:
             level = written(level, "fixity-level")
-        children = F.sort_array(F.collect_list(F.struct("node", "digest")))
-        text = F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["node"], c["digest"])), ",")
-        up = F.expr(f"shiftright(node, {shift} - bits)")
-        level = level.groupBy(up.alias("up")).agg(F.sha2(text, 256).alias("digest")).select(F.col("up").alias("node"), "digest", F.lit(shift).alias("bits"))
-        tree.append(level.select(F.lit(k).alias("level"), "node", "digest"))
+        children = F.sort_array(F.collect_list(F.struct("file", "node", "digest")))
+        text = F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["file"], c["node"], c["digest"])), ",")
+        up = [F.shiftright(c, n - b).alias(f"up_{c}") for c, n, b in zip(("file", "node"), now, before)]
+        level = level.groupBy(*up).agg(F.sha2(text, 256).alias("digest")).select(F.col("up_file").alias("file"), F.col("up_node").alias("node"), "digest")
+        tree.append(level.select(F.lit(k).alias("level"), "file", "node", "digest"))
+        before = now
     whole = tree[0]
     for part in tree[1:]:
         whole = whole.unionByName(part)
     return written(whole, "fixity-tree")
 
 
-def differing(mine: DataFrame, theirs: DataFrame, shifts: list[int]) -> DataFrame:
-    """node, mine, theirs: the addresses of records that differ, found from the roots down."""
-    bits = [0, *shifts]
+def differing(mine: DataFrame, theirs: DataFrame, levels: list[tuple[int, int]]) -> DataFrame:
+    """file, node, mine, theirs: the places of records that differ, found from the roots down."""
+    bits = [(0, 0), *levels]
 
     def compared(level: int, under: DataFrame | None) -> DataFrame:
         sides = []
         for tree, name in ((mine, "mine"), (theirs, "theirs")):
-            side = tree.filter(F.col("level") == level).select("node", F.col("digest").alias(name))
+            side = tree.filter(F.col("level") == level).select("file", "node", F.col("digest").alias(name))
             if under is not None:
-                up = F.shiftright("node", bits[level + 1] - bits[level])
-                side = side.withColumn("up", up).join(under, "up", "left_semi").drop("up")
+                up = [F.shiftright(c, n - b).alias(f"up_{c}") for c, n, b in zip(("file", "node"), bits[level + 1], bits[level])]
+                side = side.select("*", *up).join(under, ["up_file", "up_node"], "left_semi").drop("up_file", "up_node")
             sides.append(side)
-        both = sides[0].join(sides[1], "node", "full_outer")
+        both = sides[0].join(sides[1], ["file", "node"], "full_outer")
         return both.filter(~F.col("mine").eqNullSafe(F.col("theirs")))
 
-    found = compared(len(shifts), None)
-    for level in range(len(shifts) - 1, -1, -1):
-        found = compared(level, written(found.select(F.col("node").alias("up")), "fixity-differing"))
+    found = compared(len(levels), None)
+    for level in range(len(levels) - 1, -1, -1):
+        found = compared(level, written(found.select(F.col("file").alias("up_file"), F.col("node").alias("up_node")), "fixity-differing"))
     return found
 
 
@@ -125,10 +125,11 @@ def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
     status is changed, missing (from the replica), moved (in the replica at another offset of
     the file) or extra (there alone; its offsets are then those of the replica)."""
     mine, theirs = leaves_of(original), leaves_of(replica)
-    shifts = levels_for(mine, theirs)
-    found = written(differing(tree_of(mine, shifts), tree_of(theirs, shifts), shifts).select(F.col("node").alias("address"), "mine", "theirs"), "fixity-found")
+    levels = levels_for(mine, theirs)
+    found = differing(tree_of(mine, levels), tree_of(theirs, levels), levels)
+    found = written(found.select("file", F.col("node").alias("start"), "mine", "theirs"), "fixity-found")
     columns = ("page_id", "file", "start", "n_bytes", "sha256")
-    at = lambda leaves, which: found.filter(which).join(leaves, "address").select(*columns)
+    at = lambda leaves, which: found.filter(which).join(leaves, ["file", "start"]).select(*columns)
     changed = at(mine, "mine IS NOT NULL AND theirs IS NOT NULL").withColumn("status", F.lit("changed"))
     # equal records of a file are paired in their order
     place = F.row_number().over(Window.partitionBy("file", "page_id", "sha256").orderBy("start"))
@@ -141,19 +142,17 @@ def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
 
 
 def damaged(replica: DataFrame) -> DataFrame:
-    """A stored copy of a stored replica, with damage by rule to the bytes of two files in three.
+    """A stored copy of a stored replica, with damage by rule to the bytes of every third file, the first included.
 
-    In every third file from the second on, of the records whose page_id leaves 3, 8 or 11 when
-    divided by 17 the first have another first byte, the second are lost, and the third come
-    once more behind the file's end; every third file from the third on is one byte further on."""
-    kind, third = F.pmod(F.col("page_id"), F.lit(17)), F.pmod(F.col("file"), F.lit(3))
+    Of its records those whose page_id leaves 3 when divided by 17 have another first byte,
+    of 8 are lost, of 11 come once more behind the file's end, and of 14 are there alone."""
+    kind, hit = F.pmod(F.col("page_id"), F.lit(17)), F.pmod(F.col("file"), F.lit(3)) == 0
     flipped = F.concat(F.lit("w").cast("binary"), F.expr("substring(record, 2)"))
-    record = F.when((third == 1) & (kind == 3), flipped).otherwise(F.col("record"))
-    start = F.col("start") + F.when(third == 2, 1).otherwise(0)
-    kept = replica.filter(~((third == 1) & (kind == 8))).select("file", start.alias("start"), "page_id", record.alias("record"))
+    record = F.when(hit & (kind == 3), flipped).otherwise(F.col("record"))
+    kept = replica.filter(~(hit & kind.isin(8, 14))).select("file", "start", "page_id", record.alias("record"))
     ends = replica.groupBy("file").agg(F.max(F.col("start") + F.octet_length("record")).alias("end"))
-    again = replica.filter((third == 1) & (kind == 11)).join(ends, "file").select("file", (F.col("end") + F.col("start")).alias("start"), "page_id", "record")
-    return written(kept.unionByName(again), "warc-replica")
+    behind = replica.filter(hit & kind.isin(11, 14)).join(ends, "file").select("file", (F.col("end") + F.col("start")).alias("start"), "page_id", "record")
+    return written(kept.unionByName(behind), "warc-replica")
 
 
 def query(spark, sf_dir):
@@ -161,19 +160,29 @@ def query(spark, sf_dir):
     return audit(original, damaged(original))
 
 
+#: both replicas as records with digests, compared place by place
 ORACLE = f"""
-WITH sized AS (
-  SELECT page_id, page_id >> {FILE_BITS} AS file, strlen('WARC/1.1..WARC-Type: response..WARC-Record-ID: <urn:page:' || page_id || '>..WARC-Target-URI: '
-      || coalesce(url, '') || '..Content-Type: text/html..Content-Length: ' || strlen(coalesce(html, ''))
-      || '....' || coalesce(html, '') || '....') AS n_bytes,
-    page_id % 17 AS kind, (page_id >> {FILE_BITS}) % 3 AS third
+WITH recorded AS (
+  SELECT page_id, page_id >> {FILE_BITS} AS file, page_id % 17 AS kind, (page_id >> {FILE_BITS}) % 3 = 0 AS hit,
+    replace('WARC/1.1||WARC-Type: response||WARC-Record-ID: <urn:page:' || page_id || '>||WARC-Target-URI: ', '||', chr(13) || chr(10)) || coalesce(url, '')
+      || replace('||Content-Type: text/html||Content-Length: ' || strlen(coalesce(html, '')) || '||||', '||', chr(13) || chr(10))
+      || coalesce(html, '') || repeat(chr(13) || chr(10), 2) AS record
   FROM pages WHERE page_id IS NOT NULL),
 placed AS (
-  SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-    sum(n_bytes) OVER (PARTITION BY file) AS file_end
-  FROM sized)
-SELECT page_id, file, CAST(start AS BIGINT) AS start, CAST(n_bytes AS BIGINT) AS n_bytes, CASE WHEN third = 2 THEN 'moved' WHEN kind = 3 THEN 'changed' ELSE 'missing' END AS status
-FROM placed WHERE third = 2 OR third = 1 AND kind IN (3, 8)
+  SELECT *, CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+    CAST(sum(strlen(record)) OVER (PARTITION BY file) AS BIGINT) AS file_end
+  FROM recorded),
+mine AS (SELECT file, start, page_id, strlen(record) AS n_bytes, sha256(record) AS digest FROM placed),
+theirs AS (
+  SELECT file, start, page_id, strlen(record) AS n_bytes, sha256(CASE WHEN hit AND kind = 3 THEN 'w' || substr(record, 2) ELSE record END) AS digest
+  FROM placed WHERE NOT (hit AND kind IN (8, 14))
+  UNION ALL
+  SELECT file, file_end + start, page_id, strlen(record), sha256(record) FROM placed WHERE hit AND kind IN (11, 14)),
+gone AS (SELECT * FROM mine ANTI JOIN theirs USING (file, start)),
+new AS (SELECT * FROM theirs ANTI JOIN mine USING (file, start))
+SELECT m.page_id, m.file, m.start, m.n_bytes, 'changed' AS status FROM mine m JOIN theirs t USING (file, start) WHERE m.digest <> t.digest
 UNION ALL
-SELECT page_id, file, CAST(file_end + start AS BIGINT), CAST(n_bytes AS BIGINT), 'extra' FROM placed WHERE third = 1 AND kind = 11
+SELECT coalesce(g.page_id, n.page_id), coalesce(g.file, n.file), coalesce(g.start, n.start), coalesce(g.n_bytes, n.n_bytes),
+  CASE WHEN n.start IS NULL THEN 'missing' WHEN g.start IS NULL THEN 'extra' ELSE 'moved' END
+FROM gone g FULL JOIN new n ON g.file = n.file AND g.page_id = n.page_id AND g.digest = n.digest
 """

@@ -60,13 +60,14 @@ def test_slices_change_nothing(spark):
     assert runs[0] == runs[1] == runs[2]
 
 
-@pytest.mark.parametrize("weight", [1e-4, 0.05, 1.0, 50.0])
+@pytest.mark.parametrize("weight", [1e-6, 1e-4, 0.05, 1.0, 50.0, 1e6])
 def test_slices_are_even_whatever_the_weights(spark, weight):
-    draw = F.pow(mixing.uniform_of(F.col("id")), F.lit(1 / weight))
-    rows = spark.range(100_000).select(mixing.slice_of(draw, 400).alias("slice"), draw.alias("draw"))
-    by = rows.groupBy("slice").agg(F.count("*").alias("n"), F.min("draw").alias("low"), F.max("draw").alias("high")).orderBy("slice").collect()
-    assert max(r["n"] for r in by if r["high"] > 0) < 1.2 * 100_000 * 15 / 400
-    assert all(a["high"] < b["low"] or a["high"] == 0 for a, b in zip(by, by[1:]))
+    key = mixing.key_of(mixing.uniform_of(F.col("id")), F.lit(weight))
+    rows = spark.range(100_000).select(mixing.slice_of(key, 400).alias("slice"), key.alias("key"))
+    by = rows.groupBy("slice").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy("slice").collect()
+    assert max(r["n"] for r in by) < 1.2 * 100_000 * 15 / 400
+    assert all(r["n"] == r["keys"] for r in by)
+    assert all(a["low"] > b["high"] for a, b in zip(by, by[1:]))
 
 
 def test_quality_raises_the_chance(spark):
