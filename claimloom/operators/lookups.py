@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions import text
 from claimloom.operators import authority
 
 PAYLOAD = (
@@ -67,37 +68,79 @@ def document_match() -> Column:
 
 
 # --- fixed values: a sentence's end is no "v." and has a capital behind it, or nothing ---
-LAST_END = r"(?s)^(.*(?:^|[^vV])[.?!])\s*\p{Lu}"
-FIRST_END = r"(?s)^(.*?(?:^|[^vV])[.?!])\s*(?:\p{Lu}|$)"
+_END = r"(?<![vV])[.?!])\s*\p{Lu}"
+FIRST_END, LAST_END = rf"(?s)^.(.*?{_END}", rf"(?s)^.(.*{_END}"
+
+
+def _cut_citations(found: Column) -> Column:
+    """Matches as (head, cite, tail, citation): the lines before that of the "v.", the place in the text, what trimming leaves out."""
+
+    def parts(raw: Column) -> Column:
+        head = F.regexp_extract(raw, r"^((?:(?![^\n]* v\. )[^\n]*\n)*)(?=[^\n]* v\. )", 1)
+        rest = lambda h: raw.substr(F.length(h) + 1, F.length(raw))
+        named = F.struct(head.alias("head"), rest(head).alias("rest"), authority.trimmed(text.collapsed(rest(head)), " ,.;:").alias("citation"))
+        return F.transform(
+            F.array(named),
+            lambda x: F.struct(
+                x["head"], F.substring(x["rest"], F.lit(1), F.length(x["citation"])).alias("cite"),
+                x["rest"].substr(F.length(x["citation"]) + 1, F.length(raw)).alias("tail"), x["citation"],
+            ),
+        )[0]
+
+    return F.transform(found, parts)
 
 
 def citation_pairs(texts: DataFrame) -> DataFrame:
     """doc_id, citation, start, end and proposition, the sentence around it, for each citation of texts (doc_id, text).
 
-    Offsets come from the lengths of the pieces between the citations. A sentence goes on to its
-    first end, or the next citation."""
-    likely = texts.filter(F.col("text").contains(" v. "))
+    A citation begins on the line that names the parties; its span is as long as its trimmed text.
+    A sentence goes on to its first end, or the next citation. The text is cut once, into
+    citations and the gaps between them. Each piece is searched for its first and last end of a sentence,
+    with the characters next to it in view; a fold over the pieces then keeps what has been
+    read since the last end, so that work is in proportion to the text and the sentences."""
+    likely = texts.filter(F.col("text").contains("v."))
     found = F.regexp_extract_all("text", F.lit(f"({authority.CITATION})"), 1)
-    rows = likely.select("doc_id", "text", found.alias("found"), F.split("text", authority.CITATION, -1).alias("gaps")).filter(F.size("found") > 0)
-    sizes = F.zip_with(F.col("found"), F.slice("gaps", 1, F.size("found")), lambda x, gap: F.struct(F.length(gap).alias("gap"), F.length(x).alias("size")))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + x["size"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["gap"])).alias("starts")
+    rows = likely.select("doc_id", found.alias("found"), F.split("text", authority.CITATION, -1).alias("gaps")).filter(F.size("found") > 0)
+    rows = rows.select("doc_id", "gaps", _cut_citations(F.col("found")).alias("cites"))
+    nothing = F.lit("")
+    cite = lambda k, field: F.coalesce(F.get("cites", k)[field], nothing)
+    rows = rows.select("doc_id", "cites", F.transform("gaps", lambda gap, k: F.concat(cite(k - 1, "tail"), gap, cite(k, "head"))).alias("gaps"))
+
+    # a piece between the character before it and the next one that isn't white space
+    first = lambda c: F.substring(c, 1, 1)
+    after_gap = lambda k: F.coalesce(first(F.get("cites", k)["cite"]), F.lit("A"))
+    last = lambda c, other: F.when(c != "", F.right(c, F.lit(1))).otherwise(other)
+    before_gap = lambda k: last(cite(k - 1, "cite"), F.lit("\n"))
+    stripped = lambda c: F.regexp_replace(c, r"^\s+", "")
+    after_cite = lambda gap, k: F.when(stripped(gap) != "", first(stripped(gap))).otherwise(after_gap(k + 1))
+    gaps = F.transform("gaps", lambda gap, k: F.struct(gap.alias("piece"), F.concat(before_gap(k), gap, after_gap(k)).alias("seen")))
+    cites = F.transform(
+        "cites", lambda c, k: F.struct(c["cite"].alias("piece"), F.concat(last(F.get("gaps", k), before_gap(k)), c["cite"], after_cite(F.get("gaps", k + 1), k)).alias("seen"))
     )
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    rows = rows.select("doc_id", "text", "found", F.aggregate(sizes, empty, step, lambda acc: acc["starts"]).alias("starts"))
-    limits = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.length("text"))).alias("limits")
-    one = F.explode(F.arrays_zip("found", "starts", limits)).alias("x")
-    placed = rows.select("doc_id", "text", one).select("doc_id", "text", "x.found", F.col("x.starts").alias("start"), F.col("x.limits").alias("limit"))
-    placed = placed.withColumn("end", F.col("start") + F.length("found"))
-    limit = F.col("limit")
-    begin = F.length(F.regexp_extract(F.col("text").substr(F.lit(1), F.col("start") + 1), LAST_END, 1))
-    ends = F.regexp_extract(F.col("text").substr(F.col("end") + 1, F.length("text")), FIRST_END, 1)
-    finish = F.when(ends == "", limit).otherwise(F.least(limit, F.col("end") + F.length(ends)))
+    rows = rows.select("doc_id", F.transform("cites", lambda c: c["citation"]).alias("citations"), gaps.alias("between"), cites.alias("places"))
+    end_of = lambda x, pattern: F.length(F.regexp_extract(x["seen"], pattern, 1))
+    judged = lambda x: F.struct(x["piece"], F.length(x["piece"]).alias("size"), end_of(x, FIRST_END).alias("first"), end_of(x, LAST_END).alias("last"))
+    rows = rows.select("doc_id", "citations", F.transform("between", judged).alias("gaps"), F.transform("places", judged).alias("cites"))
+
+    since = lambda before, x: F.when(x["last"] > 0, x["piece"].substr(x["last"] + 1, x["size"])).otherwise(F.concat(before, x["piece"]))
     bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    cut = placed.withColumn("begin", begin).withColumn("finish", finish)
-    sentence = bare(F.col("text").substr(F.col("begin") + 1, F.col("finish") - F.col("begin")))
-    proposition = F.when(sentence != "", sentence).otherwise(bare(F.col("text")))
-    return cut.select("doc_id", authority.trimmed(F.col("found"), " ,.;:").alias("citation"), "start", "end", proposition.alias("proposition"))
+    kind = "array<struct<citation: string, start: int, end: int, proposition: string>>"
+
+    def step(acc: Column, k: Column) -> Column:
+        c, gap, citation = F.get("cites", k), F.get("gaps", k + 1), F.get("citations", k)
+        onward = F.when(gap["first"] > 0, F.substring(gap["piece"], F.lit(1), gap["first"])).otherwise(gap["piece"])
+        one = F.struct(
+            citation.alias("citation"), acc["at"].alias("start"), (acc["at"] + F.length(citation)).alias("end"),
+            bare(F.concat(acc["since"], c["piece"], onward)).alias("proposition"),
+        )
+        return F.struct(
+            (acc["at"] + c["size"] + gap["size"]).alias("at"), since(since(acc["since"], c), gap).alias("since"), F.concat(acc["pairs"], F.array(one)).alias("pairs")
+        )
+
+    gap = F.get("gaps", F.lit(0))
+    start = F.struct(gap["size"].alias("at"), since(nothing, gap).alias("since"), F.array().cast(kind).alias("pairs"))
+    pairs = F.aggregate(F.sequence(F.lit(0), F.size("cites") - 1), start, step, lambda acc: acc["pairs"])
+    return rows.select("doc_id", F.explode(pairs).alias("x")).select("doc_id", "x.*")
 
 
 def split_heading(c: Column) -> Column:

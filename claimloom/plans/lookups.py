@@ -77,13 +77,14 @@ def f17(spark, sf_dir):
     return lookups.citation_pairs(whole.select((F.col("draft_id") * 1_000_000 + F.col("part")).alias("doc_id"), "text"))
 
 
+_LAST_END, _FIRST_END = r"(?s)^(.*(?:^|[^vV])[.?!])\s*\p{Lu}", r"(?s)^(.*?(?:^|[^vV])[.?!])\s*(?:\p{Lu}|$)"
 F17 = CITES + f""",
   wh AS (SELECT draft_id * 1000000 + part AS doc_id, string_agg(proposition, ' ' ORDER BY cite_id) AS text
     FROM (SELECT cite_id, cite_id // 1200 AS draft_id, cite_id // 400 AS part, signal || citation || ' held that ' || CASE WHEN cite_id % 3 = 0 THEN 'all ' ELSE '' END || s[1] || '.' AS proposition FROM cites) GROUP BY 1),
   fo AS (SELECT doc_id, text, regexp_extract_all(text, {PATTERN}) AS found, regexp_split_to_array(text, {PATTERN}) AS gaps FROM wh),
   pl AS (SELECT doc_id, text, unnest(found) AS found, unnest([list_sum([length(g) FOR g IN gaps[1 : i]]) + coalesce(list_sum([length(g) FOR g IN found[1 : i - 1]]), 0) FOR i IN range(1, len(found) + 1)]) AS start FROM fo WHERE len(found) > 0),
   li AS (SELECT *, start + length(found) AS finish, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), length(text)) AS lim FROM pl),
-  se AS (SELECT *, length(regexp_extract(text[1 : CAST(start AS BIGINT) + 1], {D.quoted(lookups.LAST_END)}, 1)) AS b, length(regexp_extract(text[CAST(finish AS BIGINT) + 1 :], {D.quoted(lookups.FIRST_END)}, 1)) AS e FROM li)
+  se AS (SELECT *, length(regexp_extract(text[1 : CAST(start AS BIGINT) + 1], {D.quoted(_LAST_END)}, 1)) AS b, length(regexp_extract(text[CAST(finish AS BIGINT) + 1 :], {D.quoted(_FIRST_END)}, 1)) AS e FROM li)
 SELECT doc_id, regexp_replace(found, '^[ ,.;:]+|[ ,.;:]+$', '', 'g') AS citation, CAST(start AS INTEGER) AS start, CAST(finish AS INTEGER) AS "end",
   regexp_replace(text[b + 1 : CAST(CASE WHEN e = 0 THEN lim ELSE least(lim, finish + e) END AS BIGINT)], '^\\s+|\\s+$', '', 'g') AS proposition FROM se"""
 
