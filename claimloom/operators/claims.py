@@ -1,21 +1,29 @@
 """Assertions cut into narrow claims, each with its subject.
 
-Both splitters go through the commas, semicolons and ``and``s of a text that aren't in
-quotation marks, from the left, as one fold over an array. A cut is made where what is to
-the left is a clause by itself and what is to the right can begin one; a clause that
-begins with its verb gets the subject of the one before. The plain splitter takes the
-signs one kind after the other, the structured one all together, and knows headings,
-quotations and reporting phrases besides. All is column functions.
+A text is read once, into the places of its words and verbs, and its signs (commas, semicolons
+and ``and``) outside quotation marks. Whether a stretch of it is a clause, or can begin one, is
+then asked of these places: where the first verb from here on is, whether a word follows
+it. So a sign costs a few look-ups, not the rest of the text. A cut is made where what is to
+the left is a clause by itself and what is to the right can begin one; a clause that begins
+with its verb gets the subject of the one before. The plain splitter takes the signs one kind
+after the other, the structured one all together, and knows headings, quotations and
+reporting phrases besides.
+
+Spark reads a table's texts as Arrow batches, one text at a time; nothing is shuffled. Claim types are columns.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.functions import text
+from claimloom.functions import rules, text
 
 # --- fixed values: verbs (besides words in -ed), those that need an object, words before nouns, pronouns, adverbs ---
 VERBS = (
@@ -29,13 +37,13 @@ PARTICIPLES = ("related", "alleged", "revised", "attached", "written", "pending"
 PRONOUNS = ("he", "she", "they", "it", "we", "i", "you")
 ADVERBS = ("later", "then", "thereafter", "subsequently", "promptly", "immediately", "also")
 # --- fixed values: patterns ---
-COORDINATOR = r"(?i)^(?:and|but)\s+"
+COORDINATOR = r"(?:and|but)\s+"
 ADVERBIAL = rf"(?:{'|'.join(ADVERBS)})\b[\s,]*"
 TEMPORAL = r"(?:after|before|during|following|upon)\b[^,]{0,80},\s*"
 CONTEXTUAL = r"(?:in|on|at|by|from|within)\b[^,]{0,80},\s*"
-OPENER = r"(?i)^\s*(?:which|suggesting|showing|meaning|therefore|thus|so)\b"
+OPENER = r"\s*(?:which|suggesting|showing|meaning|therefore|thus|so)\b"
 GLOSSED = r"\b(?:suggest(?:s|ed|ing)?|show(?:s|ed|ing)?|demonstrat(?:es|ed|ing)?|impl(?:ies|ied|y))\b"
-MIXED = r"(?i),\s*(?:which|suggesting|showing|meaning|therefore|thus|so)\b"
+MIXED = r",\s*(?:which|suggesting|showing|meaning|therefore|thus|so)\b"
 LABEL = r"^\s*[A-Z][A-Za-z0-9 /&()#._-]{1,24}:\s*[^.?!\n]{0,80}\s*$"
 REPORTING = (
     r"(?:[A-Z][A-Za-z']+(?:\s+[A-Z][A-Za-z']+){0,2}|(?:the|this)\s+(?:email|exhibit|letter|memo|message|document|record))\s+"
@@ -43,287 +51,328 @@ REPORTING = (
 )
 FOLLOWING = r"\b(?:later|then|thereafter|except|but not)\b"
 
-_QUOTE = '["“”]'
-_OUTSIDE = rf'(?=(?:[^"“”]*{_QUOTE}[^"“”]*{_QUOTE})*[^"“”]*$)'
-_QUOTED = r'(?s)^(.*?(?:"[^"\n]+"|“[^”\n]+”))(.*)$'
-_SENTENCE = rf'(?s)^([^"“”.?!]*(?:{_QUOTE}[^"“”]*{_QUOTE}[^"“”.?!]*)*)[.?!](.*)$'
+_FLAGS = re.ASCII | re.IGNORECASE
+_QUOTES = re.compile('["“”]')
+_QUOTATION = re.compile(r'"[^"\n]+"|“[^”\n]+”')
+_WORD, _TOKEN = re.compile(r"\b[\w']+\b"), re.compile(rules.TOKEN)
+_COORDINATOR, _OPENER, _MIXED = (re.compile(p, _FLAGS) for p in (COORDINATOR, OPENER, MIXED))
+_REPORTING = re.compile(rf"(?:{REPORTING}[ ,]*(?=[^ ,]))+", _FLAGS)
+_SPACE = " \t\n\v\f\r"
+_HEAD = 1_000  # characters in which what stands before a clause is looked for, behind a subject
 
 
 @dataclass(frozen=True)
 class Wording:
-    """What the two splitters take for verbs and subjects."""
+    """What a splitter takes for verbs and subjects."""
 
     structured: bool
-    verbs: tuple[str, ...] = VERBS
-    transitive: tuple[str, ...] = TRANSITIVE
-    pronouns: tuple[str, ...] = PRONOUNS
-    longest_subject: int = 4
-
-    @property
-    def lead(self) -> str:
-        kinds = (ADVERBIAL, TEMPORAL, *((CONTEXTUAL,) if self.structured else ()))
-        return rf"(?i)^(?:(?:{'|'.join(kinds)})[ ,]*)+"
-
-
-PLAIN = Wording(False)
-STRUCTURED = Wording(
-    True,
-    VERBS + ("forwarded", "moved", "compelled", "reflects", "indicates", "notes", "suggests", "shows"),
-    TRANSITIVE + ("forwarded", "moved", "compelled"),
-    PRONOUNS + ("which", "who", "that"),
-    6,
-)
-
-
-def bound(value: Column, use) -> Column:
-    """use(value), with value computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
-def strip(c: Column) -> Column:
-    return F.regexp_replace(c, "^[ ,]+|[ ,]+$", "")
-
-
-def bare(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
-
-
-def raw_words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"(?U)\b[\w']+\b"), 0)
-
-
-def lower_words(c: Column) -> Column:
-    return text.all_tokens(text.matchable(c))
-
-
-def without_lead(c: Column, w: Wording) -> Column:
-    return strip(F.regexp_replace(strip(c), w.lead, ""))
-
-
-def is_verb(word: Column, w: Wording) -> Column:
-    return word.isin(*w.verbs) | word.endswith("ed")
-
-
-def begins_with_verb(words: Column, w: Wording) -> Column:
-    first = F.get(words, F.lit(0))
-    return F.coalesce(~first.isin(*PARTICIPLES) & is_verb(first, w), F.lit(False))
-
-
-def verb_at(words: Column, w: Wording) -> Column:
-    """The place of the first verb, from 1; 0 if there is none."""
-    return F.array_position(F.transform(words, lambda x: is_verb(x, w)), True).cast("int")
+    verbs: frozenset[str]
+    transitive: frozenset[str]
+    pronouns: frozenset[str]
+    longest_subject: int
+    lead: re.Pattern
 
+    def is_verb(self, word: str) -> bool:
+        return word in self.verbs or word.endswith("ed")
 
-def opens_gloss(c: Column) -> Column:
-    return c.rlike(OPENER)
+    def first_is_verb(self, words: list[str]) -> bool:
+        return bool(words) and words[0] not in PARTICIPLES and self.is_verb(words[0])
 
+    def could_name(self, word: str) -> bool:
+        return word.lower() in self.pronouns or word[:1].isupper()
 
-def has_predicate(words: Column, w: Wording) -> Column:
-    return bound(
-        verb_at(words, w),
-        lambda v: (v > 0) & ((v < F.size(words)) | ~F.coalesce(F.get(words, v - 1).isin(*w.transitive), F.lit(False))),
-    )
-
-
-def complete(c: Column, w: Wording) -> Column:
-    """Whether a piece stands by itself."""
-    if w.structured:
-        plain = bound(lower_words(without_lead(c, w)), lambda x: (F.size(x) >= 2) & has_predicate(x, w))
-        return F.when(opens_gloss(c), bound(lower_words(c), lambda x: (F.size(x) >= 2) & (verb_at(x, w) > 0))).otherwise(plain)
-
-    def judged(x: Column) -> Column:
-        short = ~is_verb(F.get(x, F.lit(0)), w) & is_verb(F.get(x, F.lit(1)), w)
-        clause = F.when(F.size(x) < 4, F.coalesce(short, F.lit(False))).otherwise(verb_at(x, w) > 0)
-        return clause & has_predicate(x, w)
 
-    return bound(lower_words(c), judged)
+def _wording(structured: bool, verbs=(), transitive=(), pronouns=(), longest_subject=4) -> Wording:
+    kinds = (ADVERBIAL, TEMPORAL, *((CONTEXTUAL,) if structured else ()))
+    lead = re.compile(rf"(?:(?:{'|'.join(kinds)})[ ,]*)+", _FLAGS)
+    return Wording(structured, frozenset(VERBS + verbs), frozenset(TRANSITIVE + transitive), frozenset(PRONOUNS + pronouns), longest_subject, lead)
 
 
-def names_subject(words: Column, w: Wording, reach: int) -> Column:
-    """Whether words begin with a pronoun or a capital, with a verb soon after."""
-    first = F.get(words, F.lit(0))
-    capital = F.lower(first).isin(*w.pronouns) | F.substring(first, 1, 1).rlike(r"\p{Lu}")
-    soon = F.exists(F.slice(words, 2, reach), lambda x: is_verb(F.lower(x), w))
-    return (F.size(words) >= 2) & F.coalesce(capital, F.lit(False)) & soon
-
-
-def can_begin(right: Column, subject: Column, w: Wording) -> Column:
-    """Whether a clause can begin with right, given the subject so far."""
+PLAIN = _wording(False)
+STRUCTURED = _wording(
+    True, ("forwarded", "moved", "compelled", "reflects", "indicates", "notes", "suggests", "shows"), ("forwarded", "moved", "compelled"), ("which", "who", "that"), 6
+)
 
-    def judged(s: Column) -> Column:
-        return bound(raw_words(without_lead(s, w)), lambda words: decided(s, words))
 
-    def decided(s: Column, words: Column) -> Column:
-        lowered = F.transform(words, F.lower)
-        verb_first, named = begins_with_verb(lowered, w), names_subject(words, w, 3 if w.structured else 2)
+class Places:
+    """Words of one kind in a text: where they begin, what they are, and the next verb from each."""
+
+    def __init__(self, found: Iterator[re.Match], w: Wording):
+        words = [(m.start(), m.group()) for m in found]
+        self.starts = [s for s, _ in words]
+        self.words = [x for _, x in words]
+        self.next_verb = [len(words)] * (len(words) + 1)
+        for i in range(len(words) - 1, -1, -1):
+            self.next_verb[i] = i if w.is_verb(self.words[i].lower()) else self.next_verb[i + 1]
+
+    def between(self, a: int, b: int) -> tuple[int, int]:
+        return bisect_left(self.starts, a), bisect_left(self.starts, b)
+
+
+class Clauses:
+    """A text, and what can be said about stretches of it, each given by where it begins and ends.
+
+    ``before`` are words put ahead of a stretch, a subject, as a string; "" for none."""
+
+    def __init__(self, content: str, w: Wording):
+        self.content, self.w = content, w
+        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in content)
+        self.raw = Places(_WORD.finditer(content), w)
+        self.tokens = Places(_TOKEN.finditer(lower), w)
+
+    def trim(self, a: int, b: int, chars: str = " ,") -> tuple[int, int]:
+        while a < b and self.content[a] in chars:
+            a += 1
+        while a < b and self.content[b - 1] in chars:
+            b -= 1
+        return a, b
+
+    def after_lead(self, a: int, b: int) -> tuple[int, int]:
+        a, b = self.trim(a, b)
+        found = self.w.lead.match(self.content, a, b)
+        return self.trim(found.end(), b) if found else (a, b)
+
+    def behind(self, before: str, a: int, b: int) -> tuple[list[str], int]:
+        """What is left of ``before`` and where the stretch begins, both without a lead."""
+        joined = f"{before} {self.content[a : min(b, a + _HEAD)]}"
+        at = len(joined) - len(joined.lstrip(" ,"))
+        found = self.w.lead.match(joined, at)
+        at = found.end() if found else at
+        over = at - len(before) - 1
+        return _TOKEN.findall(before[at:].lower()) if over < 0 else [], a + max(over, 0)
+
+    def opens_gloss(self, a: int, b: int) -> bool:
+        return _OPENER.match(self.content, a, b) is not None
+
+    def predicate(self, before: list[str], a: int, b: int, least: int) -> bool:
+        """Whether ``before`` and the tokens from a to b, ``least`` or more, have a verb, and one that stands alone or has a word behind it."""
+        i, j = self.tokens.between(a, b)
+        size = len(before) + j - i
+        ahead = next((k for k, x in enumerate(before) if self.w.is_verb(x)), None)
+        if ahead is not None:
+            at, verb = ahead, before[ahead]
+        else:
+            v = self.tokens.next_verb[i]
+            if v >= j:
+                return False
+            at, verb = len(before) + v - i, self.tokens.words[v]
+        return size >= least and (at + 1 < size or verb not in self.w.transitive)
+
+    def complete(self, before: str, a: int, b: int) -> bool:
+        """Whether a stretch stands by itself."""
+        w = self.w
         if w.structured:
-            quoted = s.startswith('"') | s.startswith("“")
-            return (s != "") & ~quoted & (opens_gloss(s) | named | (verb_first & subject.isNotNull()))
-        quoted = without_lead(s, w).rlike('^["“]')
-        return ~quoted & F.when(verb_first, subject.isNotNull()).otherwise(named)
+            gloss = _OPENER.match(before) is not None if before else self.opens_gloss(a, b)
+            if gloss:
+                i, j = self.tokens.between(a, b)
+                own = _TOKEN.findall(before.lower())
+                return len(own) + j - i >= 2 and (self.tokens.next_verb[i] < j or any(map(w.is_verb, own)))
+            if before:
+                return self.predicate(*self.behind(before, a, b), b, 2)
+            return self.predicate([], *self.after_lead(a, b), 2)
+        own = _TOKEN.findall(before.lower())
+        i, j = self.tokens.between(a, b)
+        if len(own) + j - i < 4:
+            few = own + self.tokens.words[i:j]
+            if len(few) < 2 or w.is_verb(few[0]) or not w.is_verb(few[1]):
+                return False
+        return self.predicate(own, a, b, 1)
+
+    def names_subject(self, a: int, b: int, reach: int) -> bool:
+        """Whether a pronoun or a capital comes first, and a verb soon after."""
+        i, j = self.raw.between(a, b)
+        return j - i >= 2 and self.w.could_name(self.raw.words[i]) and self.raw.next_verb[i + 1] < min(j, i + 1 + reach)
+
+    def verb_first(self, places: Places, a: int, b: int) -> bool:
+        i, j = places.between(a, b)
+        return i < j and self.w.first_is_verb([places.words[i].lower()])
+
+    def without_coordinator(self, a: int, b: int) -> tuple[int, int]:
+        a, b = self.trim(a, b)
+        found = _COORDINATOR.match(self.content, a, b)
+        return self.trim(found.end() if found else a, b, _SPACE)
+
+    def can_begin(self, a: int, b: int, subject: str | None) -> bool:
+        """Whether a clause can begin here, given the subject so far."""
+        a, b = self.without_coordinator(a, b)
+        c, d = self.after_lead(a, b)
+        if self.content[a if self.w.structured else c :][:1] in ('"', "“") and c < d:
+            return False
+        verb_first = self.verb_first(self.raw, c, d)
+        if self.w.structured:
+            return a < b and (self.opens_gloss(a, b) or self.names_subject(c, d, 3) or (verb_first and subject is not None))
+        return subject is not None if verb_first else self.names_subject(c, d, 2)
+
+    def wants_subject(self, a: int, b: int) -> bool:
+        c, d = self.after_lead(a, b)
+        if not self.w.structured:
+            return self.verb_first(self.tokens, c, d)
+        return not self.opens_gloss(a, b) and self.verb_first(self.raw, c, d) and not self.names_subject(c, d, 3)
+
+    def with_subject(self, a: int, b: int, subject: str | None, carry: bool) -> tuple[str, int, int]:
+        a, b = self.without_coordinator(a, b)
+        return subject if carry and subject is not None and self.wants_subject(a, b) else "", a, b
+
+    def told(self, before: str, a: int, b: int) -> str:
+        return f"{before} {self.content[a:b]}" if before else self.content[a:b]
+
+    def splits(self, left: tuple[int, int], right: tuple[int, int], subject: str | None) -> bool:
+        if left[0] >= left[1] or right[0] >= right[1]:
+            return False
+        carry = self.w.structured and self.wants_subject(*left)
+        if not self.complete(*self.with_subject(*left, subject, carry)):
+            return False
+        if self.w.structured and self.opens_gloss(*right):
+            return True
+        return self.can_begin(*right, subject) and self.complete(*self.with_subject(*right, subject, True))
+
+
+def subject_of(content: str, w: Wording) -> str | None:
+    """The words before the first verb, if they are few and begin with a pronoun or a capital."""
+    if w.structured:
+        content = content.strip(" ,")
+        lead = w.lead.match(content)
+        content = content[lead.end() :].strip(" ,") if lead else content
+    before: list[str] = []
+    for m in _WORD.finditer(content):
+        if w.is_verb(m.group().lower()):
+            break
+        before.append(m.group())
+    else:
+        return None
+    if w.structured:
+        before = before[: next((i for i, x in enumerate(before) if i and x.lower() in ADVERBS), len(before))]
+    return " ".join(before) if 1 <= len(before) <= w.longest_subject and w.could_name(before[0]) else None
 
-    return bound(bare(F.regexp_replace(strip(right), COORDINATOR, "")), judged)
 
+def own_subject(content: str, w: Wording) -> str | None:
+    """The subject behind reporting phrases, else the text's."""
+    return subject_of(without_reporting(content), w) or subject_of(content, w)
 
-def wants_subject(c: Column, w: Wording) -> Column:
-    if not w.structured:
-        return begins_with_verb(lower_words(without_lead(c, w)), w)
-    words = lambda x: begins_with_verb(F.transform(x, F.lower), w) & ~names_subject(x, w, 3)
-    return ~opens_gloss(c) & bound(raw_words(without_lead(c, w)), words)
 
+def without_reporting(content: str) -> str:
+    content = content.strip(" ,")
+    found = _REPORTING.match(content)
+    return content[found.end() :] if found else content
 
-def with_subject(c: Column, subject: Column, carry: Column, w: Wording) -> Column:
-    return bound(
-        bare(F.regexp_replace(strip(c), COORDINATOR, "")),
-        lambda s: F.when(carry & subject.isNotNull() & wants_subject(s, w), F.concat_ws(" ", subject, s)).otherwise(s),
-    )
 
+def outside(content: str) -> str:
+    """content with quotation marks and what they enclose blanked, character for character."""
+    parts = _QUOTES.split(content)
+    return "_".join("_" * len(p) if i % 2 else p for i, p in enumerate(parts))
 
-def subject_of(c: Column, w: Wording) -> Column:
-    """The words before the first verb, if they are few and begin with a pronoun or a capital; else null."""
 
-    def found(words: Column) -> Column:
-        lowered = F.transform(words, F.lower)
-        before = F.slice(words, 1, F.greatest(verb_at(lowered, w) - 1, F.lit(0)))
-        if w.structured:
-            adverb = F.array_position(F.transform(F.slice(F.transform(before, F.lower), 2, 1_000), lambda x: x.isin(*ADVERBS)), True).cast("int")
-            before = F.when(adverb > 0, F.slice(before, 1, F.greatest(adverb, F.lit(1)))).otherwise(before)
-        return bound(before, named)
+def cut(content: str, signs: re.Pattern, subject: str | None, w: Wording) -> list[str]:
+    """The pieces at the signs outside quotation marks where both sides are clauses; content alone if there are none."""
+    found = [m.span() for m in signs.finditer(outside(content))]
+    c = Clauses(content, w)
+    if not found:
+        return [c.told(*c.with_subject(0, len(content), subject, True))] if w.structured else [content.strip(" ,")]
+    parts: list[str] = []
+    start = 0
+    for end, after in found:
+        left = c.trim(start, end)
+        if not c.splits(left, c.trim(after, len(content)), subject):
+            continue
+        done = c.told(*c.with_subject(*left, subject, start > 0))
+        parts.append(done)
+        start = after
+        if w.structured and not _OPENER.match(done):
+            subject = own_subject(done, w) or subject
+    last = c.with_subject(start, len(content), subject, start > 0)
+    return [*parts, c.told(*last)] if parts and c.complete(*last) else [content.strip(" ,")]
 
-    def named(before: Column) -> Column:
-        first = F.get(before, F.lit(0))
-        fits = F.lower(first).isin(*w.pronouns) | F.substring(first, 1, 1).rlike(r"\p{Lu}")
-        return F.when((F.size(before) >= 1) & (F.size(before) <= w.longest_subject) & fits, F.array_join(before, " "))
 
-    return bound(raw_words(without_lead(c, w) if w.structured else c), found)
+def at_quotation(content: str, then: Callable[[str, str], bool]) -> list[str]:
+    """content cut behind its first quotation where then(quoted, trailing) holds, else alone."""
+    found = _QUOTATION.search(content)
+    quoted, rest = (content[: found.end()].strip(" ,"), content[found.end() :].strip(" ,")) if found else ("", "")
+    return [quoted, rest] if quoted and rest and then(quoted, rest) else [content]
 
 
-def without_reporting(c: Column) -> Column:
-    return F.regexp_replace(strip(c), rf"(?i)^(?:{REPORTING}[ ,]*(?=[^ ,]))+", "")
+_SEMICOLON, _AND, _COMMA, _ALL = re.compile(r"\s*;\s*", re.ASCII), re.compile(" and ", _FLAGS), re.compile(","), re.compile(";|,| and ", _FLAGS)
+_COUNTED = re.compile(",| and ", _FLAGS)
 
 
-def own_subject(c: Column, w: Wording) -> Column:
-    """The subject behind reporting phrases, else the text's."""
-    return F.coalesce(subject_of(without_reporting(c), w), subject_of(c, w))
+def plain_parts(content: str) -> Iterator[str]:
+    """At semicolons, behind a quotation with a gloss, at ``and``, then at commas."""
+    glossed = lambda _, rest: bool(_OPENER.match(rest) or re.search(GLOSSED, rest.lower()))
+    pieces = [p for x in _SEMICOLON.split(content) if (p := x.strip(" ,"))]
+    for p in pieces:
+        for q in at_quotation(p, glossed):
+            for r in cut(q, _AND, subject_of(q, PLAIN), PLAIN):
+                yield from cut(r, _COMMA, subject_of(r, PLAIN), PLAIN)
 
 
-def splits(left: Column, right: Column, subject: Column, w: Wording) -> Column:
-    whole_left = complete(with_subject(left, subject, wants_subject(left, w) if w.structured else F.lit(False), w), w)
-    whole_right = can_begin(right, subject, w) & complete(with_subject(right, subject, F.lit(True), w), w)
-    if w.structured:
-        whole_right = opens_gloss(right) | whole_right
-    return (left != "") & (right != "") & whole_left & whole_right
-
-
-def cut(c: Column, signs: str, subject: Column, w: Wording) -> Column:
-    """The pieces of c at the signs outside quotation marks where both sides are clauses; c alone if there are none."""
-    closed = F.when(F.regexp_count(c, F.lit(_QUOTE)) % 2 == 1, F.concat(c, F.lit('"'))).otherwise(c)
-    pattern = rf"(?i)(?:{signs}){_OUTSIDE}"
-
-    def folded(x: Column) -> Column:
-        start = F.struct(
-            F.array().cast("array<string>").alias("parts"), F.lit(0).alias("start"), F.lit(0).alias("at"), x["subject"].alias("subject")
-        )
-        rest = lambda at: c.substr(at + 1, F.length(c))
-
-        def step(acc: Column, i: Column) -> Column:
-            end = acc["at"] + F.element_at(x["sizes"], i)
-            after = end + F.element_at(x["gaps"], i)
-            piece = F.struct(strip(c.substr(acc["start"] + 1, end - acc["start"])).alias("left"), strip(rest(after)).alias("right"), after.alias("after"))
-            return bound(piece, lambda p: moved(acc, p))
-
-        def moved(acc: Column, p: Column) -> Column:
-            done = with_subject(p["left"], acc["subject"], acc["start"] > 0, w)
-            ok = splits(p["left"], p["right"], acc["subject"], w)
-            next_subject = F.when(~opens_gloss(done), F.coalesce(own_subject(done, w), acc["subject"])).otherwise(acc["subject"]) if w.structured else acc["subject"]
-            return F.when(
-                ok, F.struct(F.concat(acc["parts"], F.array(done)).alias("parts"), p["after"].alias("start"), p["after"].alias("at"), next_subject.alias("subject"))
-            ).otherwise(F.struct(acc["parts"].alias("parts"), acc["start"].alias("start"), p["after"].alias("at"), acc["subject"].alias("subject")))
-
-        def ended(acc: Column) -> Column:
-            last = with_subject(rest(acc["start"]), acc["subject"], acc["start"] > 0, w)
-            whole = F.array(strip(c))
-            return F.when(F.size(acc["parts"]) == 0, whole).otherwise(
-                bound(last, lambda y: F.when(complete(y, w), F.concat(acc["parts"], F.array(y))).otherwise(whole))
-            )
-
-        return F.aggregate(F.sequence(F.lit(1), F.size(x["gaps"])), start, step, ended)
-
-    sizes = F.transform(F.split(closed, pattern, -1), F.length)
-    gaps = F.transform(F.regexp_extract_all(closed, F.lit(f"({pattern})"), 1), F.length)
-    found = F.struct(sizes.alias("sizes"), gaps.alias("gaps"), subject.alias("subject"))
-    alone = F.array(with_subject(c, subject, F.lit(True), w) if w.structured else strip(c))
-    return bound(found, lambda x: F.when(F.size(x["gaps"]) > 0, folded(x)).otherwise(alone))
-
-
-def at_quote(c: Column, then) -> Column:
-    """c cut behind its first quotation where then(quoted, trailing) holds, else c alone."""
-    parts = F.struct(strip(F.regexp_extract(c, _QUOTED, 1)).alias("quoted"), strip(F.regexp_extract(c, _QUOTED, 2)).alias("rest"))
-    both = lambda p: (p["quoted"] != "") & (p["rest"] != "") & then(p["quoted"], p["rest"])
-    return bound(parts, lambda p: F.when(both(p), F.array(p["quoted"], p["rest"])).otherwise(F.array(c)))
-
-
-def plain_parts(c: Column) -> Column:
-    """At semicolons, behind a quotation with a gloss, at ``and``, then at commas."""
-    glossed = lambda quoted, rest: text.matchable(rest).rlike(OPENER) | text.matchable(rest).rlike(GLOSSED)
-    pieces = F.filter(F.transform(F.split(c, r"\s*;\s*"), strip), lambda p: p != "")
-    quoted = F.flatten(F.transform(pieces, lambda p: at_quote(p, glossed)))
-    joined = F.flatten(F.transform(quoted, lambda p: cut(p, " and ", subject_of(p, PLAIN), PLAIN)))
-    return F.flatten(F.transform(joined, lambda p: cut(p, ",", subject_of(p, PLAIN), PLAIN)))
+def first_sentence(content: str) -> tuple[str, str]:
+    """Up to the first end of a sentence outside quotation marks, and what follows it; empty where there is none."""
+    end = re.search("[.?!]", outside(content))
+    return (content[: end.start()], content[end.end() :]) if end else ("", "")
 
 
-def label_of(c: Column) -> Column:
-    """The heading that c begins with, a label rather than a clause; else null."""
-    lead = strip(F.regexp_extract(c, _SENTENCE, 1))
-    return bound(lead, lambda x: F.when((x != "") & x.rlike(LABEL) & ~complete(x, STRUCTURED), x))
+def is_label(lead: str) -> bool:
+    """Whether a first sentence is a heading rather than a clause."""
+    lead = lead.strip(" ,")
+    return bool(lead) and re.search(LABEL, lead, re.ASCII) is not None and not Clauses(lead, STRUCTURED).complete("", 0, len(lead))
 
 
-def structured_parts(c: Column) -> Column:
+def structured_parts(content: str) -> list[str]:
     """Without a heading, behind a quotation, then at all signs, with the subject behind reporting phrases."""
-    w, signs = STRUCTURED, ";|,| and "
-    before_quote = lambda q: F.coalesce(subject_of(strip(F.regexp_extract(q, '(?s)^([^"“]*)', 1)), w), subject_of(q, w))
+    w = STRUCTURED
+    lead, rest = first_sentence(content)
+    t = (rest if rest.strip(_SPACE) and is_label(lead) else content).strip(_SPACE)
+    subject = own_subject(t, w)
+    lower = t.lower()
+    if not _QUOTATION.search(t) and _MIXED.search(t) and " and later " not in lower and " and then " not in lower:
+        return [t.strip(" ,")]
 
-    def whole(t: Column) -> Column:
-        return bound(F.struct(t.alias("t"), own_subject(t, w).alias("subject")), split)
+    def before_quotation(quoted: str) -> str | None:
+        return subject_of(re.split('["“]', quoted, maxsplit=1)[0].strip(" ,"), w) or subject_of(quoted, w)
 
-    def split(x: Column) -> Column:
-        t, subject = x["t"], x["subject"]
-        goes_on = lambda quoted, rest: opens_gloss(rest) | can_begin(rest, F.coalesce(subject, before_quote(quoted)), w)
-        parts = lambda p: F.when(
-            F.size(p) > 1, F.concat(F.slice(p, 1, 1), cut(F.element_at(p, F.size(p)), signs, F.coalesce(before_quote(p[0]), subject), w))
-        ).otherwise(cut(strip(p[0]), signs, subject, w))
-        intact = ~t.rlike('"[^"\n]+"|“[^”\n]+”') & t.rlike(MIXED) & ~F.lower(t).contains(" and later ") & ~F.lower(t).contains(" and then ")
-        return F.when(intact, F.array(strip(t))).otherwise(bound(at_quote(strip(t), goes_on), parts))
+    def goes_on(quoted: str, rest: str) -> bool:
+        return bool(_OPENER.match(rest)) or Clauses(rest, w).can_begin(0, len(rest), subject or before_quotation(quoted))
 
-    rest = bare(F.regexp_extract(c, _SENTENCE, 2))
-    return bound(F.when(label_of(c).isNotNull() & (rest != ""), rest).otherwise(bare(c)), whole)
+    parts = at_quotation(t.strip(" ,"), goes_on)
+    if len(parts) > 1:
+        return [parts[0], *cut(parts[1], _ALL, before_quotation(parts[0]) or subject, w)]
+    return cut(parts[0].strip(" ,"), _ALL, subject, w)
 
 
-def strategy_of(c: Column) -> Column:
+def strategy_of(content: str) -> str:
     """structured for texts of the harder kinds, else plain."""
-    closed = F.when(F.regexp_count(c, F.lit(_QUOTE)) % 2 == 1, F.concat(c, F.lit('"'))).otherwise(c)
-    signs = F.regexp_count(closed, F.lit(rf"(?i)(?:,| and ){_OUTSIDE}"))
-    verbs = F.size(F.filter(lower_words(c), lambda x: is_verb(x, PLAIN)))
+    signs = len(_COUNTED.findall(outside(content)))
+    quotations = any(m.group()[1:-1].strip() for m in _QUOTATION.finditer(content))
     hard = (
-        label_of(c).isNotNull()
-        | ((F.size(text.quoted_phrases(c)) > 0) & (signs >= 1))
-        | ((signs >= 2) & (without_reporting(c) != strip(c)))
-        | ((signs >= 3) & (verbs >= 4))
-        | ((signs >= 1) & text.matchable(c).rlike(FOLLOWING))
+        is_label(first_sentence(content)[0])
+        or (signs >= 1 and quotations)
+        or (signs >= 2 and without_reporting(content) != content.strip(" ,"))
+        or (signs >= 3 and sum(map(PLAIN.is_verb, _TOKEN.findall(content.lower()))) >= 4)
+        or (signs >= 1 and re.search(FOLLOWING, " ".join(content.lower().split())) is not None)
     )
-    return F.when(hard, "structured").otherwise("plain")
+    return "structured" if hard else "plain"
+
+
+def claims_of(content: str, mode: str = "auto") -> tuple[str, list[str]]:
+    strategy = strategy_of(content) if mode == "auto" else mode
+    parts = structured_parts(content) if strategy == "structured" else plain_parts(content)
+    return strategy, [p for x in parts if (p := x.strip(" ,"))] or [content.strip(_SPACE)]
 
 
 def narrow_claims(assertions: DataFrame, mode: str = "auto") -> DataFrame:
     """assertion_id, strategy, seq, claim, claim_type: the claims of each assertion (assertion_id, text) in order.
 
     mode: auto, plain or structured. A null or blank text has no claims."""
-    c = F.col("text")
-    chosen = strategy_of(c) if mode == "auto" else F.lit(mode)
-    rows = assertions.filter(c.rlike(r"\S")).select("assertion_id", "text", chosen.alias("strategy"))
-    parts = {"plain": plain_parts(c), "structured": structured_parts(c)}
-    split = parts[mode] if mode in parts else F.when(F.col("strategy") == "structured", parts["structured"]).otherwise(parts["plain"])
-    kept = lambda p: F.filter(F.transform(p, strip), lambda x: x != "")
-    pieces = bound(kept(split), lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(bare(c))))
-    found = rows.select("assertion_id", "strategy", F.posexplode(pieces).alias("pos", "claim"))
-    return found.select("assertion_id", "strategy", (F.col("pos") + 1).alias("seq"), "claim", text.claim_type(F.col("claim")).alias("claim_type"))
+    rows = assertions.filter(F.col("text").rlike(r"\S")).select("assertion_id", "text")
+    kind = rows.schema["assertion_id"].dataType.simpleString()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(at, strategy, i, p) for at, (strategy, parts) in enumerate(claims_of(t, mode) for t in batch.column("text").to_pylist()) for i, p in enumerate(parts, 1)]
+            if found:
+                at, strategies, places, parts = zip(*found)
+                ids = batch.column("assertion_id").take(pa.array(at, pa.int64()))
+                columns = [ids, pa.array(strategies), pa.array(places, pa.int32()), pa.array(parts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["assertion_id", "strategy", "seq", "claim"])
+
+    told = rows.mapInArrow(split, f"assertion_id {kind}, strategy string, seq int, claim string")
+    return told.withColumn("claim_type", text.claim_type(F.col("claim")))
