@@ -53,7 +53,7 @@ FOLLOWING = r"\b(?:later|then|thereafter|except|but not)\b"
 
 _FLAGS = re.ASCII | re.IGNORECASE
 _QUOTES = re.compile('["“”]')
-_QUOTATION = re.compile(r'"[^"\n]+"|“[^”\n]+”')
+_STRAIGHT, _QUOTATION = re.compile(r'"[^"\n]+"'), re.compile(r'"[^"\n]+"|“[^”\n]+”')
 _WORD, _TOKEN = re.compile(r"\b[\w']+\b"), re.compile(rules.TOKEN)
 _COORDINATOR, _OPENER, _MIXED = (re.compile(p, _FLAGS) for p in (COORDINATOR, OPENER, MIXED))
 _REPORTING = re.compile(rf"(?:{REPORTING}[ ,]*(?=[^ ,]))+", _FLAGS)
@@ -283,9 +283,13 @@ def cut(content: str, signs: re.Pattern, subject: str | None, w: Wording) -> lis
     return [*parts, c.told(*last)] if parts and c.complete(*last) else [content.strip(" ,")]
 
 
+def quotations(content: str) -> Iterator[re.Match]:
+    return (_QUOTATION if "”" in content else _STRAIGHT).finditer(content)
+
+
 def at_quotation(content: str, then: Callable[[str, str], bool]) -> list[str]:
     """content cut behind its first quotation where then(quoted, trailing) holds, else alone."""
-    found = _QUOTATION.search(content)
+    found = next(quotations(content), None)
     quoted, rest = (content[: found.end()].strip(" ,"), content[found.end() :].strip(" ,")) if found else ("", "")
     return [quoted, rest] if quoted and rest and then(quoted, rest) else [content]
 
@@ -323,7 +327,7 @@ def structured_parts(content: str) -> list[str]:
     t = (rest if rest.strip(_SPACE) and is_label(lead) else content).strip(_SPACE)
     subject = own_subject(t, w)
     lower = t.lower()
-    if not _QUOTATION.search(t) and _MIXED.search(t) and " and later " not in lower and " and then " not in lower:
+    if next(quotations(t), None) is None and _MIXED.search(t) and " and later " not in lower and " and then " not in lower:
         return [t.strip(" ,")]
 
     def before_quotation(quoted: str) -> str | None:
@@ -341,10 +345,9 @@ def structured_parts(content: str) -> list[str]:
 def strategy_of(content: str) -> str:
     """structured for texts of the harder kinds, else plain."""
     signs = len(_COUNTED.findall(outside(content)))
-    quotations = any(m.group()[1:-1].strip() for m in _QUOTATION.finditer(content))
     hard = (
         is_label(first_sentence(content)[0])
-        or (signs >= 1 and quotations)
+        or (signs >= 1 and any(m.group()[1:-1].strip() for m in quotations(content)))
         or (signs >= 2 and without_reporting(content) != content.strip(" ,"))
         or (signs >= 3 and sum(map(PLAIN.is_verb, _TOKEN.findall(content.lower()))) >= 4)
         or (signs >= 1 and re.search(FOLLOWING, " ".join(content.lower().split())) is not None)

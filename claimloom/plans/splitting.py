@@ -1,4 +1,4 @@
-"""Queries that cut assertions into claims. SQL has no fold over a text's signs, so tests give the expected claims."""
+"""Queries that cut assertions into claims. SQL can't state the rules, so tests give the expected claims."""
 
 from __future__ import annotations
 
@@ -9,20 +9,22 @@ from claimloom.sources.views import table
 
 
 def assertions(spark, sf_dir):
-    """A sentence made of each document's first line, by turns of six kinds."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("line"))
-    word = lambda n: F.coalesce(F.get(F.regexp_extract_all("line", F.lit(r"\p{L}+"), 0), F.lit(n)), F.lit("lease"))
-    a, b, kind = word(0), word(1), F.col("doc_id") % 6
+    """Every line of every document, in full, with what an inspector might have written around it, by the number of its words."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    words = F.regexp_extract_all("line", F.lit(r"\p{L}+"), 0)
+    name = F.initcap(F.coalesce(F.get(words, F.lit(0)), F.lit("Mara")))
+    part = F.lower(F.coalesce(F.get(words, F.lit(1)), F.lit("valve")))
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    whole = (
-        F.when(kind == 0, say("Roe signed the ", a, " and approved the ", b, " because rent was due."))
-        .when(kind == 1, say('Roe testified, "I signed the ', a, '," and later sent the ', b, " to the bank."))
-        .when(kind == 2, say("Subject: Rent Status. Roe reviewed the ", a, ", signed the ", b, " and later emailed the bank."))
-        .when(kind == 3, say("Clerk argued that the exhibit indicates Roe reviewed the ", a, ", approved the ", b, ", and later forwarded the copy."))
-        .when(kind == 4, say("They knew the ", a, "; we paid the ", b, ", which suggests more."))
-        .otherwise(F.col("line"))
+    turn = F.size(words) % 7
+    around = (
+        F.when(turn == 1, say(name, " opened the ", part, " and "))
+        .when(turn == 2, say("Log Entry: Pump ", part, ". ", name, " closed the ", part, ", "))
+        .when(turn == 3, say(name, ' wrote, "the ', part, ' ran dry," and later '))
+        .when(turn == 4, say("It rained; ", name, " kept watch, which shows the ", part, " held; "))
+        .when(turn == 5, say("This record states ", name, " met the crew, paid the ", part, ", and then "))
+        .otherwise("")
     )
-    return d.select(F.col("doc_id").alias("assertion_id"), whole.alias("text"))
+    return d.select(F.concat_ws(":", "doc_id", "line_no").alias("assertion_id"), F.concat(around, "line").alias("text"))
 
 
 def u2(spark, sf_dir):

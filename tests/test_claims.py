@@ -1,40 +1,49 @@
+import time
+
 import pytest
 
+from claimloom.functions import text
 from claimloom.operators import claims
 
+#: each states one rule: a text, the splitter it goes to, its claims
 CASES = [
-    ("Roe signed the lease and approved the budget because rent was due.", "plain", ["Roe signed the lease", "Roe approved the budget because rent was due."]),
-    ("Roe reviewed the lease, signed the statement, and emailed the bank.", "plain", ["Roe reviewed the lease", "Roe signed the statement", "Roe emailed the bank."]),
-    ("Roe's story wasn't consistent with the letter.", "plain", ["Roe's story wasn't consistent with the letter."]),
-    ('Roe testified, "I signed the lease," which suggests he knew the rent.', "structured", ['Roe testified, "I signed the lease,"', "which suggests he knew the rent."]),
-    ('Clerk noted that Roe testified, "I reviewed the book and signed the statement."', "structured", ['Clerk noted that Roe testified, "I reviewed the book and signed the statement."']),
-    ("Roe signed the lease, which suggests he knew the rent.", "plain", ["Roe signed the lease, which suggests he knew the rent."]),
-    ("Roe reviewed and approved the lease.", "plain", ["Roe reviewed and approved the lease."]),
-    ("Roe reviewed the profit and loss account and signed the return.", "plain", ["Roe reviewed the profit and loss account", "Roe signed the return."]),
-    ("Roe met with Poe and Moe at the bank.", "plain", ["Roe met with Poe and Moe at the bank."]),
-    ("Roe reviewed the lease and later signed the return.", "structured", ["Roe reviewed the lease", "Roe later signed the return."]),
-    ('Roe testified, "I signed the lease," and later emailed the bank about the rent.', "structured", ['Roe testified, "I signed the lease,"', "Roe later emailed the bank about the rent."]),
-    ("Roe reviewed the lease and related schedules and circulated the revised return.", "plain", ["Roe reviewed the lease and related schedules", "Roe circulated the revised return."]),
-    ("Roe reviewed the lease, related schedules, and draft accounts.", "plain", ["Roe reviewed the lease, related schedules, and draft accounts."]),
-    ("Roe reviewed the lease, then signed the return and emailed the bank.", "structured", ["Roe reviewed the lease", "Roe then signed the return", "Roe emailed the bank."]),
-    ("Subject: Rent Status. Roe signed the lease and later emailed the bank regarding rent.", "structured", ["Roe signed the lease", "Roe later emailed the bank regarding rent."]),
-    (
-        "Clerk contended that the exhibit reflects Roe signed the lease, approved the budget, and thereafter forwarded the signed copy to the bank.", "structured",
-        ["Clerk contended that the exhibit reflects Roe signed the lease", "Roe approved the budget", "Roe thereafter forwarded the signed copy to the bank."],
-    ),
-    (
-        'Clerk argued that Roe testified, "I reviewed the book and signed the lease," which suggests he knew the gap, and later moved to compel an answer.', "structured",
-        ['Clerk argued that Roe testified, "I reviewed the book and signed the lease,"', "which suggests he knew the gap", "Clerk later moved to compel an answer."],
-    ),
-    ('From: Jane Roe. In the May 2 email, Roe wrote, "I signed the lease," and later sent the signed copy to the bank.', "structured", ['In the May 2 email, Roe wrote, "I signed the lease,"', "Roe later sent the signed copy to the bank."]),
-    ("Roe signed the lease but not the bond, and later emailed the bank about the gap.", "structured", ["Roe signed the lease but not the bond", "Roe later emailed the bank about the gap."]),
-    ("They knew the rent; we paid it.", "plain", ["They knew the rent", "we paid it."]),
-    (" , ", "plain", [","]),
-    ("No verb here, and none there", "plain", ["No verb here, and none there"]),
-    ('Unclosed "quote, and Roe signed the lease and Poe paid the rent', "plain", ['Unclosed "quote, and Roe signed the lease and Poe paid the rent']),
+    # two verbs of one subject
+    ("Mara opened the sluice and paid the diver.", "plain", ["Mara opened the sluice", "Mara paid the diver."]),
+    ("We saw smoke, heard nothing.", "plain", ["We saw smoke, heard nothing."]),
+    ("Old Ivo Kern met the crew, closed the hatch.", "plain", ["Old Ivo Kern met the crew", "Old Ivo Kern closed the hatch."]),
+    # a subject of five words is too long to carry
+    ("Most Of The River Wardens resigned and opened a kiosk.", "plain", ["Most Of The River Wardens resigned and opened a kiosk."]),
+    # a clause that names its own subject keeps it
+    ("It rained and Mara was soaked.", "plain", ["It rained", "Mara was soaked."]),
+    ("Mara was soaked and it was dark.", "plain", ["Mara was soaked", "it was dark."]),
+    # nouns that are joined, verbs that share an object, participles before nouns
+    ("The tide table lists salt and sand.", "plain", ["The tide table lists salt and sand."]),
+    ("Ivo opened and closed the hatch.", "plain", ["Ivo opened and closed the hatch."]),
+    ("Ivo circulated the chart and revised soundings.", "plain", ["Ivo circulated the chart and revised soundings."]),
+    # semicolons always part, whatever is on their sides
+    ("Rain; wind ; ; hail", "plain", ["Rain", "wind", "hail"]),
+    # adverbs and what points back send a text to the structured splitter
+    ("Mara sent a raft, but not the long one.", "structured", ["Mara sent a raft, but not the long one."]),
+    ("Mara sent a raft and thereafter met Ivo.", "structured", ["Mara sent a raft", "Mara thereafter met Ivo."]),
+    ("Mara sent a raft, then met Ivo and paid him.", "structured", ["Mara sent a raft", "Mara then met Ivo", "Mara paid him."]),
+    # what comes before the clause isn't its subject
+    ("In the third week, Ivo opened the lock and then resigned.", "structured", ["In the third week, Ivo opened the lock", "Ivo then resigned."]),
+    # a heading goes, a clause before a full stop doesn't
+    ("Weather Note: Gale. Ivo closed the lock, paid the pilot.", "structured", ["Ivo closed the lock", "Ivo paid the pilot."]),
+    ("Ivo agreed. Mara was late, then went.", "structured", ["Ivo agreed. Mara was late, then went."]),
+    # quotations stay whole, and what follows goes on with the speaker
+    ('Ivo said, "it leaks, and I knew it," and then opened the lock.', "structured", ['Ivo said, "it leaks, and I knew it,"', "Ivo then opened the lock."]),
+    ('Ivo said, "it leaks," which shows that he knew.', "structured", ['Ivo said, "it leaks,"', "which shows that he knew."]),
+    ("Ivo said “no, never” to the crew.", "plain", ["Ivo said “no, never” to the crew."]),
+    # the subject behind a reporting phrase
+    ("This memo states Ivo closed the lock, paid the pilot, and resigned.", "structured", ["This memo states Ivo closed the lock", "Ivo paid the pilot", "Ivo resigned."]),
+    # a gloss is left on
+    ("Ivo closed the lock, therefore the barge was late.", "plain", ["Ivo closed the lock, therefore the barge was late."]),
+    # nothing to cut
+    (" ,, ", "plain", [",,"]),
+    ("Salt, sand, and no verb", "plain", ["Salt, sand, and no verb"]),
+    ('An open "quotation, and Ivo resigned and Mara agreed', "plain", ['An open "quotation, and Ivo resigned and Mara agreed']),
 ]
-#: one sentence that the plain splitter leaves whole and the structured one doesn't
-HARDER = 'From: Jane Roe. In the May 2 email, Roe wrote, "I signed the lease," and later sent the signed copy to the bank.'
 
 
 @pytest.fixture(scope="module")
@@ -54,14 +63,29 @@ def test_claims_of(found, i):
     assert [r["seq"] for r in found[i]] == list(range(1, len(want) + 1))
 
 
-def test_types_and_blank_texts(found):
-    assert [r["claim_type"] for r in found[0]] == ["FACT", "INFERENCE"]
-    assert [r["claim_type"] for r in found[3]] == ["QUOTE", "INFERENCE"]
-    assert [r["claim_type"] for r in found[5]] == ["MIXED"]
+def test_types_and_blank_texts(spark, found):
+    rows = [r for x in found.values() for r in x]
+    df = spark.createDataFrame([(i, r["claim"]) for i, r in enumerate(rows)], "i int, claim string")
+    types = [r["t"] for r in df.select("i", text.claim_type(df["claim"]).alias("t")).orderBy("i").collect()]
+    assert [r["claim_type"] for r in rows] == types and {"FACT", "QUOTE"} <= set(types)
     assert not {900, 901, 902} & set(found)
 
 
-def test_modes(spark):
-    df = spark.createDataFrame([(1, HARDER)], "assertion_id long, text string")
-    n = {mode: claims.narrow_claims(df, mode).count() for mode in ("plain", "structured", "auto")}
-    assert n["plain"] < n["structured"] == n["auto"] == 2
+def test_modes_and_ids_of_any_type(spark):
+    harder = "Weather Note: Gale. Ivo closed the lock, then paid the pilot."
+    df = spark.createDataFrame([("a:1", harder, 7)], "assertion_id string, text string, claim int")
+    got = {mode: [r["claim"] for r in claims.narrow_claims(df, mode).orderBy("seq").collect()] for mode in ("plain", "structured", "auto")}
+    assert got["structured"] == got["auto"] == ["Ivo closed the lock", "Ivo then paid the pilot."] != got["plain"]
+    assert claims.narrow_claims(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("piece", ['"it leaks {i}," and Ivo{i} signed the log{i}, ', "salt{i}, ", "Ivo{i} met Mara{i}, ", "“ "], ids=["quotations", "commas", "clauses", "open"])
+def test_long_texts_cost_in_proportion(piece):
+    cost = []
+    for n in (1_000, 10_000):
+        content = "".join(piece.format(i=i) for i in range(n))
+        began = time.process_time()
+        parts = claims.claims_of(content)[1]
+        cost.append(time.process_time() - began)
+        assert "".join(parts).count("Ivo") == content.count("Ivo")
+    assert cost[1] < 40 * cost[0] + 1
