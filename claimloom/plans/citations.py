@@ -147,10 +147,11 @@ SELECT draft_id, citation, CAST(row_number() OVER (PARTITION BY draft_id ORDER B
 
 
 def s5(spark, sf_dir):
-    """Paragraphs of drafts (documents with every fourth line break doubled) and titles."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.trim(F.regexp_replace("text", r"(\n[^\n]*)\n", "$1\n \n")).alias("text"))
+    """Paragraphs of drafts (documents with every fourth line break doubled, and every fifth begun by empty lines) and titles."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 5 == 0, " \n\n").otherwise(""), F.trim(F.regexp_replace("text", r"(\n[^\n]*)\n", "$1\n \n"))).alias("text"))
     paragraphs = F.filter(F.transform(F.split("text", r"\n\s*\n"), lambda p: text.collapsed(F.regexp_replace(p, r"\s*\n\s*", " "))), lambda p: p != "")
-    head = trim_title(text.collapsed(F.split("text", "\n")[0]))
+    first = F.get(F.filter(F.split("text", "\n"), lambda line: line.rlike(r"\S")), F.lit(0))
+    head = trim_title(text.collapsed(F.coalesce(first, F.lit(""))))
     title = F.when(head == "", "Untitled Draft").when(F.length(head) <= rules.TITLE_CHARS, head).otherwise(F.concat(F.rtrim(F.substring(head, 1, rules.TITLE_CHARS - 3)), F.lit("...")))
     return docs.select("doc_id", title.alias("title"), F.posexplode(paragraphs).alias("pos", "paragraph")).withColumn("pos", F.col("pos") + 1)
 
@@ -159,9 +160,9 @@ def trim_title(c):
     return authority.trimmed(c, r" \-:\t")
 
 
-S5 = r"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '(\n[^\n]*)\n', E'\\1\n \n', 'g'), ' ') AS text FROM documents),
+S5 = r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ' ' || chr(10) || chr(10) ELSE '' END || trim(regexp_replace(text, '(\n[^\n]*)\n', E'\\1\n \n', 'g'), ' ') AS text FROM documents),
   p AS (SELECT doc_id, text, list_filter([trim(regexp_replace(regexp_replace(x, '\s*\n\s*', ' ', 'g'), '\s+', ' ', 'g')) FOR x IN regexp_split_to_array(text, '\n\s*\n')], lambda x: x <> '') AS ps,
-    trim(trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g')), ' -:' || chr(9)) AS head FROM d),
+    trim(trim(regexp_replace(coalesce(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))[1], ''), '\s+', ' ', 'g')), ' -:' || chr(9)) AS head FROM d),
   t AS (SELECT doc_id, ps, CASE WHEN head = '' THEN 'Untitled Draft' WHEN length(head) <= 80 THEN head ELSE rtrim(left(head, 77)) || '...' END AS title FROM p)
 SELECT doc_id, title, unnest(ps) AS paragraph, CAST(generate_subscripts(ps, 1) AS INTEGER) AS pos FROM t"""
 

@@ -115,12 +115,13 @@ FROM v
 
 def d1(spark, sf_dir):
     c = views.claims(spark, sf_dir)
-    return verify.unlinked_verdicts(c.join(views.text_links(spark, sf_dir).select("claim_id"), "claim_id", "left_anti"))
+    links = views.text_links(spark, sf_dir).filter("claim_id % 3 != 0")
+    return verify.unlinked_verdicts(c.join(links.select("claim_id"), "claim_id", "left_anti"))
 
 
 D1 = f"""{with_views("claims", "segments", "text_links")},
   k AS (SELECT claim_id, {D.found("text", rules.CASE_CITED)} AS cited, {D.found(M, rules.UNIVERSAL)} AS universal
-    FROM claims WHERE claim_id NOT IN (SELECT claim_id FROM text_links))
+    FROM claims WHERE claim_id NOT IN (SELECT claim_id FROM text_links WHERE claim_id % 3 <> 0))
 SELECT claim_id, CASE WHEN cited THEN 'AMBIGUOUS' WHEN universal THEN 'OVERSTATED' ELSE 'UNSUPPORTED' END AS verdict,
   CAST(CASE WHEN cited THEN 0.65 WHEN universal THEN 0.8 ELSE 0.75 END AS DOUBLE) AS confidence,
   CASE WHEN NOT cited AND universal THEN 'missing_citation,absolute_qualifier_mismatch' ELSE 'missing_citation' END AS flags
@@ -157,11 +158,11 @@ FROM b
 
 
 def j14(spark, sf_dir):
-    return graph.claim_edges(views.claims(spark, sf_dir))
+    return graph.claim_edges(views.graph_claims(spark, sf_dir))
 
 
-EDGES = f"""
-  p0 AS (SELECT draft_id, claim_id, {M} AS normal, {D.claim_type("text")} AS type, {D.tokens(M, rules.GRAPH_STOP)} AS t FROM claims),
+EDGES = views.SQL["graph_claims"] + f""",
+  p0 AS (SELECT draft_id, claim_id, {M} AS normal, {D.claim_type("text")} AS type, {D.tokens(M, rules.GRAPH_STOP)} AS t FROM graph_claims),
   p AS (SELECT *, list_has_any(t, {D.listed(rules.NEGATIONS)}) AS neg, [k FOR k IN t IF NOT list_contains({D.listed(rules.NEGATIONS)}, k)] AS core FROM p0 WHERE len(t) > 0),
   pairs AS (SELECT a.draft_id, a.claim_id AS l, b.claim_id AS r, a.normal = b.normal AS same, a.type AS lt, b.type AS rt, len(a.core) AS ln, len(b.core) AS rn,
     len(list_intersect(a.core, b.core)) AS n_both, a.neg <> b.neg AS opposite FROM p a JOIN p b ON a.draft_id = b.draft_id AND a.claim_id < b.claim_id),

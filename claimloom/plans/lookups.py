@@ -151,7 +151,7 @@ def a6(spark, sf_dir):
     runs = _runs(spark, sf_dir)
     rows = history.change_summary(runs)
     verdicts = runs.groupBy("claim_id").agg((F.count_distinct("verdict") > 1).alias("unstable"))
-    edges = graph.claim_edges(views.claims(spark, sf_dir))
+    edges = graph.claim_edges(views.graph_claims(spark, sf_dir))
     against = edges.filter("relation = 'contradicts'").select(F.col("source_id").alias("claim_id"), F.lit(True).alias("against")).distinct()
     rows = rows.join(verdicts, "claim_id").join(against, "claim_id", "left")
     weak = F.array_contains("categories", "weak_support")
@@ -204,7 +204,7 @@ def p4(spark, sf_dir):
     runs = _runs(spark, sf_dir)
     change = history.change_summary(runs).select("claim_id", "run_id", "verdict", "prev_verdict", F.col("score").cast("long").alias("score"))
     decided = views.decisions(spark, sf_dir).groupBy("claim_id").agg(F.count("*").alias("n_decisions"))
-    edges = graph.claim_edges(views.claims(spark, sf_dir)).groupBy(F.col("source_id").alias("claim_id")).agg(F.count("*").alias("n_edges"), F.bool_or(F.col("relation") == "contradicts").alias("contradicted"))
+    edges = graph.claim_edges(views.graph_claims(spark, sf_dir)).groupBy(F.col("source_id").alias("claim_id")).agg(F.count("*").alias("n_edges"), F.bool_or(F.col("relation") == "contradicts").alias("contradicted"))
     verdicts = runs.groupBy("claim_id").agg((F.count_distinct("verdict") > 1).alias("unstable"))
     rows = change.join(decided, "claim_id", "left").join(edges, "claim_id", "left").join(verdicts, "claim_id")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

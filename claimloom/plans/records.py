@@ -133,23 +133,25 @@ SELECT event_id, status, CASE WHEN status = 'unsupported_version' THEN 'Snapshot
   CASE WHEN status LIKE '%_v1' THEN CASE WHEN k % 3 = 0 THEN 'p.' || k ELSE 'x' END END AS anchor, CASE WHEN status LIKE '%_v1' THEN 2 ELSE 0 END AS citations, CASE WHEN status LIKE '%_v1' THEN k END AS first_order FROM x"""
 
 
-def _clauses(spark, sf_dir, sign=","):
+def _clauses(spark, sf_dir, sign=",", rows=None):
     """Pieces of each claim at a sign, without blanks; the whole text where none is left."""
-    c = views.claims(spark, sf_dir)
+    c = views.claims(spark, sf_dir) if rows is None else rows
     pieces = F.filter(F.transform(F.split("text", rf"\s*{sign}\s*"), lambda p: F.trim(p)), lambda p: p != "")
     kept = F.when(F.size(pieces) == 0, F.array(F.trim("text"))).otherwise(pieces)
     return c.select("claim_id", "draft_id", F.posexplode(kept).alias("pos", "piece")).withColumn("seq", F.col("pos") + 1).drop("pos")
 
 
 def u3(spark, sf_dir):
-    rows = _clauses(spark, sf_dir, ";")
+    # semicolons for every "and"
+    marked = views.claims(spark, sf_dir).withColumn("text", F.replace("text", F.lit(" and "), F.lit(" ; ")))
+    rows = _clauses(spark, sf_dir, ";", marked)
     return rows.select("claim_id", "seq", "piece", text.claim_type(F.col("piece")).alias("claim_type"))
 
 
-CLAUSES = lambda name, sign: rf"""
-  {name}0 AS (SELECT claim_id, draft_id, text, [trim(p, ' ') FOR p IN regexp_split_to_array(text, '\s*{sign}\s*') IF trim(p, ' ') <> ''] AS ps FROM claims),
+CLAUSES = lambda name, sign, source="claims": rf"""
+  {name}0 AS (SELECT claim_id, draft_id, text, [trim(p, ' ') FOR p IN regexp_split_to_array(text, '\s*{sign}\s*') IF trim(p, ' ') <> ''] AS ps FROM {source}),
   {name} AS (SELECT claim_id, draft_id, unnest(CASE WHEN len(ps) = 0 THEN [trim(text, ' ')] ELSE ps END) AS piece, CAST(generate_subscripts(CASE WHEN len(ps) = 0 THEN [trim(text, ' ')] ELSE ps END, 1) AS INTEGER) AS seq FROM {name}0)"""
-U3 = with_views("claims") + "," + CLAUSES("u", ";") + f" SELECT claim_id, seq, piece, {D.claim_type('piece')} AS claim_type FROM u"
+U3 = with_views("claims") + ", marked AS (SELECT claim_id, draft_id, replace(text, ' and ', ' ; ') AS text FROM claims)," + CLAUSES("u", ";", "marked") + f" SELECT claim_id, seq, piece, {D.claim_type('piece')} AS claim_type FROM u"
 
 
 def r1(spark, sf_dir):

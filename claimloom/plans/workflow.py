@@ -127,7 +127,7 @@ FROM (SELECT draft_id, unnest(flags) AS flag FROM latest WHERE list_contains(cat
 
 
 def a8(spark, sf_dir):
-    edges = graph.claim_edges(views.claims(spark, sf_dir))
+    edges = graph.claim_edges(views.graph_claims(spark, sf_dir))
     return edges.groupBy("draft_id", "relation").agg(F.count_distinct(F.least("source_id", "target_id"), F.greatest("source_id", "target_id")).alias("pairs"))
 
 
@@ -135,7 +135,7 @@ A8 = with_views("claims") + "," + EDGES + " SELECT draft_id, relation, count(DIS
 
 
 def j15(spark, sf_dir):
-    claims = views.claims(spark, sf_dir)
+    claims = views.graph_claims(spark, sf_dir)
     texts = claims.filter("claim_id % 11 != 0").select(F.col("claim_id").alias("target_id"), "text")
     edges = graph.claim_edges(claims).join(texts, "target_id", "left").withColumn("text", F.coalesce("text", F.lit("Unknown claim")))
     entry = F.struct("relation", "text", F.col("target_id").cast("string").alias("id"))
@@ -144,13 +144,13 @@ def j15(spark, sf_dir):
 
 J15 = with_views("claims") + "," + EDGES + """
 SELECT source_id, string_agg(relation || ':' || target_id, ',' ORDER BY relation, coalesce(text, 'Unknown claim'), CAST(target_id AS VARCHAR)) AS related
-FROM edges LEFT JOIN (SELECT claim_id, text FROM claims WHERE claim_id % 11 <> 0) ON claim_id = target_id GROUP BY source_id"""
+FROM edges LEFT JOIN (SELECT claim_id, text FROM graph_claims WHERE claim_id % 11 <> 0) ON claim_id = target_id GROUP BY source_id"""
 
 
 def a9(spark, sf_dir):
     """Each claim's distinct verdicts over all its runs, and whether another claim contradicts it."""
     verdicts = views.runs(spark, sf_dir).groupBy("claim_id").agg(F.count_distinct("verdict").alias("verdicts"), (F.count_distinct("verdict") > 1).alias("unstable"))
-    edges = graph.claim_edges(views.claims(spark, sf_dir)).filter("relation = 'contradicts'").select(F.col("source_id").alias("claim_id"), F.lit(True).alias("contradicted")).distinct()
+    edges = graph.claim_edges(views.graph_claims(spark, sf_dir)).filter("relation = 'contradicts'").select(F.col("source_id").alias("claim_id"), F.lit(True).alias("contradicted")).distinct()
     return verdicts.join(edges, "claim_id", "left").withColumn("contradicted", F.coalesce("contradicted", F.lit(False)))
 
 

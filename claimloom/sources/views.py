@@ -64,6 +64,17 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def graph_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """draft_id, claim_id, text: the claims, and after each, by turns, it denied, widened, drawn as a conclusion or in capitals, under its negative id."""
+    c = claims(spark, sf_dir).select("draft_id", "claim_id", "text")
+    turn = F.col("claim_id") % 4
+    other = (
+        F.when(turn == 0, F.concat("text", F.lit(" not"))).when(turn == 1, F.concat("text", F.lit(" beside harbour walls")))
+        .when(turn == 2, F.concat("text", F.lit(", which suggests more"))).otherwise(F.upper("text"))
+    )
+    return c.unionByName(c.select("draft_id", (-F.col("claim_id") - 1).alias("claim_id"), other.alias("text")))
+
+
 def text_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of claims to segments at the same place of the documents dealt to their item."""
     c = claims(spark, sf_dir).select("claim_id", "item_id", "seq")
@@ -170,6 +181,12 @@ SQL = {
         WHEN 4 THEN ', which suggests more' WHEN 5 THEN ' "' || array_to_string(string_split(trim(piece, ' '), ' ')[1:2], ' ') || '"'
         WHEN 6 THEN ' as Morgan knew and approved' WHEN 7 THEN ' always and was signed' ELSE '' END AS text
     FROM pieces WHERE trim(piece, ' ') <> '')""",
+    "graph_claims": """
+  graph_claims AS (
+    SELECT draft_id, claim_id, text FROM claims
+    UNION ALL
+    SELECT draft_id, -claim_id - 1, CASE claim_id % 4 WHEN 0 THEN text || ' not' WHEN 1 THEN text || ' beside harbour walls'
+      WHEN 2 THEN text || ', which suggests more' ELSE upper(text) END FROM claims)""",
     "text_links": """
   text_links AS (SELECT claim_id, segment_id, doc_id AS link_order FROM claims JOIN segments ON item_id = doc_id % (SELECT count(*) FROM benchmark) AND line_no = seq + 1)""",
     "runs": """
