@@ -8,19 +8,63 @@ from pyspark.sql import functions as F
 from claimloom.functions import rules, text
 
 
+#: how many of a matter's segments, those of most tokens, tell what a claim's best ones share at least
+SEEDS = 16
+
+
+def token_sets(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """key, matter, tokens: of rows that have any."""
+    found = rows.select(key, "matter", text.tokens(text.matchable(F.col(column)), rules.SUGGEST_STOP).alias("tokens"))
+    return found.filter(F.size("tokens") > 0)
+
+
+def least_shared(mine: DataFrame, theirs: DataFrame, limit: int) -> DataFrame:
+    """claim_id, matter, n, tokens and least: fewer shared tokens can't be among the best ``limit``.
+
+    The score of the ``limit``-th best of the seeds, SEEDS segments of a matter, is a lower bound; least is
+    the smallest number of tokens that is rounded to that score or a higher one."""
+    largest = Window.partitionBy("matter").orderBy(F.size("tokens").desc(), "segment_id")
+    seeds = theirs.withColumn("place", F.row_number().over(largest)).filter(F.col("place") <= SEEDS)
+    seeds = seeds.groupBy("matter").agg(F.collect_list("tokens").alias("seeds"))
+    shared = F.transform("seeds", lambda t: F.size(F.array_intersect(t, "tokens")))
+    limited = F.coalesce(F.get(F.sort_array(shared, asc=False), F.lit(limit - 1)), F.lit(0))
+    n = F.size("tokens")
+    rows = mine.join(seeds, "matter", "left").select("claim_id", "matter", "tokens", n.alias("n"), F.round(limited / n, 2).alias("score"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") * (F.col("score") - 0.005) - 1e-9)).cast("int")
+    return rows.select("claim_id", "matter", "tokens", "n", least.alias("least"))
+
+
+def support_candidates(mine: DataFrame, theirs: DataFrame, limit: int) -> DataFrame:
+    """claim_id, segment_id: the pairs that can share ``least`` tokens.
+
+    A segment that shares so many has one of a claim's n - least + 1 rarest tokens in the matter, so the
+    commonest tokens, which a third of all segments may hold, aren't looked up."""
+    held = theirs.select("segment_id", "matter", F.explode("tokens").alias("token"))
+    asked = least_shared(mine, theirs, limit).select("claim_id", "matter", "n", "least", F.explode("tokens").alias("token"))
+    wanted = asked.select("matter", "token").distinct()
+    common = held.join(wanted, ["matter", "token"]).groupBy("matter", "token").agg(F.count("*").alias("held"))
+    ordered = asked.join(common, ["matter", "token"], "left").groupBy("claim_id", "matter", "n", "least").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "token"))).alias("rarest")
+    )
+    prefix = ordered.select("claim_id", "matter", F.explode(F.slice("rarest", F.lit(1), F.col("n") - F.col("least") + 1)).alias("x"))
+    return prefix.select("claim_id", "matter", "x.token").join(held, ["matter", "token"]).select("claim_id", "segment_id").distinct()
+
+
 def suggest_support(claims: DataFrame, segments: DataFrame, limit: int = rules.SUGGESTIONS) -> DataFrame:
     """For each claim the segments of its matter that share most of its tokens.
 
     claims: claim_id, matter, text; segments: segment_id, matter, doc_id, line_no,
-    raw_text. The join is on (matter, token), so only pairs that share a token are
-    made; scores are rounded before they are ranked, ties keep the record's order."""
-    tokens = lambda c: F.explode(text.tokens(text.matchable(F.col(c)), rules.SUGGEST_STOP))
-    mine = claims.select("claim_id", "matter", F.size(text.tokens(text.matchable(F.col("text")), rules.SUGGEST_STOP)).alias("n"), tokens("text").alias("token"))
-    theirs = segments.select("segment_id", "matter", tokens("raw_text").alias("token"))
-    shared = mine.join(theirs, ["matter", "token"]).groupBy("claim_id", "segment_id").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    scored = shared.withColumn("score", F.round(F.col("shared") / F.col("n"), 2)).filter("score > 0")
+    raw_text. Only support_candidates() are compared; scores are rounded before
+    they are ranked, ties keep the record's order."""
+    # dealt by their keys, so that all steps read the one shuffle of them
+    mine = token_sets(claims, "claim_id", "text").repartition("claim_id")
+    theirs = token_sets(segments, "segment_id", "raw_text").repartition("segment_id")
+    pairs = support_candidates(mine, theirs, limit).join(mine.select("claim_id", "matter", F.col("tokens").alias("mine")), "claim_id")
+    shared = pairs.join(theirs, ["segment_id", "matter"]).select(
+        "claim_id", "segment_id", F.round(F.size(F.array_intersect("tokens", "mine")) / F.size("mine"), 2).alias("score")
+    )
     best = Window.partitionBy("claim_id").orderBy(F.desc("score"), "segment_id")
-    ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
+    ranked = shared.filter("score > 0").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
     return ranked.select("claim_id", "segment_id", "score", "rank")
 
 
