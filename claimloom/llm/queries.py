@@ -78,7 +78,6 @@ ORACLE_SQL = {
     "op6_ngram_join": ngram_join.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_embedding_join": embedding_join.ORACLE,
-    "op11_quality_rules": quality_rules.oracle(),
     "op12_fill_in_middle": fill_in_middle.oracle(),
     "op13_centroid_clusters": centroid_clusters.oracle(),
 }
