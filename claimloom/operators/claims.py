@@ -298,26 +298,86 @@ _SEMICOLON, _AND, _COMMA, _ALL = re.compile(r"\s*;\s*", re.ASCII), re.compile("
 _COUNTED = re.compile(",| and ", _FLAGS)
 
 
+def glosses(_: str, rest: str) -> bool:
+    """Whether what follows a quotation says what it shows."""
+    return bool(_OPENER.match(rest) or re.search(GLOSSED, rest.lower()))
+
+
+def outer_subject(quoted: str, w: Wording) -> str | None:
+    """The subject ahead of a quotation, else the one of the whole."""
+    return subject_of(re.split('["“]', quoted, maxsplit=1)[0].strip(" ,"), w) or subject_of(quoted, w)
+
+
 def plain_parts(content: str) -> Iterator[str]:
-    """At semicolons, behind a quotation with a gloss, at ``and``, then at commas."""
-    glossed = lambda _, rest: bool(_OPENER.match(rest) or re.search(GLOSSED, rest.lower()))
+    """Hard texts as ``guarded_parts``; others at semicolons, behind a quotation with a gloss, at ``and``, then at commas."""
+    if (guarded := guarded_parts(content)) is not None:
+        yield from guarded
+        return
     pieces = [p for x in _SEMICOLON.split(content) if (p := x.strip(" ,"))]
     for p in pieces:
-        for q in at_quotation(p, glossed):
+        for q in at_quotation(p, glosses):
             for r in cut(q, _AND, subject_of(q, PLAIN), PLAIN):
                 yield from cut(r, _COMMA, subject_of(r, PLAIN), PLAIN)
 
 
+def told_parts(content: str, subject: str | None) -> list[str]:
+    """At commas, then at ``and``, with the subject behind reporting phrases, else the one given."""
+    first = own_subject(content, PLAIN) or subject
+    return [p for part in cut(content.strip(" ,"), _COMMA, first, PLAIN) for p in cut(part, _AND, own_subject(part, PLAIN) or subject or first, PLAIN)]
+
+
+def guarded_parts(content: str) -> list[str] | None:
+    """The plain splitter's way with a heading, a gloss of several clauses, a reporting phrase or a chain of verbs; None for other texts.
+
+    The choice between the splitters sends such texts to the structured one; this is for those that ask for the plain one."""
+
+    def gloss_parts(t: str) -> list[str]:
+        parts = at_quotation(t, glosses)
+        if len(parts) == 1:
+            return []
+        behind = told_parts(parts[1], outer_subject(parts[0], PLAIN))
+        return [parts[0], *behind] if len(behind) > 1 else []
+
+    lead, rest = first_sentence(content)
+    heading = is_label(lead, PLAIN)
+    found = gloss_parts(content.strip(_SPACE))
+    if not (heading or found or reports(content, quoted=False) or chained(content)):
+        return None
+    t = (rest if heading and rest.strip(_SPACE) else content).strip(_SPACE)
+    return gloss_parts(t) or told_parts(t, None)
+
+
+def signs_of(content: str) -> int:
+    return len(_COUNTED.findall(outside(content)))
+
+
+def reports(content: str, quoted: bool = True) -> bool:
+    """A reporting phrase ahead of two signs or more; with quotations, or only without."""
+    return signs_of(content) >= 2 and without_reporting(content) != content.strip(" ,") and (quoted or not has_quotation(content))
+
+
+def chained(content: str) -> bool:
+    """Four verbs or more and three signs."""
+    return signs_of(content) >= 3 and sum(map(PLAIN.is_verb, _TOKEN.findall(content.lower()))) >= 4
+
+
+def has_quotation(content: str) -> bool:
+    return any(m.group()[1:-1].strip() for m in quotations(content))
+
+
 def first_sentence(content: str) -> tuple[str, str]:
     """Up to the first end of a sentence outside quotation marks, and what follows it; empty where there is none."""
     end = re.search("[.?!]", outside(content))
     return (content[: end.start()], content[end.end() :]) if end else ("", "")
 
 
-def is_label(lead: str) -> bool:
+def is_label(lead: str, w: Wording = STRUCTURED) -> bool:
     """Whether a first sentence is a heading rather than a clause."""
     lead = lead.strip(" ,")
-    return bool(lead) and re.search(LABEL, lead, re.ASCII) is not None and not Clauses(lead, STRUCTURED).complete("", 0, len(lead))
+    if not lead or re.search(LABEL, lead, re.ASCII) is None:
+        return False
+    c = Clauses(lead, w)
+    return not (c.complete("", 0, len(lead)) if w.structured else c.predicate([], 0, len(lead), 1))
 
 
 def structured_parts(content: str) -> list[str]:
@@ -330,26 +390,23 @@ def structured_parts(content: str) -> list[str]:
     if next(quotations(t), None) is None and _MIXED.search(t) and " and later " not in lower and " and then " not in lower:
         return [t.strip(" ,")]
 
-    def before_quotation(quoted: str) -> str | None:
-        return subject_of(re.split('["“]', quoted, maxsplit=1)[0].strip(" ,"), w) or subject_of(quoted, w)
-
     def goes_on(quoted: str, rest: str) -> bool:
-        return bool(_OPENER.match(rest)) or Clauses(rest, w).can_begin(0, len(rest), subject or before_quotation(quoted))
+        return bool(_OPENER.match(rest)) or Clauses(rest, w).can_begin(0, len(rest), subject or outer_subject(quoted, w))
 
     parts = at_quotation(t.strip(" ,"), goes_on)
     if len(parts) > 1:
-        return [parts[0], *cut(parts[1], _ALL, before_quotation(parts[0]) or subject, w)]
+        return [parts[0], *cut(parts[1], _ALL, outer_subject(parts[0], w) or subject, w)]
     return cut(parts[0].strip(" ,"), _ALL, subject, w)
 
 
 def strategy_of(content: str) -> str:
     """structured for texts of the harder kinds, else plain."""
-    signs = len(_COUNTED.findall(outside(content)))
+    signs = signs_of(content)
     hard = (
         is_label(first_sentence(content)[0])
-        or (signs >= 1 and any(m.group()[1:-1].strip() for m in quotations(content)))
-        or (signs >= 2 and without_reporting(content) != content.strip(" ,"))
-        or (signs >= 3 and sum(map(PLAIN.is_verb, _TOKEN.findall(content.lower()))) >= 4)
+        or (signs >= 1 and has_quotation(content))
+        or reports(content)
+        or chained(content)
         or (signs >= 1 and re.search(FOLLOWING, " ".join(content.lower().split())) is not None)
     )
     return "structured" if hard else "plain"
