@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimloom.operators import claims
+from claimloom.functions import text
+from claimloom.operators import claims, reextract
+from claimloom.sources import store
 from claimloom.sources.views import table
 
 
-def assertions(spark, sf_dir):
+def placed(spark, sf_dir):
     """Every line of every document, in full, with what an inspector might have written around it, by the number of its words."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     words = F.regexp_extract_all("line", F.lit(r"\p{L}+"), 0)
@@ -24,7 +26,11 @@ def assertions(spark, sf_dir):
         .when(turn == 5, say("This record states ", name, " met the crew, paid the ", part, ", and then "))
         .otherwise("")
     )
-    return d.select(F.concat_ws(":", "doc_id", "line_no").alias("assertion_id"), F.concat(around, "line").alias("text"))
+    return d.select(F.concat_ws(":", "doc_id", "line_no").alias("assertion_id"), F.concat(around, "line").alias("text"), "doc_id", "line_no")
+
+
+def assertions(spark, sf_dir):
+    return placed(spark, sf_dir).select("assertion_id", "text")
 
 
 def u2(spark, sf_dir):
@@ -35,5 +41,68 @@ def u1(spark, sf_dir):
     return claims.narrow_claims(assertions(spark, sf_dir))
 
 
-QUERIES = {"u1_narrow_claims": u1, "u2_structured_claims": u2}
+def _on_record(lines, proposed):
+    """Claims on record: of every third line those of the present extraction, of others the text cut at semicolons; of every eleventh none."""
+    pieces = F.filter(F.transform(F.split("text", ";"), lambda p: F.trim(p)), lambda p: p != "")
+    older = lines.filter("line_no % 3 != 0 AND line_no % 11 != 5").select("assertion_id", F.posexplode(pieces).alias("pos", "claim"))
+    older = older.select("assertion_id", (F.col("pos") + 1).alias("seq"), "claim", text.claim_type(F.col("claim")).alias("claim_type"))
+    line_no = F.element_at(F.split("assertion_id", ":"), 2).cast("int")
+    rows = older.unionByName(proposed.filter((line_no % 3 == 0) & (line_no % 11 != 5)).drop("strategy"))
+    return rows.withColumn("claim_id", F.concat_ws(":", "assertion_id", "seq"))
+
+
+def _recorded(spark, sf_dir):
+    """lines with what is noted of their extraction, the new extraction and the claims on record, both computed once."""
+    lines = placed(spark, sf_dir).filter(F.col("text").rlike(r"\S"))
+    proposed = store.written(claims.narrow_claims(lines), "proposed")
+    persisted = store.written(_on_record(lines, proposed), "persisted")
+    turn = F.col("line_no") % 3
+    noted = lines.select(
+        F.col("doc_id").alias("draft_id"), "assertion_id", "text", F.when(turn == 0, "structured").when(turn == 2, "plain").alias("strategy"),
+        F.when(turn == 0, reextract.VERSION).when(turn == 2, 0).alias("version"), (turn == 0).alias("has_snapshot"),
+    )
+    return noted, proposed, persisted
+
+
+def _compared(noted, proposed, persisted):
+    doc = F.element_at(F.split("claim_id", ":"), 1).cast("long")
+    return reextract.compared(noted.drop("text"), persisted, proposed, persisted.filter((doc % 4 == 1) & (F.col("seq") == 1)), persisted.filter((doc % 6 == 1) & (F.col("seq") == 2)))
+
+
+def r2(spark, sf_dir):
+    """Each line's assertion, what the splitters would change, and what keeps them from it."""
+    rows = _compared(*_recorded(spark, sf_dir))
+    digest = lambda c: F.sha2(F.to_json(c), 256)
+    return rows.select("draft_id", "assertion_id", "existing", "strategy", "changed", F.array_join("blocked_by", " ").alias("blocked_by"), "status", digest("old").alias("old_sha256"), digest("new").alias("new_sha256"))
+
+
+def r2_counters(spark, sf_dir):
+    return reextract.preview_counters(_compared(*_recorded(spark, sf_dir)))
+
+
+#: partitions of drafts; a table of more drafts takes more
+PARTS = 16
+
+
+def r3(spark, sf_dir):
+    """The claims on record, partitioned by draft, then those of every second partition in place of them; all as reread."""
+    noted, proposed, persisted = _recorded(spark, sf_dir)
+    path = store.new_path(spark, "claims")
+    before = persisted.join(noted.select("draft_id", "assertion_id"), "assertion_id").select("draft_id", "assertion_id", "seq", "claim", "claim_type")
+    reextract.write_claims(before, path, PARTS)
+    applied = reextract.outcomes(_compared(noted, proposed, persisted)).filter(store.part_of("draft_id", PARTS) % 2 == 0)
+    reextract.write_claims(reextract.claims_after(applied), path, PARTS)
+    return spark.read.schema(before.schema).parquet(path)
+
+
+def u4(spark, sf_dir):
+    """U4: snapshots of the extraction of lines without claims on record."""
+    noted, proposed, persisted = _recorded(spark, sf_dir)
+    return reextract.snapshots(noted.select("assertion_id", "text"), proposed, persisted)
+
+
+QUERIES = {
+    "u1_narrow_claims": u1, "u2_structured_claims": u2, "u4_assertion_snapshots": u4,
+    "r2_assertion_preview": r2, "r2_assertion_counters": r2_counters, "r3_assertion_claims": r3,
+}
 SQL = {}
