@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.sources import store
+
 
 def latest(rows: DataFrame, key: str, row_id: str, at: str = "created_at") -> DataFrame:
     """The row of each key with the greatest (at, id as text); one partial aggregate, no sort."""
@@ -50,3 +52,19 @@ def change_score() -> Column:
     for name, weight in weights:
         total = total + F.when(F.col(f"{name}_changed"), weight).otherwise(0)
     return F.when(F.col("changed"), total).otherwise(0)
+
+
+# --- fixed value: version of a run's snapshot ---
+SNAPSHOT_VERSION = 1
+
+
+def append_runs(runs: DataFrame, path: str, batch: str, parts: int) -> bool:
+    """Adds runs (claim_id, draft_id and whatever else, support_snapshot among it) as one batch by partitions of drafts.
+
+    Runs are never changed: a claim's status is read from them (``statuses``). False, and nothing added, where the batch is there."""
+    return store.append(runs.withColumn("part", store.part_of("draft_id", parts)), path, batch, ["part"])
+
+
+def statuses(runs: DataFrame) -> DataFrame:
+    """claim_id, run_id, support_status: what the latest run of each claim says."""
+    return latest(runs.select("claim_id", "run_id", "created_at", "verdict"), "claim_id", "run_id").select("claim_id", "run_id", F.col("verdict").alias("support_status"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.sources import store
+
 # --- fixed values: the forms of lines ---
 PAGE_HEADER = r"(?i)^(?:page|pg\.?)\s+(\d+)$"
 NUMBERED_LINE = r"^\s*(\d{1,3})\s+(.*\S.*)$"
@@ -104,3 +106,20 @@ def parser_results(documents: DataFrame, transcripts: DataFrame, declarations: D
         "doc_id", F.coalesce("k", F.lit(0)).alias("segments"), F.when(F.trim("text") == "", "PENDING").when(F.col("k").isNull(), "FAILED").otherwise("COMPLETED").alias("status"),
         F.coalesce("c", F.lit(0.0)).alias("confidence"),
     )
+
+
+def source_segments(transcripts: DataFrame, declarations: DataFrame, exhibits: DataFrame) -> DataFrame:
+    """source_type, doc_id, seq, segment_type, speaker, raw_text of all parsers."""
+    kind = F.when(F.col("paragraph").isNull(), "DECLARATION_BLOCK").otherwise("DECLARATION_PARAGRAPH")
+    named = {
+        "deposition": transcripts.withColumnRenamed("seg_no", "seq"),
+        "declaration": declarations if "segment_type" in declarations.columns else declarations.withColumn("segment_type", kind),
+        "exhibit": exhibits.withColumn("speaker", F.lit(None).cast("string")),
+    }
+    parts = [rows.select(F.lit(name).alias("source_type"), "doc_id", F.col("seq").cast("long").alias("seq"), "segment_type", "speaker", "raw_text") for name, rows in named.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def write_segments(segments: DataFrame, path: str, batch: str) -> bool:
+    """Appends one ingestion's segments, by source type; False where that batch was ingested before."""
+    return store.append(segments, path, batch, ["source_type"])

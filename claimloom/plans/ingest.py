@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimloom.operators import ingest
+from claimloom.sources import store
 from claimloom.sources.raw_lines import SQL as RAW
 from claimloom.sources.raw_lines import raw_lines
 from claimloom.sources.views import table
@@ -75,5 +76,19 @@ S1 = f"""{S2_CTE},{S3_PART},{S4_PART},
 SELECT doc_id, coalesce(k, 0) AS segments, CASE WHEN trim(text, ' ') = '' THEN 'PENDING' WHEN k IS NULL THEN 'FAILED' ELSE 'COMPLETED' END AS status, CAST(coalesce(c, 0) AS DOUBLE) AS confidence
 FROM documents LEFT JOIN parts USING (doc_id)"""
 
-QUERIES = {"s1_parser_results": s1, "s2_transcript_segments": s2, "s3_declaration_segments": s3, "s4_exhibit_segments": s4}
-SQL = {"s1_parser_results": S1, "s2_transcript_segments": S2, "s3_declaration_segments": S3, "s4_exhibit_segments": S4}
+
+def s1_written(spark, sf_dir):
+    """Two ingestions, the second tried twice, as reread by source type."""
+    rows, path = ingest.source_segments(s2(spark, sf_dir), s3(spark, sf_dir), s4(spark, sf_dir)), store.new_path(spark, "segments")
+    for batch, some in (("monday", "doc_id % 4 != 1"), ("tuesday", "doc_id % 4 = 1"), ("tuesday", "doc_id % 4 = 1")):
+        ingest.write_segments(rows.filter(some), path, batch)
+    return store.read(spark, path, rows.schema)
+
+
+S1_WRITTEN = f"""{S2_CTE},{S3_PART},{S4_PART},
+  every AS (SELECT 'deposition' AS source_type, doc_id, seg_no AS seq, segment_type, speaker, raw_text FROM s2
+    UNION ALL SELECT 'declaration', doc_id, seq, CASE WHEN paragraph IS NULL THEN 'DECLARATION_BLOCK' ELSE 'DECLARATION_PARAGRAPH' END, CASE WHEN paragraph IS NULL THEN 'DECLARANT' ELSE 'DECLARANT ¶' || paragraph END, raw_text FROM s3
+    UNION ALL SELECT 'exhibit', doc_id, seq, segment_type, NULL, raw_text FROM s4)
+SELECT *, CASE WHEN doc_id % 4 = 1 THEN 'tuesday' ELSE 'monday' END AS batch FROM every"""
+QUERIES = {"s1_parser_results": s1, "s2_transcript_segments": s2, "s3_declaration_segments": s3, "s4_exhibit_segments": s4, "s1_written_segments": s1_written}
+SQL = {"s1_parser_results": S1, "s2_transcript_segments": S2, "s3_declaration_segments": S3, "s4_exhibit_segments": S4, "s1_written_segments": S1_WRITTEN}

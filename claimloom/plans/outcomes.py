@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import duck as D
 from claimloom.functions import rules, text
-from claimloom.operators import reextract, review
+from claimloom.operators import history, reextract, review
 from claimloom.plans.records import CLAUSES, _clauses
 from claimloom.plans.workflow import RUNS, _latest
-from claimloom.sources import views
+from claimloom.sources import store, views
 from claimloom.sources.views import with_views
 
 
@@ -60,6 +60,29 @@ S8 = RUNS + """ SELECT claim_id, run_id, CAST(to_json(struct_pack(claim_id := cl
   1 AS support_snapshot_version, verdict AS support_status FROM latest"""
 
 
+def _log(spark, sf_dir):
+    """The runs in three batches by month, the last tried twice, as reread."""
+    runs, path = views.runs(spark, sf_dir), store.new_path(spark, "runs")
+    turn = F.month("created_at") % 3
+    for n in (0, 1, 2, 2):
+        history.append_runs(runs.filter(turn == n), path, f"batch {n}", 16)
+    return store.read(spark, path, runs.schema)
+
+
+def s8_log(spark, sf_dir):
+    """Every run once, with the batch that brought it."""
+    return _log(spark, sf_dir).select("claim_id", "run_id", "draft_id", "verdict", "confidence", F.array_join("flags", ",").alias("flags"), "anchor", "batch")
+
+
+def s8_statuses(spark, sf_dir):
+    """claims' statuses from the runs as appended."""
+    return history.statuses(_log(spark, sf_dir))
+
+
+S8_LOG = with_views("runs") + " SELECT claim_id, run_id, draft_id, verdict, confidence, array_to_string(flags, ',') AS flags, anchor, 'batch ' || (month(created_at) % 3) AS batch FROM runs"
+S8_STATUSES = RUNS + " SELECT claim_id, run_id, verdict AS support_status FROM latest"
+
+
 def a14(spark, sf_dir):
     """A review run's row for each draft: counts, severity and its flagged claims as JSON."""
     latest = _latest(spark, sf_dir)
@@ -86,7 +109,7 @@ D7 = with_views("claims", "segments", "text_links") + """,
 SELECT claim_id, segment_id, CASE WHEN length(r) > 220 THEN rtrim(left(r, 217), ' ') || '...' ELSE r END AS snippet FROM f"""
 
 _ALL = {
-    "r3_reextraction_counters": (r3, R3), "r3_resulting_claims": (r3_claims, R3_CLAIMS), "u4_extraction_snapshots": (u4, U4), "s8_run_snapshots": (s8, S8), "a14_review_rollup": (a14, A14), "d7_support_snippets": (d7, D7),
+    "r3_reextraction_counters": (r3, R3), "r3_resulting_claims": (r3_claims, R3_CLAIMS), "u4_extraction_snapshots": (u4, U4), "s8_run_snapshots": (s8, S8), "s8_appended_runs": (s8_log, S8_LOG), "s8_claim_statuses": (s8_statuses, S8_STATUSES), "a14_review_rollup": (a14, A14), "d7_support_snippets": (d7, D7),
 }
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 SQL = {name: sql for name, (_, sql) in _ALL.items()}
