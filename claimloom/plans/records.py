@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import duck as D
 from claimloom.functions import rules, text
-from claimloom.operators import anchors, history, scorer
+from claimloom.operators import anchors, history, scorer, snapshots
 from claimloom.plans.evidence import ROLE
 from claimloom.plans.workflow import RUNS, _latest
 from claimloom.sources import views
@@ -123,13 +123,13 @@ def s7(spark, sf_dir):
     status = F.when(F.col("body").isNull(), "missing").when(F.col("version").isNull(), "legacy_unversioned_v1").when(F.col("version") == 1, "versioned_v1").otherwise("unsupported_version")
     read = rows.withColumn("status", status).withColumn("s", F.when(F.col("status").isin("legacy_unversioned_v1", "versioned_v1"), F.from_json("body", shape)))
     anchor = F.coalesce("s.provider_output.primary_anchor", F.get("s.support_items", F.lit(0))["anchor"])
-    note = F.when(F.col("status") == "unsupported_version", F.concat(F.lit("Snapshot: persisted support snapshot version "), F.col("version").cast("string"), F.lit(" is not supported for structured rendering.")))
+    note = F.when(F.col("status") == "legacy_unversioned_v1", snapshots.LEGACY_NOTE).when(F.col("status") == "unsupported_version", F.concat(F.lit("Snapshot: persisted support snapshot version "), F.col("version").cast("string"), F.lit(" is not supported for structured rendering.")))
     return read.select("event_id", "status", note.alias("note"), anchor.alias("anchor"), F.coalesce(F.size("s.citations"), F.lit(0)).alias("citations"), F.get("s.support_items", F.lit(0))["order"].alias("first_order"))
 
 
 S7 = """WITH x AS (SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0) AS k,
     CASE WHEN event_id % 11 = 0 THEN 'missing' WHEN event_id % 5 = 0 THEN 'legacy_unversioned_v1' WHEN event_id % 7 = 0 THEN 'unsupported_version' ELSE 'versioned_v1' END AS status FROM events)
-SELECT event_id, status, CASE WHEN status = 'unsupported_version' THEN 'Snapshot: persisted support snapshot version 9 is not supported for structured rendering.' END AS note,
+SELECT event_id, status, CASE WHEN status = 'legacy_unversioned_v1' THEN 'Snapshot: legacy/unversioned persisted support snapshot interpreted as v1-compatible.' WHEN status = 'unsupported_version' THEN 'Snapshot: persisted support snapshot version 9 is not supported for structured rendering.' END AS note,
   CASE WHEN status LIKE '%_v1' THEN CASE WHEN k % 3 = 0 THEN 'p.' || k ELSE 'x' END END AS anchor, CASE WHEN status LIKE '%_v1' THEN 2 ELSE 0 END AS citations, CASE WHEN status LIKE '%_v1' THEN k END AS first_order FROM x"""
 
 
