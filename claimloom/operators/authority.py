@@ -102,6 +102,62 @@ def content_verdicts(propositions: DataFrame, excerpts: DataFrame) -> DataFrame:
     return best.select("cite_id", F.round(o, 6).alias("overlap"), status.alias("status"), verdict.alias("verdict"), confidence.alias("confidence"), excerpt.alias("excerpt"))
 
 
+# --- fixed values: what is said of each outcome of a comparison with an authority's text, its basis, and the fix ---
+OUTCOMES = {
+    "unavailable": ("Authority matched, but no authority content is available in the MVP catalog for proposition verification.", "authority_content_unavailable", "Add authority text coverage for this case or verify the proposition manually."),
+    "thin": ("Authority content is available, but the proposition text is too thin to verify deterministically.", "authority_content_insufficient_proposition_text", "State the proposition more explicitly so it can be compared against the authority content."),
+    "supported": ("Matched authority content materially overlaps the drafted proposition.", "authority_content_deterministic_supported", None),
+    "further": ("Authority content is available, but the proposition goes further than the matched excerpt.", "authority_content_deterministic_partial_overlap", "Narrow the proposition to match the authority excerpt more closely."),
+    "partly": ("Authority content is available, but the matched excerpt only partially overlaps the proposition.", "authority_content_deterministic_partial_overlap", "Quote or narrow the proposition to the portion stated more directly in the authority excerpt."),
+    "unclear": ("Authority content is available, but no excerpt clearly supports the drafted proposition.", "authority_content_deterministic_no_clear_support", "Revise the proposition to track the authority more closely or verify it manually."),
+}
+
+
+def explained(checked: DataFrame) -> DataFrame:
+    """Rows of ``content_verdicts`` with reasoning, basis, suggested_fix and categories; null and none where not applicable."""
+    v, thin = F.col("verdict"), F.col("confidence") == 0.4
+    outcome = (
+        F.when(F.col("status") == "not_applicable", None).when(F.col("status") == "unavailable", "unavailable").when((v == "AMBIGUOUS") & thin, "thin")
+        .when(v == "SUPPORTED", "supported").when(v == "OVERSTATED", "further").when(v == "AMBIGUOUS", "partly").otherwise("unclear")
+    )
+    rows = checked.withColumn("outcome", outcome)
+    told = lambda i: F.coalesce(*[F.when(F.col("outcome") == k, F.lit(x[i])) for k, x in OUTCOMES.items() if x[i] is not None])
+    weak = F.coalesce(~F.col("outcome").isin("supported"), F.lit(False))
+    categories = F.when(weak, F.array(F.lit("weak_support"))).otherwise(F.array().cast("array<string>"))
+    return rows.select(*checked.columns, told(0).alias("reasoning"), told(1).alias("basis"), told(2).alias("suggested_fix"), categories.alias("categories"))
+
+
+def effective(citations: DataFrame, checked: DataFrame, runs: DataFrame, lookups: DataFrame) -> DataFrame:
+    """A citation's statuses merged into one: authority and match status, verdict, reasoning, categories, confidence and fix.
+
+    citations: cite_id, claim_id, linked, authority_id, case_name, reference; checked: ``explained``; runs: claim_id and the verdict,
+    reasoning, categories, confidence, suggested_fix of its latest run; lookups: cite_id, lookup_status, found_id, where an
+    outside lookup was made.
+
+    A lookup that was made decides the authority and its match status; the catalog does where none was. What the record says of
+    a claim with linked support stands; of others the authority's text, where it says something, and the run else. Without either
+    a verdict is UNVERIFIED."""
+    tried = (F.coalesce("lookup_status", F.lit("lookup_not_attempted")) != "lookup_not_attempted")
+    found = F.when(F.col("lookup_status") == "authority_found", F.col("found_id"))
+    rows = citations.join(lookups, "cite_id", "left").withColumn("tried", tried)
+    rows = rows.withColumn("identity", F.when(F.col("tried"), found).otherwise(F.col("authority_id").cast("string")))
+    status, _ = match_status(F.col("linked"), F.col("identity"), F.col("case_name"), F.col("reference"))
+    _, of_catalog = match_status(F.col("linked"), F.col("authority_id"), F.col("case_name"), F.col("reference"))
+    content = checked.select("cite_id", *[F.col(c).alias(f"content_{c}") for c in ("status", "verdict", "reasoning", "categories", "confidence", "suggested_fix")])
+    of_run = runs.select("claim_id", *[F.col(c).alias(f"run_{c}") for c in ("verdict", "reasoning", "categories", "confidence", "suggested_fix")])
+    merged = rows.join(content, "cite_id", "left").join(of_run, "claim_id", "left")
+    text_first = lambda c: F.when(F.col("linked"), F.col(f"run_{c}")).otherwise(F.coalesce(f"content_{c}", f"run_{c}"))
+    none = F.array().cast("array<string>")
+    of_text = ~F.col("linked") & (F.col("content_reasoning").isNotNull() | (F.size("content_categories") > 0))
+    categories = F.when(of_text, F.col("content_categories")).otherwise(F.col("run_categories"))
+    return merged.select(
+        "cite_id", "claim_id", F.col("identity").alias("authority_id"), status.alias("authority_status"),
+        F.when(F.col("tried"), F.col("lookup_status")).otherwise(of_catalog).alias("match_status"), F.coalesce("content_status", F.lit("not_applicable")).alias("content_status"),
+        F.coalesce(text_first("verdict"), F.lit("UNVERIFIED")).alias("verdict"), text_first("reasoning").alias("reasoning"),
+        F.coalesce(categories, none).alias("categories"), text_first("confidence").alias("confidence"), text_first("suggested_fix").alias("suggested_fix"),
+    )
+
+
 def match_status(linked: Column, authority: Column, case_name: Column, reference: Column) -> tuple[Column, Column]:
     """Authority status and match status; a reference with a page is a structured candidate."""
     candidate = case_name.isNotNull() & reference.contains("|")

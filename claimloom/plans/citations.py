@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from claimloom.functions import duck as D
 from claimloom.functions import rules, text
 from claimloom.operators import authority
+from claimloom.plans.workflow import RUNS, _latest
 from claimloom.sources import views
 from claimloom.sources.views import table
 
@@ -92,6 +93,20 @@ def a10(spark, sf_dir):
     )
 
 
+def d4(spark, sf_dir):
+    """Every citation's statuses and effective verdict, with what its claim's latest run, the catalog, a lookup and the authority's text say."""
+    rows, checked = _checked(spark, sf_dir)
+    k = F.col("cite_id")
+    mine = rows.select("cite_id", (k % 200).alias("claim_id"), (k % 13 == 0).alias("linked"), "authority_id", "case_name", "reference")
+    looked = F.when(k % 4 == 1, "authority_found").when(k % 4 == 2, "authority_not_found").when(k % 8 == 3, "lookup_not_attempted")
+    lookups = mine.select("cite_id", looked.alias("lookup_status"), F.when(k % 4 == 1, F.concat(F.lit("ext-"), k.cast("string"))).alias("found_id")).filter("lookup_status IS NOT NULL")
+    run = _latest(spark, sf_dir).select(
+        "claim_id", "verdict", F.concat(F.lit("Run "), F.col("run_id").cast("string"), F.lit(".")).alias("reasoning"), "categories", "confidence",
+        F.when(F.col("verdict") != "SUPPORTED", "Look again.").alias("suggested_fix"),
+    )
+    return authority.effective(mine, authority.explained(checked), run, lookups).withColumn("categories", F.array_join("categories", ","))
+
+
 def f19(spark, sf_dir):
     rows = authority.parsed(citations(spark, sf_dir))
     return authority.repeated_once(rows).select("draft_id", "citation", "place")
@@ -142,6 +157,19 @@ SELECT draft_id, count(*) AS citations, """ + ", ".join(
     [f"{_N('verdict', *VERDICTS[2:])} AS flagged", *[f"{_N('verdict', v)} AS {v.lower()}" for v in VERDICTS], f"{_N('authority', *AUTHORITY[:2])} AS authority_unverified",
      *[f"{_N('authority', x)} AS {x}" for x in AUTHORITY], *[f"{_N('status', x)} AS {x}" for x in CONTENT]]
 ) + " FROM verdicts JOIN au USING (cite_id) GROUP BY draft_id"
+_out = lambda i: "CASE outcome " + " ".join(f"WHEN '{k}' THEN {D.quoted(x[i])}" for k, x in authority.OUTCOMES.items() if x[i]) + " END"
+D4 = CITES + "," + RUNS.removeprefix("WITH RECURSIVE") + f""",
+  told AS (SELECT cite_id, status, verdict AS tv, confidence AS tc, {_out(0)} AS tr, {_out(2)} AS tf, CASE WHEN outcome IS NULL OR outcome = 'supported' THEN '' ELSE 'weak_support' END AS tg
+    FROM (SELECT *, CASE WHEN status = 'not_applicable' THEN NULL WHEN status = 'unavailable' THEN 'unavailable' WHEN verdict = 'AMBIGUOUS' THEN CASE WHEN confidence < 0.5 THEN 'thin' ELSE 'partly' END
+      WHEN verdict = 'SUPPORTED' THEN 'supported' WHEN verdict = 'OVERSTATED' THEN 'further' ELSE 'unclear' END AS outcome FROM verdicts)),
+  put AS (SELECT res.cite_id, res.cite_id % 200 AS claim_id, res.cite_id % 13 = 0 AS linked, authority_id AS cat_id, res.cite_id % 4 IN (1, 2) AS tried, CASE WHEN res.cite_id % 4 = 1 THEN 'ext-' || res.cite_id END AS found FROM res),
+  idn AS (SELECT *, CASE WHEN tried THEN found ELSE CAST(cat_id AS VARCHAR) END AS identity FROM put)
+SELECT i.cite_id, i.claim_id, identity AS authority_id, CASE WHEN linked THEN 'linked_authority_support_present' WHEN identity IS NOT NULL THEN 'authority_matched' ELSE 'authority_candidate_parsed' END AS authority_status,
+  CASE WHEN i.cite_id % 4 = 1 THEN 'authority_found' WHEN i.cite_id % 4 = 2 THEN 'authority_not_found' WHEN cat_id IS NOT NULL THEN 'matched' ELSE 'no_match' END AS match_status, status AS content_status,
+  coalesce(CASE WHEN NOT linked THEN tv END, l.verdict, 'UNVERIFIED') AS verdict, coalesce(CASE WHEN NOT linked THEN tr END, 'Run ' || l.run_id || '.') AS reasoning,
+  CASE WHEN NOT linked AND tr IS NOT NULL THEN tg ELSE coalesce(array_to_string(l.categories, ','), '') END AS categories,
+  coalesce(CASE WHEN NOT linked THEN tc END, l.confidence) AS confidence, coalesce(CASE WHEN NOT linked THEN tf END, CASE WHEN l.verdict <> 'SUPPORTED' THEN 'Look again.' END) AS suggested_fix
+FROM idn i JOIN told USING (cite_id) LEFT JOIN latest l ON i.claim_id = l.claim_id"""
 F19 = CITES + """, f AS (SELECT draft_id, citation, min(cite_id) AS cite_id FROM parsed GROUP BY ALL)
 SELECT draft_id, citation, CAST(row_number() OVER (PARTITION BY draft_id ORDER BY cite_id) AS INTEGER) AS place FROM f"""
 
@@ -166,5 +194,5 @@ S5 = r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ' ' || chr(10)
   t AS (SELECT doc_id, ps, CASE WHEN head = '' THEN 'Untitled Draft' WHEN length(head) <= 80 THEN head ELSE rtrim(left(head, 77)) || '...' END AS title FROM p)
 SELECT doc_id, title, unnest(ps) AS paragraph, CAST(generate_subscripts(ps, 1) AS INTEGER) AS pos FROM t"""
 
-QUERIES = {"f16_parse_citations": f16, "j9_resolve_citations": j9, "j12_authority_content": j12, "a10_citation_summary": a10, "f19_distinct_citations": f19, "s5_draft_paragraphs": s5}
-SQL = {"f16_parse_citations": F16, "j9_resolve_citations": J9, "j12_authority_content": J12, "a10_citation_summary": A10, "f19_distinct_citations": F19, "s5_draft_paragraphs": S5}
+QUERIES = {"f16_parse_citations": f16, "j9_resolve_citations": j9, "j12_authority_content": j12, "a10_citation_summary": a10, "d4_effective_citations": d4, "f19_distinct_citations": f19, "s5_draft_paragraphs": s5}
+SQL = {"f16_parse_citations": F16, "j9_resolve_citations": J9, "j12_authority_content": J12, "a10_citation_summary": A10, "d4_effective_citations": D4, "f19_distinct_citations": F19, "s5_draft_paragraphs": S5}

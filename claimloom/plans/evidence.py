@@ -116,7 +116,7 @@ FROM v
 def d1(spark, sf_dir):
     c = views.claims(spark, sf_dir)
     links = views.text_links(spark, sf_dir).filter("claim_id % 3 != 0")
-    return verify.unlinked_verdicts(c.join(links.select("claim_id"), "claim_id", "left_anti"))
+    return verify.unlinked_verdicts(c.join(links.select("claim_id"), "claim_id", "left_anti")).drop("reasoning", "suggested_fix")
 
 
 D1 = f"""{with_views("claims", "segments", "text_links")},
@@ -129,6 +129,47 @@ FROM k
 """
 
 
+def a12(spark, sf_dir):
+    """Every claim's verdict with its reasons and fix, from the links that are valid, and what was left out."""
+    code = F.when(F.col("claim_id") % 3 == 0, "missing_segment").when(F.col("segment_id") % 5 == 0, "outside_evidence_bundle").when(F.col("segment_id") % 7 == 0, "")
+    links = views.text_links(spark, sf_dir).withColumn("code", code)
+    verdicts = verify.verify_all(views.claims(spark, sf_dir), links.filter("code IS NULL"), views.segments(spark, sf_dir))
+    told = verify.with_exclusions(verdicts, links.filter("code IS NOT NULL").withColumn("code", F.nullif("code", F.lit(""))))
+    return told.withColumn("flags", F.array_join("flags", ",")).withColumn("reasoning", F.array_join("reasoning", " "))
+
+
+_q = lambda t: "'" + t.replace("'", "''") + "'"
+_said = lambda f, said: f"CASE WHEN list_contains(flags, '{f}') THEN " + ("unanchored || " + _q(said[3:]) if said.startswith("{n}") else _q(said)) + " END"
+A12 = f"""{MEASURED.replace("FROM text_links l JOIN", "FROM valid l JOIN").replace("""
+  c AS (SELECT claim_id, text AS claim""", """
+  coded AS (SELECT *, CASE WHEN claim_id % 3 = 0 THEN 'missing_segment' WHEN segment_id % 5 = 0 THEN 'outside_evidence_bundle' WHEN segment_id % 7 = 0 THEN '' END AS code FROM text_links),
+  valid AS (SELECT * FROM coded WHERE code IS NULL),
+  c AS (SELECT claim_id, text AS claim""", 1)},
+  bad AS (SELECT claim_id, nullif(code, '') AS code, link_order FROM coded WHERE code IS NOT NULL),
+  per AS (SELECT claim_id, coalesce(code, 'invalid_support_link') AS shown, code, count(*) AS n, min(link_order) AS f FROM bad GROUP BY ALL),
+  notes AS (SELECT claim_id, coalesce(list(code ORDER BY f, code) FILTER (code IS NOT NULL), []) AS codes,
+    'Excluded ' || CAST(sum(n) AS BIGINT) || ' invalid support link(s) from reasoning: ' || string_agg(n || ' ' || replace(shown, '_', ' '), ', ' ORDER BY shown) || '.' AS note FROM per GROUP BY claim_id),
+  k AS (SELECT claim_id, {D.found("text", rules.CASE_CITED)} AS cited, {D.found(M, rules.UNIVERSAL)} AS universal FROM claims WHERE claim_id NOT IN (SELECT claim_id FROM valid)),
+  al AS (SELECT claim_id, flags, verdict, CASE
+      WHEN list_contains(flags, 'invalid_anchor') THEN 0.3 WHEN list_contains(flags, 'contextual_support_only') THEN 0.35
+      WHEN verdict = 'SUPPORTED' THEN 0.85 WHEN verdict = 'PARTIALLY_SUPPORTED' THEN 0.65
+      WHEN verdict = 'OVERSTATED' THEN CASE WHEN o >= 0.45 THEN 0.55 ELSE 0.4 END WHEN verdict = 'AMBIGUOUS' THEN 0.4 ELSE 0.25 END AS confidence,
+      concat_ws(' ', {", ".join(_said(f, said) for f, said, _ in verify.SAID)}, CASE WHEN len(flags) = 0 THEN {_q(verify.NO_FLAGS)} END, CASE WHEN all_weak THEN {_q(verify.ALL_WEAK[0])} END,
+        CASE verdict {" ".join(f"WHEN '{v}' THEN {_q(x)}" for v, x in verify.OF_VERDICT.items())} END) AS reasoning,
+      coalesce({", ".join(f"CASE WHEN list_contains(flags, '{f}') THEN {_q(fix)} END" for f, _, fix in verify.SAID if fix)}, CASE WHEN all_weak THEN {_q(verify.ALL_WEAK[1])} END) AS fix
+    FROM v
+    UNION ALL SELECT claim_id, CASE WHEN NOT cited AND universal THEN ['missing_citation', 'absolute_qualifier_mismatch'] ELSE ['missing_citation'] END,
+      CASE WHEN cited THEN 'AMBIGUOUS' WHEN universal THEN 'OVERSTATED' ELSE 'UNSUPPORTED' END, CASE WHEN cited THEN 0.65 WHEN universal THEN 0.8 ELSE 0.75 END,
+      CASE WHEN cited THEN {_q(verify.UNLINKED[0][0])} WHEN universal THEN {_q(verify.UNLINKED[1][0])} ELSE {_q(verify.UNLINKED[2][0])} END,
+      CASE WHEN cited THEN {_q(verify.UNLINKED[0][1])} WHEN universal THEN {_q(verify.UNLINKED[1][1])} ELSE {_q(verify.UNLINKED[2][1])} END FROM k)
+SELECT claim_id, array_to_string(list_concat(flags, [x FOR x IN coalesce(codes, []) IF NOT list_contains(flags, x)]), ',') AS flags, verdict, CAST(confidence AS DOUBLE) AS confidence,
+  CASE WHEN note IS NOT NULL AND list_contains(flags, 'missing_citation') THEN {_q(verify.NONE_REMAIN[0])} ELSE reasoning END AS reasoning,
+  CASE WHEN note IS NOT NULL AND list_contains(flags, 'missing_citation') THEN {_q(verify.NONE_REMAIN[1])} ELSE coalesce(fix, CASE WHEN note IS NOT NULL THEN {_q(verify.SOME_INVALID)} END) END AS suggested_fix,
+  note AS exclusion_note
+FROM al LEFT JOIN notes USING (claim_id)
+"""
+
+
 def j13(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     statements = docs.join(views.claims(spark, sf_dir).withColumnRenamed("text", "claim"), F.col("doc_id") % views.items(spark, sf_dir) == F.col("item_id"))
@@ -182,9 +223,9 @@ SELECT * FROM edges
 
 QUERIES = {
     "j7_support_suggestion": j7, "f1_text_rules": f_text, "f6_evidence_roles": f6_roles, "a4_verify_claims": a4, "d1_unlinked_verdicts": d1,
-    "j13_statement_vs_document": j13, "j14_claim_graph": j14,
+    "j13_statement_vs_document": j13, "j14_claim_graph": j14, "a12_reasoned_verdicts": a12,
 }
 SQL = {
     "j7_support_suggestion": J7, "f1_text_rules": F_TEXT, "f6_evidence_roles": F6_ROLES, "a4_verify_claims": A4, "d1_unlinked_verdicts": D1,
-    "j13_statement_vs_document": J13, "j14_claim_graph": J14,
+    "j13_statement_vs_document": J13, "j14_claim_graph": J14, "a12_reasoned_verdicts": A12,
 }
