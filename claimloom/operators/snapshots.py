@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions import rules
+
 # --- fixed values: the present version, statuses and notes ---
 VERSION = 1
 LEGACY_NOTE = "Snapshot: legacy/unversioned persisted support snapshot interpreted as v1-compatible."
@@ -134,3 +136,16 @@ def audit_view(snapshots: DataFrame, key: str, version: str = "support_snapshot_
         F.transform(s["excluded_support_links"], lambda x: F.struct(x["code"].alias("code"), x["message"].alias("message"))).alias("excluded_support_links"),
         F.col("note").alias("snapshot_note"),
     )
+
+
+def anchor_and_snippet(snapshots: DataFrame, key: str) -> DataFrame:
+    """Key, primary_anchor (the provider's, else the first item's) and snippet: the first assessment, else the first item's text,
+    cut to SNIPPET_CHARS; null where there is neither, or the item has no text."""
+    output, items = F.col("snapshot.provider_output"), F.col("snapshot.support_items")
+    named = F.when(output["primary_anchor"] != "", output["primary_anchor"])
+    first, item = F.get(output["support_assessments"], F.lit(0)), F.get(items, F.lit(0))
+    raw = F.regexp_replace(item["raw_text"], r"^\s+|\s+$", "")
+    short = F.concat(F.regexp_replace(F.substring(raw, 1, rules.SNIPPET_CHARS - 3), r"\s+$", ""), F.lit("..."))
+    said = F.when(F.length(raw) > rules.SNIPPET_CHARS, short).otherwise(raw)
+    told = F.when(first.isNotNull(), F.concat(first["anchor"], F.lit(": "), first["contribution"])).otherwise(said)
+    return snapshots.select(key, F.coalesce(named, item["anchor"]).alias("primary_anchor"), told.alias("snippet"))

@@ -23,11 +23,13 @@ BODIES = (
 )
 
 
-def _read(spark, sf_dir):
+def _read(spark, sf_dir, long_texts=False):
     e = table(spark, sf_dir, "events")
     k = F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0)).cast("string")
     turn = (F.col("event_id") % (len(BODIES) + 1) + 1).cast("int")
     body = F.replace(F.get(F.array(*map(F.lit, BODIES)), turn - 1), F.lit("@"), k)
+    if long_texts:
+        body = F.replace(F.replace(body, F.lit('"support_assessments"'), F.when(turn == 1, '"assessed"').otherwise('"support_assessments"')), F.lit('"text '), F.concat(F.lit('"  text '), F.repeat(F.lit("salt "), (F.col("event_id") % 60).cast("int"))))
     version = F.when(F.col("event_id") % 5 == 0, None).when(F.col("event_id") % 7 == 0, 9).otherwise(1)
     return snapshots.read(e.select("event_id", body.alias("support_snapshot"), version.alias("support_snapshot_version")))
 
@@ -61,6 +63,12 @@ def s9_history(spark, sf_dir):
     return rows.select("event_id", "support_snapshot_status", "support_snapshot_note", "support_snapshot_version", s.isNotNull().alias("shown"), s["claim_scope"]["claim_id"].alias("claim_id"), F.size(s["support_items"]).alias("items"))
 
 
+def d7(spark, sf_dir):
+    """Each run's primary anchor and snippet, with texts of items lengthened by the event's number."""
+    rows = _read(spark, sf_dir, long_texts=True)
+    return snapshots.anchor_and_snippet(rows, "event_id")
+
+
 _str = lambda x, path: f"CASE WHEN json_type({x}, '{path}') = 'VARCHAR' THEN json_extract_string({x}, '{path}') END"
 _int = lambda x, path: f"CASE WHEN json_type({x}, '{path}') IN ('BIGINT', 'UBIGINT') THEN json_extract_string({x}, '{path}') WHEN json_type({x}, '{path}') = 'BOOLEAN' THEN CASE json_extract_string({x}, '{path}') WHEN 'true' THEN '1' ELSE '0' END END"
 _flag = lambda x, path: f"CASE WHEN json_type({x}, '{path}') IS NULL OR json_type({x}, '{path}') = 'NULL' OR CAST(json_extract({x}, '{path}') AS VARCHAR) IN ('false', '0', '0.0', '\"\"', '[]', '{{}}') THEN 'false' ELSE 'true' END"
@@ -89,5 +97,9 @@ S9_AUDIT = READ + f""" SELECT event_id, version AS support_snapshot_version, {_s
 S9_HISTORY = READ + f""" SELECT event_id, status AS support_snapshot_status, note AS support_snapshot_note, version AS support_snapshot_version, scoped AS shown, {_str("j", "$.claim_scope.claim_id")} AS claim_id,
   CASE WHEN scoped THEN CAST(len(json_extract(j, '$.support_items[*]')) AS INTEGER) END AS items FROM q"""
 
-QUERIES = {"s7_typed_snapshots": s7, "s9_audit_view": s9_audit, "s9_history_fields": s9_history}
-SQL = {"s7_typed_snapshots": S7, "s9_audit_view": S9_AUDIT, "s9_history_fields": S9_HISTORY}
+D7 = READ.replace(f"[event_id % {len(BODIES) + 1} + 1], '@', coalesce(json_extract_string(props, '$.k'), '0')) AS body", f"""[event_id % {len(BODIES) + 1} + 1], '@', coalesce(json_extract_string(props, '$.k'), '0')) AS plain,
+    replace(replace(plain, '"support_assessments"', CASE WHEN event_id % {len(BODIES) + 1} = 0 THEN '"assessed"' ELSE '"support_assessments"' END), '"text ', '"  text ' || repeat('salt ', event_id % 60)) AS body""") + f""",
+  a AS (SELECT event_id, nullif({_str("j", "$.provider_output.primary_anchor")}, '') AS named, json_extract(j, '$.provider_output.support_assessments[*]')[1] AS x, {_str("j", "$.support_items[0].anchor")} AS place, trim({_str("j", "$.support_items[0].raw_text")}) AS raw FROM q)
+SELECT event_id, coalesce(named, place) AS primary_anchor, CASE WHEN x IS NOT NULL THEN {_ASSESSED[0]} || ': ' || {_ASSESSED[2]} WHEN length(raw) > 220 THEN rtrim(left(raw, 217)) || '...' ELSE raw END AS snippet FROM a"""
+QUERIES = {"d7_run_snippets": d7, "s7_typed_snapshots": s7, "s9_audit_view": s9_audit, "s9_history_fields": s9_history}
+SQL = {"d7_run_snippets": D7, "s7_typed_snapshots": S7, "s9_audit_view": S9_AUDIT, "s9_history_fields": S9_HISTORY}

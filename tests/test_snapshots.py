@@ -62,3 +62,22 @@ def test_query_has_every_kind(spark, sf):
     assert {r["status"] for r in rows.select("status").distinct().collect()} == {"missing", "legacy_unversioned_v1", "versioned_v1", "unsupported_version"}
     (n,) = rows.agg(*[F.countDistinct(c).alias(c) for c in ("allowed", "links", "items", "citations", "assessments", "excluded")]).collect()
     assert all(v > 1 for v in n.asDict().values())
+
+
+def test_anchor_and_snippet(read):
+    item = '{"anchor": "i.1", "raw_text": "%s"}'
+    cases = [
+        ('{"provider_output": {"primary_anchor": "p.1", "support_assessments": [{"anchor": "a", "contribution": "c"}]}, "support_items": [%s]}' % (item % "text"), ("p.1", "a: c")),
+        ('{"provider_output": {"primary_anchor": ""}, "support_items": [%s]}' % (item % "  text "), ("i.1", "text")),
+        ('{"support_items": [%s]}' % (item % ("a" * 216 + " " + "b" * 9)), ("i.1", "a" * 216 + "...")),
+        ('{"support_items": [%s]}' % (item % ("a" * 220)), ("i.1", "a" * 220)),
+        ('{"support_items": [{"anchor": "i.2"}]}', ("i.2", None)),
+        ("{}", (None, None)), (None, (None, None)),
+    ]
+    rows = snapshots.anchor_and_snippet(read(*[(b, 1) for b, _ in cases]), "id").orderBy("id").collect()
+    assert [(r["primary_anchor"], r["snippet"]) for r in rows] == [want for _, want in cases]
+
+
+def test_snippets_of_the_query_are_cut(spark, sf):
+    rows = plans.d7(spark, sf)
+    assert rows.filter("length(snippet) > 200 AND snippet LIKE '%...'").count() > 0 and rows.filter("snippet LIKE '%: %'").count() > 0
