@@ -1,9 +1,10 @@
 import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
-from claimloom.functions import rules
+from claimloom.functions import rules, text
 from claimloom.operators import graph
 from claimloom.plans import evidence
 
@@ -59,3 +60,16 @@ def test_a_large_draft_meets_few_pairs(spark):
 def test_query_has_all_relations(spark, sf):
     found = evidence.j14(spark, sf).groupBy("relation").count().collect()
     assert {r["relation"] for r in found} >= {"duplicate_of", "contradicts", "depends_on", "supports"} and all(r["count"] > 1 for r in found)
+
+
+def test_capitals_of_single_characters(spark, tmp_path):
+    """A claim in capitals equals the claim, also with letters that full upper case makes several of."""
+    said = "Die Straße am Fluß. Der Weg \ufb01el ab, \u1f80 \u0149 \u01f0. Groß ist das Maß. Weiß und süß auf der Straße"
+    spark.createDataFrame([(1, said), (2, said.replace("Fluß", "Meer"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = [r for r in evidence.j14(spark, str(tmp_path)).collect() if r["relation"] == "duplicate_of"]
+    assert {(103, -104), (203, -204)} <= {(r["source_id"], r["target_id"]) for r in found}
+    rows = spark.createDataFrame([(c,) for c in rules.EXPANDED + "abcäéß"], "text string").select("text", text.capitals(F.col("text")).alias("up")).collect()
+    assert all(duckdb.execute("SELECT upper(?)", [r["text"]]).fetchone()[0] == r["up"] for r in rows)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
+    assert sorted(map(tuple, evidence.j14(spark, str(tmp_path)).collect())) == sorted(db.execute(evidence.J14).fetchall())
