@@ -30,13 +30,34 @@ def allowed_documents(drafts: DataFrame, bundles: DataFrame, documents: DataFram
     return bundled.unionByName(rest).distinct()
 
 
+#: parts of a scope's drafts, each of which gets its own copy of the scope's documents
+SPREAD = 64
+
+
 def ordered_documents(drafts: DataFrame, bundles: DataFrame, documents: DataFrame, fallback: bool = True) -> DataFrame:
     """allowed_documents() with place, the order in the draft: by created_at, name and id.
 
-    documents: doc_id, matter, created_at, name."""
-    rows = allowed_documents(drafts, bundles, documents, fallback).join(documents.select("doc_id", "created_at", "name"), "doc_id")
+    documents: doc_id, matter, created_at, name. A draft of one bundle, or one matter, has the places that the
+    documents have there: these are found once for all its drafts, and rows of drafts and documents are made by the
+    last join and go into no shuffle. Only drafts with several scopes are put in order one by one."""
+    scopes = drafts.select("draft_id", "bundle", F.when(F.col("bundle").isNull(), F.col("matter")).alias("matter")).distinct()
+    count = scopes.groupBy("draft_id").agg(F.count("*").alias("scopes"))
+    counted = scopes.alias("s").join(count.alias("n"), F.expr("s.draft_id <=> n.draft_id")).select("s.*", "scopes")
+    files = documents.select("doc_id", "created_at", "name")
+
+    def placed(key: str, held: DataFrame) -> DataFrame:
+        order = Window.partitionBy(key).orderBy("created_at", "name", "doc_id")
+        places = held.select(key, "doc_id").distinct().join(files, "doc_id").select(key, "doc_id", F.row_number().over(order).alias("place"))
+        places = places.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+        own = counted.filter(F.col(key).isNotNull() & (F.col("scopes") == 1)).withColumn("part", F.pmod(F.xxhash64("draft_id"), F.lit(SPREAD)))
+        # a number of its own, or Spark takes few tasks for these few bytes, and each of them makes very many rows
+        dealt = lambda t: t.repartition(2 * SPREAD, key, "part")
+        return dealt(own.select("draft_id", key, "part")).join(dealt(places), [key, "part"]).select("draft_id", "doc_id", "place")
+
+    several = allowed_documents(counted.filter("scopes > 1"), bundles, documents, fallback).join(files, "doc_id")
     order = Window.partitionBy("draft_id").orderBy("created_at", "name", "doc_id")
-    return rows.select("draft_id", "doc_id", F.row_number().over(order).alias("place"))
+    rows = placed("bundle", bundles).unionByName(several.select("draft_id", "doc_id", F.row_number().over(order).alias("place")))
+    return rows.unionByName(placed("matter", documents)) if fallback else rows
 
 
 def new_links(requests: DataFrame, existing: DataFrame) -> DataFrame:
