@@ -344,6 +344,32 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield pa.Table.from_batches(held)
 
 
+def joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The values of binary rows, one after the other, without Python objects of them."""
+    parts = []
+    for chunk in column.chunks:
+        if len(chunk):
+            ends = np.frombuffer(chunk.buffers()[1], "<i4")[chunk.offset : chunk.offset + len(chunk) + 1]
+            if ends[0] < ends[-1]:
+                parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0] : ends[-1]])
+    return np.concatenate(parts or [np.zeros(0, np.uint8)]).view(kind)
+
+
+def lone_owners(nodes: np.ndarray, counts: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """The owner of each shingle (32 bits) that one owner alone has; nodes are owners of counts shingles each.
+
+    A shingle and the number of its owner make one word, so they are sorted in place, and take two such arrays at most."""
+    owners, number = np.unique(nodes, return_inverse=True)
+    pairs = features.astype("<u8")
+    pairs <<= U(32)
+    pairs |= np.repeat(number.astype("<u4"), counts)
+    pairs.sort()
+    pairs = pairs[np.concatenate([np.ones(min(1, len(pairs)), bool), pairs[1:] != pairs[:-1]])]
+    number, shingle = pairs.view("<u4")[::2], pairs.view("<u4")[1::2]
+    new = np.concatenate([[True], shingle[1:] != shingle[:-1], [True]]) if len(pairs) else np.zeros(1, bool)
+    return owners[number[new[1:] & new[:-1]]]
+
+
 def lone_shingles(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
     """node, lone: how many of its shingles no other candidate has, for each node of wanted (doc_id, node, n).
 
@@ -377,16 +403,10 @@ def lone_shingles(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> Dat
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, ["slice"]):
             cuts = rows.column("slice").to_numpy()
-            columns = [rows.column(c).to_pylist() for c in ("nodes", "counts", "features")]
             for k in np.unique(cuts).tolist():
                 a, b = np.searchsorted(cuts, [k, k + 1]).tolist()
-                nodes, counts, features = (np.frombuffer(b"".join(c[a:b]), t) for c, t in zip(columns, ("<i8", "<u4", "<u4")))
-                owners = np.repeat(nodes, counts)
-                order = np.lexsort((owners, features))
-                owners, features = owners[order], features[order]
-                start = np.flatnonzero(np.concatenate([[True], features[1:] != features[:-1]]))
-                last = np.concatenate([start[1:], [len(features)]]) - 1
-                lone = owners[start][owners[start] == owners[last]]  # sorted: first and last owner are one
+                nodes, counts, features = (joined(rows.column(c).slice(a, b - a), t) for c, t in (("nodes", "<i8"), ("counts", "<u4"), ("features", "<u4")))
+                lone = lone_owners(nodes, counts, features)
                 found, n = np.unique(lone, return_counts=True)
                 part = (mix(found.view(U)) % U(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from claimloom.llm import ngram_join as nj
@@ -192,3 +193,24 @@ def test_a_doc_id_with_several_texts_is_one_node(spark):
     a, b = "a b c d e f", "q r s t u v"
     df = spark.createDataFrame([(1, a), (3, a), (3, b), (9, b)], "doc_id long, text string")
     assert {r["component_id"] for r in nj.ngram_groups(df).collect()} == {1}
+
+
+def test_lone_owners_by_hand_and_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    for n, kinds, many in ((0, 5, 1), (1, 5, 1), (400, 150, 9), (5000, 90_000, 300)):
+        nodes, counts = rng.integers(-(1 << 60), 1 << 60, many).repeat(2), rng.multinomial(n, [1 / (2 * many)] * (2 * many)).astype("<u4")
+        features = rng.integers(0, kinds, n).astype("<u4") * np.uint32(40_000)
+        holders = {}
+        for x, f in zip(np.repeat(nodes, counts).tolist(), features.tolist()):
+            holders.setdefault(f, set()).add(x)
+        assert sorted(nj.lone_owners(nodes, counts, features).tolist()) == sorted(x for s in holders.values() if len(s) == 1 for x in s)
+    n = nj.SLICE
+    nodes, counts, features = np.arange(n // 100), np.full(n // 100, 100, "<u4"), rng.integers(0, 1 << 31, n).astype("<u4")
+    tracemalloc.start()
+    nj.lone_owners(nodes, counts, features)
+    assert tracemalloc.get_traced_memory()[1] < 30 * n  # owners, their order and both reordered take more than 40
+    tracemalloc.stop()
+    cut = pa.chunked_array([pa.array([b"\1\0\0\0", b"", b"\2\0\0\0\3\0\0\0"]).slice(1), pa.array([], pa.binary()), pa.array([b""]), pa.array([b"\4\0\0\0"])])
+    assert nj.joined(cut, "<u4").tolist() == [2, 3, 4]
