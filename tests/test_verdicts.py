@@ -56,3 +56,20 @@ def test_precedence_of_record_text_and_run(spark):
         4: ("UNVERIFIED", None, [], None, None), 5: ("UNVERIFIED", None, [], None, None), 6: ("OVERSTATED", said["unavailable"][0], ["weak_support"], 0.55, said["unavailable"][2]),
         7: ("AMBIGUOUS", said["thin"][0], ["weak_support"], 0.4, said["thin"][2]),
     }
+
+
+def test_propositions_meet_their_authority_s_text_without_being_gathered(spark):
+    """Excerpts out of order and ties; the columns asked for stay; nothing is grouped by proposition."""
+    mine = spark.createDataFrame(
+        [(1, "Gates opened slowly", 7, "x"), (2, "gates must open", 7, "y"), (3, "", 7, "z"), (4, "gates", 8, "u"), (5, "gates", None, "v"), (6, "nothing alike", 7, None)],
+        "cite_id long, core string, authority_id long, note string",
+    )
+    excerpts = spark.createDataFrame([(7, 1, "gates opened"), (7, 0, "mills and gates"), (9, 0, "gates")], "authority_id long, place int, excerpt string")
+    found = authority.content_verdicts(mine, excerpts, ("note",))
+    got = {r["cite_id"]: (r["overlap"], r["status"], r["verdict"], r["excerpt"], r["note"]) for r in found.collect()}
+    assert got == {
+        1: (0.666667, "support_verified", "SUPPORTED", "gates opened", "x"), 2: (0.333333, "available", "OVERSTATED", "mills and gates", "y"),
+        3: (0.0, "available", "AMBIGUOUS", "mills and gates", "z"), 4: (0.0, "unavailable", None, None, "u"), 5: (0.0, "not_applicable", None, None, "v"),
+        6: (0.0, "available", "UNSUPPORTED", "mills and gates", None),
+    }
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
