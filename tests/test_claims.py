@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -127,3 +128,30 @@ def test_blank_texts_and_small_letters(spark):
     found = claims.narrow_claims(spark.createDataFrame(rows, "assertion_id string, text string")).collect()
     assert {r["assertion_id"] for r in found} == {"d", "e"}
     assert claims.Clauses("İİ Σ ΑΣ K signed", claims.PLAIN).tokens.starts == [8, 10]
+
+
+def test_signs_with_no_clause_behind_them_are_passed_over(monkeypatch):
+    """Most signs are followed by words that can't begin a clause; the stretches around them aren't looked at, nor is a text without others."""
+    asked, made = [], []
+    splits, places = claims.Clauses.splits, claims.Places.__init__
+    monkeypatch.setattr(claims.Clauses, "splits", lambda self, *a: asked.append(a) or splits(self, *a))
+    monkeypatch.setattr(claims.Places, "__init__", lambda self, *a: made.append(a) or places(self, *a))
+    of = "Mara opened the hatch, the sluice and the lid, all of them, Old Kern Ivo Lund too"
+    assert claims.claims_of(of) == ("plain", [of]) and not asked and not made
+    assert claims.claims_of(f"{of}, and she paid the diver in full, of course")[1] == [of, "she paid the diver in full, of course"]
+    assert len(asked) == 1
+
+
+def test_what_is_passed_over_is_no_place_to_cut(monkeypatch):
+    pick = random.Random(5).choice
+    words = "Mara she Which which so then thené then'tis later and but Not , ; : . \" “ ” said paid opened is isé related créed attached in At on, after İvo don't 'tis x_is the pump Log".split()
+    odd = ["".join(pick(words) + pick((" ", " ", ", ", " and ", "; ", "")) for _ in range(25)) for _ in range(3000)]
+    got = [claims.claims_of(x, mode) for x in odd for mode in ("plain", "structured")]
+    assert sum(len(found) > 1 for _, found in got) > 1000
+    monkeypatch.setattr(claims, "may_begin", lambda *a: True)
+    assert got == [claims.claims_of(x, mode) for x in odd for mode in ("plain", "structured")]
+
+
+def test_a_word_that_a_lead_ends_in_is_not_begun_anew():
+    assert claims.Clauses("x, then'tis Log was", claims.STRUCTURED).first_words(7, 19, 2) == ["Log", "was"]
+    assert claims.Clauses("x, then 'tis Log", claims.STRUCTURED).first_words(7, 16, 2) == ["tis", "Log"]

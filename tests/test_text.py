@@ -20,6 +20,14 @@ def test_claim_types(spark, claim, kind):
     assert one(spark, text.claim_type(F.col("t")), t=claim) == kind
 
 
+def test_claim_types_need_no_collapsed_text(spark):
+    """The text is put in lower case once, and no white space is replaced for the patterns, which take any."""
+    for said, kind in (("He SHOULD\u00a0have \n known it", "INFERENCE"), ("It leaks,\u2003\tWhich is odd", "MIXED"), ("It rained but \u0085 Thus dry", "MIXED"), ('"a" shoulder have known', "QUOTE")):
+        assert one(spark, text.claim_type(F.col("t")), t=said) == kind
+    plan = spark.createDataFrame([("a",)], "t string").select(text.claim_type(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
+
+
 def test_unicode_space_and_word_boundaries(spark):
     assert one(spark, text.matchable(F.col("t")), t=" A\u0085 b \n") == "a b"
     assert one(spark, text.names(F.col("t")), t="Réreer Morgan May Rerê") == ["morgan"]
