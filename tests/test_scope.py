@@ -52,3 +52,22 @@ def test_rows_of_drafts_and_documents_go_into_no_shuffle(spark):
     found = []
     n = shuffled(spark, lambda: found.append(scope.ordered_documents(*given).agg({"place": "sum"}).first()[0]))
     assert found == [1000 * 300 * 301 // 2] and n < 100_000
+
+
+def test_rows_come_document_by_document(spark, monkeypatch):
+    """Where tables are too large to broadcast, each document is told with its stretch's drafts, in one order, so that files of the rows stay small."""
+    monkeypatch.setattr(scope, "SPREAD", 2)
+    monkeypatch.setattr(scope, "STRETCH", 16, raising=False)
+    given = tables(spark, [(i, "m", None) for i in range(64)], [], [(i, "m", i % 5, "n") for i in range(300)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(r["doc_id"], r["draft_id"]) for r in scope.ordered_documents(*given).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    runs = []
+    for doc, draft in rows:
+        if not runs or runs[-1][0] != doc or draft in runs[-1][1]:
+            runs.append((doc, []))
+        runs[-1][1].append(draft)
+    assert len(rows) == len(set(rows)) == 64 * 300
+    assert len(runs) <= 300 * 6 and len({tuple(told) for _, told in runs}) <= 16
