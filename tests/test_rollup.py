@@ -1,6 +1,10 @@
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from claimloom.operators import rollup
+from claimloom.plans import rollup as queries
+from claimloom.sources import views
 
 RUNS = "claim_id long, run_id long, created_at timestamp, draft_id long, verdict string, confidence double, flags array<string>, categories array<string>, anchor string, n_support long, n_excluded long"
 DAY = lambda n: datetime(2024, 1, n)
@@ -49,3 +53,15 @@ def test_empty_tables(spark):
     claims, runs, decisions, edges = (t.limit(0) for t in tables(spark))
     assert rollup.review_summaries(rollup.claim_snapshots(claims, runs), decisions).count() == 0
     assert rollup.claim_records(claims, runs, decisions, edges).count() == 0 == rollup.claim_timeline(runs, decisions, edges).count()
+
+
+def test_records_of_all_claims_of_the_graph(spark, sf):
+    """Each claim of the graph has one record, with runs or without, and the records count what the timeline lists."""
+    rows = queries.p4_records(spark, sf).select("claim_id", "runs", "relationships", "disposition", "latest_verdict").collect()
+    by = {r["claim_id"]: r for r in rows}
+    graph = {r["claim_id"] for r in views.graph_claims(spark, sf).select("claim_id").collect()}
+    assert len(by) == len(rows) and graph <= by.keys()
+    listed = {r["claim_id"]: r["count"] for r in queries.p4_timeline(spark, sf).filter("part = 'relationship'").groupBy("claim_id").count().collect()}
+    assert {k: r["relationships"] for k, r in by.items() if r["relationships"]} == listed
+    assert all((r["disposition"], r["latest_verdict"]) == ("active", "UNVERIFIED") for k, r in by.items() if k in graph and not r["runs"])
+    assert any(by[k]["runs"] for k in graph) and any(not by[k]["runs"] for k in graph)
